@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from casegraph.llm import mixing, quality_rules
+from casegraph.llm import mixing, quality_rules, simhash
 
 QUERIES = {
     "op3_mixing": mixing.op3_mixing,
     "op5_line_rules": quality_rules.op5_line_rules,
+    "op7_simhash": simhash.op7_simhash,
 }
 ORACLES = {
     "op3_mixing": mixing.OP3_SQL,
