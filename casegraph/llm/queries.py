@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from casegraph.llm import mixing, quality_rules, simhash
+from casegraph.llm import mixing, quality_rules, simhash, substring_dedup, suffix_array
 
 QUERIES = {
+    "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_mixing": mixing.op3_mixing,
+    "op4_suffix_array": suffix_array.op4_suffix_array,
     "op5_line_rules": quality_rules.op5_line_rules,
     "op7_simhash": simhash.op7_simhash,
 }
 ORACLES = {
+    "op2_substring_dedup": substring_dedup.OP2_SQL,
+    "op4_suffix_array": suffix_array.OP4_SQL,
     "op3_mixing": mixing.OP3_SQL,
     "op5_line_rules": quality_rules.OP5_SQL,
 }
