@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from casegraph.llm import mixing, quality_rules, simhash, substring_dedup, suffix_array
+from casegraph.llm import importance, mixing, quality_rules, simhash, substring_dedup, suffix_array, toxicity
 
 QUERIES = {
+    "op1_importance": importance.op1_importance,
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_mixing": mixing.op3_mixing,
     "op4_suffix_array": suffix_array.op4_suffix_array,
     "op5_line_rules": quality_rules.op5_line_rules,
     "op7_simhash": simhash.op7_simhash,
+    "op8_toxicity": toxicity.op8_toxicity,
 }
 ORACLES = {
     "op2_substring_dedup": substring_dedup.OP2_SQL,
