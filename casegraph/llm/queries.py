@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from casegraph.llm import decontamination, importance, mixing, quality_rules, simhash, substring_dedup, suffix_array, toxicity
+from casegraph.llm import decontamination, html_text, importance, mixing, quality_rules, simhash, substring_dedup, suffix_array, toxicity
 
 QUERIES = {
+    "op9_html_text": html_text.op9_html_text,
     "op10_decontamination": decontamination.op10_decontamination,
     "op1_importance": importance.op1_importance,
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
