@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from casegraph.llm import decontamination, html_text, importance, mixing, quality_rules, simhash, substring_dedup, suffix_array, toxicity
+from casegraph.llm import decontamination, html_text, importance, license_scan, mixing, quality_rules, simhash, substring_dedup, suffix_array, toxicity
 
 QUERIES = {
     "op9_html_text": html_text.op9_html_text,
@@ -12,6 +12,7 @@ QUERIES = {
     "op3_mixing": mixing.op3_mixing,
     "op4_suffix_array": suffix_array.op4_suffix_array,
     "op5_line_rules": quality_rules.op5_line_rules,
+    "op6_license_scan": license_scan.op6_license_scan,
     "op7_simhash": simhash.op7_simhash,
     "op8_toxicity": toxicity.op8_toxicity,
 }
