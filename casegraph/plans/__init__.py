@@ -1 +1,13 @@
-"""Part of casegraph."""
+"""Named queries: operators applied to whole given tables, each with the SQL that checks it."""
+
+from casegraph.plans import q_records
+
+_PARTS = (q_records,)
+
+
+def queries():
+    return {name: query for part in _PARTS for name, (query, _) in part.QUERIES.items()}
+
+
+def oracles():
+    return {name: sql for part in _PARTS for name, (_, sql) in part.QUERIES.items() if sql}
