@@ -1,8 +1,8 @@
 """Named queries: operators applied to whole given tables, each with the SQL that checks it."""
 
-from casegraph.plans import q_graph, q_records
+from casegraph.plans import q_graph, q_log, q_prose, q_records
 
-_PARTS = (q_records, q_graph)
+_PARTS = (q_records, q_graph, q_prose, q_log)
 
 
 def queries():

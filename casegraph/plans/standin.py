@@ -47,7 +47,7 @@ def prose(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     text = F.concat(
         F.lit("FIR No: "), k, F.lit("/2024. Accused "), name(k), F.lit(" (mob. 98"), F.lpad(k.cast("string"), 8, "0"), F.lit(") was seen on "), F.lit("2024-03-05 at 10:30 with Shri "), name(k + 1),
-        F.lit(", vehicle PB 10 AB "), F.lpad((k % 10000).cast("string"), 4, "0"), F.lit(". A/C No. 1"), F.lpad(k.cast("string"), 11, "0"), F.lit(" at Punjab Trading Bank, 7/3/24; write to u"), k, F.lit("@mail.example.com."),
+        F.lit(", vehicle PB 10 AB "), F.lpad((k % 10000).cast("string"), 4, "0"), F.lit(". A/C No. 1"), F.lpad(k.cast("string"), 11, "0"), F.lit(" at Punjab Trading Bank, 7/3/24; write to u"), k, F.lit("@example.com."),
     )
     return table(spark, sf_dir, "customer").select(F.concat(F.lit("case_"), k % 4).alias("case_id"), F.concat(F.lit("doc:r"), k).alias("doc_id"), F.lit("fir").alias("kind"), text.alias("text"))
 
