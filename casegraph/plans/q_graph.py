@@ -287,7 +287,7 @@ UNION ALL SELECT case_id, 'prior_association', severity, src || ' and ' || dst |
 def f6_f7_ranked(spark: SparkSession, d: str) -> DataFrame:
     from casegraph.operators import anomalies
 
-    found = anomalies.ranked(anomalies.anomalies(R.call_edges(spark, d)))
+    found = anomalies.ranked(anomalies.anomalies(kept(R.call_edges(spark, d), "edges")))
     return findings.ranked(findings.promoted(found)).select("case_id", "id", "kind", "severity", "headline", F.array_join("node_ids", ",").alias("nodes"))
 
 

@@ -392,7 +392,7 @@ CONTACTS_SQL = "WITH edges AS (SELECT 'case_1' AS case_id, 'phone:' || o_custkey
 
 
 def ranked_anomalies(spark: SparkSession, d: str) -> DataFrame:
-    both = call_edges(spark, d).unionByName(transfer_edges(spark, d))
+    both = shared.kept(call_edges(spark, d).unionByName(transfer_edges(spark, d)), "edges")
     found = anomalies.ranked(anomalies.anomalies(both))
     return found.select("case_id", "rank", "kind", F.array_join("node_ids", ",").alias("nodes"), F.col("ts").cast(NTZ).alias("ts"), "score")
 
