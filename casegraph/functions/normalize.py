@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -37,6 +38,8 @@ DATE_FORMATS = (
     "d-M-yyyy H:m:s", "d-M-yyyy H:m", "d-M-yyyy",
     "d-MMM-yyyy H:m", "d MMM yyyy H:m", "d-MMM-yyyy",
 )
+#: ISO texts with a fraction or a zone; their zone counts.
+ISO_WITH_ZONE = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?:Z|[+-]\d{2}:?\d{2})?$"
 
 
 def col(c: Column | str) -> Column:
@@ -93,10 +96,22 @@ def pick(columns: dict[str, str], aliases: tuple[str, ...]) -> Column:
     return F.coalesce(*found) if found else F.lit(None).cast("string")
 
 
+def _shape(date_format: str) -> str:
+    """A pattern of the texts that may fit a date format."""
+    parts = {"yyyy": r"\d{4}", "MMM": "[A-Za-z]{3}", "'T'": "T"}
+    return "^" + re.sub(r"yyyy|MMM|'T'|[MdHms]", lambda m: parts.get(m[0], r"\d{1,2}"), date_format) + "$"
+
+
 def timestamp(raw: Column | str) -> Column:
-    """The first format that fits; null, never now, for what fits none."""
+    """The first format that fits; null, never now, for what fits none.
+
+    A failed parse costs far more than a pattern, so each text is parsed in the format of its shape only.
+    """
     text = F.trim(col(raw))
-    return F.coalesce(*(F.try_to_timestamp(text, F.lit(f)) for f in DATE_FORMATS))
+    out = F.when(text.rlike(ISO_WITH_ZONE), text.try_cast("timestamp"))
+    for f in reversed(DATE_FORMATS):
+        out = F.when(text.rlike(_shape(f)), F.try_to_timestamp(text, F.lit(f))).otherwise(out)
+    return out
 
 
 def amount(raw: Column | str) -> Column:

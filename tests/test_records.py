@@ -35,7 +35,7 @@ def test_node_ids(spark, type_, value, want):
 
 @pytest.mark.parametrize(
     ("raw", "want"),
-    [("2024-03-05T10:30:00", "2024-03-05 10:30:00"), ("5/3/2024 7:05", "2024-03-05 07:05:00"), ("05-03-2024", "2024-03-05 00:00:00"), ("5-Mar-2024", "2024-03-05 00:00:00"), ("2024", None), ("31/02/2024", None), ("", None), (None, None)],
+    [("2024-03-05T10:30:00", "2024-03-05 10:30:00"), ("5/3/2024 7:05", "2024-03-05 07:05:00"), ("05-03-2024", "2024-03-05 00:00:00"), ("5-Mar-2024", "2024-03-05 00:00:00"), ("2024-03-05T10:30:00+05:30", "2024-03-05 05:00:00"), ("2024-03-05 10:30:00.25", "2024-03-05 10:30:00"), ("2024", None), ("31/02/2024", None), ("", None), (None, None)],
 )
 def test_timestamps_never_become_now(spark, raw, want):
     assert one(spark, t=F.date_format(N.timestamp(F.lit(raw).cast("string")), "yyyy-MM-dd HH:mm:ss"))[0] == want
