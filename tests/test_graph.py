@@ -1,8 +1,10 @@
 import random
 from collections import deque
+from functools import reduce
 from itertools import combinations
 
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casegraph.operators import anomalies, caselog, findings, graph, iterative, mentions
@@ -42,10 +44,11 @@ def brute_betweenness(edges):
     return {k: v * 2 / ((n - 1) * (n - 2)) for k, v in score.items()}
 
 
-@pytest.mark.parametrize("edges", [PATH, STAR, BARBELL, TRIANGLE], ids=["path", "star", "barbell", "triangle"])
-def test_betweenness(spark, edges):
-    got = {r.node: r.betweenness for r in iterative.betweenness(graph_of(spark, edges)).collect()}
-    assert got == pytest.approx(brute_betweenness(edges))
+def test_betweenness_of_several_cases_at_once(spark):
+    graphs = {"path": PATH, "star": STAR, "barbell": BARBELL, "triangle": TRIANGLE}
+    rows = reduce(DataFrame.union, [graph_of(spark, edges, case) for case, edges in graphs.items()])
+    got = {(r.case_id, r.node): r.betweenness for r in iterative.betweenness(rows).collect()}
+    assert got == pytest.approx({(case, n): v for case, edges in graphs.items() for n, v in brute_betweenness(edges).items()})
 
 
 def test_sampled_betweenness_is_flagged(spark):
