@@ -36,7 +36,7 @@ SHARD_LIMIT = 2000
 _B = 0x9E3779B97F4A7C15 | 1
 _IB = pow(_B, -1, 1 << 64)
 #: Random but fixed values for the 256 bytes.
-_BYTES = np.array([xxhash.xxh64_intdigest(bytes([b]), 7) for b in range(256)], np.uint64)
+BYTE_VALUES = np.array([xxhash.xxh64_intdigest(bytes([b]), 7) for b in range(256)], np.uint64)
 _POSITION = np.uint64((1 << 31) - 1)
 
 
@@ -80,7 +80,7 @@ class Bytes:
         return np.frombuffer(text, np.uint8)
 
     def values(self, units: np.ndarray) -> np.ndarray:
-        return _BYTES[units]
+        return BYTE_VALUES[units]
 
     def cut(self, text: bytes, spans: list[tuple[int, int]]) -> list[bytes]:
         return [text[a:b] for a, b in spans]
