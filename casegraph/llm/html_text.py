@@ -11,7 +11,7 @@ page. So blocks in self-named boilerplate go even if unshared, and blocks in an
 The rank comes from the sizes of the sorted partitions, so pairs don't depend on how Spark cut the range, and a host with a third of all pages is spread
 over as many partitions as its share. Only hashes of lines are sorted and joined.
 
-Defined results: null or empty html gives an empty text; a null url is a host of its own; repeated rows each get their row; an empty table gives an empty
+Defined results: null or empty html gives an empty text; a null url is a host of its own; repeated rows share one result, and each gets its row; an empty table gives an empty
 result; other columns are ignored.
 """
 
@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,6 +110,10 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
     return out
 
 
+def line_hash(line: str) -> int:
+    return xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
 def shared_lines(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Places of a longest common subsequence, by bit-parallel rows and a walk back."""
     masks: dict[int, int] = {}
@@ -130,24 +135,38 @@ def shared_lines(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def parsed(pages: DataFrame) -> DataFrame:
-    """Adds ``lines`` (text and where) and ``hashes`` and ``chars`` of the lines outside articles."""
+def _identified(pages: DataFrame) -> DataFrame:
+    """Adds ``row``, by content: rows that share it are equal, and so are their results."""
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").withColumn("row", F.xxhash64("page_id", "url", "html"))
+
+
+def outside_articles(pages: DataFrame) -> DataFrame:
+    """(row, url, hashes, chars) of the lines outside articles: all that pairing needs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            outside = [[t for t, where in blocks(page) if where != ARTICLE] for page in batch.column("html").to_pylist()]
+            hashes = pa.array([[line_hash(t) for t in lines] for lines in outside], pa.list_(pa.int64()))
+            chars = pa.array([[len(t) for t in lines] for lines in outside], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("url"), hashes, chars], ["row", "url", "hashes", "chars"])
+
+    return pages.select("row", "url", "html").mapInArrow(run, "row long, url string, hashes array<long>, chars array<int>")
+
+
+def candidates(pages: DataFrame) -> DataFrame:
+    """(row, page_id, url, lines): the lines that may be main text, each after its mark, compressed for the shuffle to come."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lines, hashes, chars = [], [], []
+            lines = []
             for page in batch.column("html").to_pylist():
-                found = blocks(page)
-                outside = [t for t, where in found if where != ARTICLE]
-                lines.append([{"t": t, "w": where} for t, where in found])
-                hashes.append([xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63) for t in outside])
-                chars.append([len(t) for t in outside])
-            kinds = [pa.list_(pa.struct([("t", pa.string()), ("w", pa.int32())])), pa.list_(pa.int64()), pa.list_(pa.int32())]
-            cols = [pa.array(c, k) for c, k in zip((lines, hashes, chars), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), *cols], ["page_id", "url", "lines", "hashes", "chars"])
+                found = [(t, where) for t, where in blocks(page) if where != OTHER]
+                wanted = ARTICLE if any(where == ARTICLE for _, where in found) else PLAIN
+                kept = "\n".join(f"{where}{t}" for t, where in found if where == wanted)
+                lines.append(zstandard.compress(kept.encode("utf-8", "surrogatepass"), 3))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "page_id", "url")), pa.array(lines, pa.binary())], ["row", "page_id", "url", "lines"])
 
-    narrow = pages.select(F.col("page_id").cast("long"), "url", "html")
-    return narrow.mapInArrow(run, "page_id long, url string, lines array<struct<t: string, w: int>>, hashes array<long>, chars array<int>")
+    return pages.select("row", "page_id", "url", "html").mapInArrow(run, "row long, page_id long, url string, lines binary")
 
 
 def ranked(pages: DataFrame) -> DataFrame:
@@ -199,21 +218,17 @@ def template_lines(pages: DataFrame) -> DataFrame:
 
 
 def main_text(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars) per row."""
-    told = stash(parsed(pages).withColumn("row", F.monotonically_increasing_id()), "pages-parsed")
-    joined = told.select("row", "page_id", "url", "lines").join(template_lines(told), "row", "left")
+    """(page_id, url, text, n_chars) per row. Pages are parsed once for pairing and once for their text, so that text is shuffled once and never stored."""
+    rows = _identified(pages)
+    joined = candidates(rows).join(template_lines(outside_articles(rows)), "row", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for lines, shared in zip(batch.column("lines").to_pylist(), batch.column("shared").to_pylist(), strict=True):
-                if any(x["w"] == ARTICLE for x in lines):
-                    kept = [x["t"] for x in lines if x["w"] == ARTICLE]
-                else:
-                    gone = set(shared or ())
-                    hashed = lambda t: xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63)
-                    kept = [x["t"] for x in lines if x["w"] == PLAIN and (not gone or hashed(x["t"]) not in gone)]
-                texts.append("\n\n".join(kept))
+            for packed, shared in zip(batch.column("lines").to_pylist(), batch.column("shared").to_pylist(), strict=True):
+                lines = zstandard.decompress(packed).decode("utf-8", "surrogatepass").split("\n")
+                gone = set(shared or ())
+                texts.append("\n\n".join(x[1:] for x in lines if x and (x[0] == str(ARTICLE) or line_hash(x[1:]) not in gone)))
             n = pa.array([len(t) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), n], ["page_id", "url", "text", "n_chars"])
 
