@@ -256,7 +256,8 @@ def repeated_spans(
     (key, __doc, at, lo, n, piece) sorted by key, __doc, at, and yields (__doc, start, end).
     """
     found = stash(find_segments(docs, kind, window, anchor), "segments")
-    twice = found.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
+    # Written first: a join of two exchanges is one that AQE can split at a hot anchor; a join onto an aggregate is not.
+    twice = stash(found.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key"), "anchors-repeated")
     again = stash(found.join(twice, "key"), "segments-repeated")
     drop_stash(found)
     place = F.struct("__doc", "at", "lo", "n")
@@ -268,7 +269,7 @@ def repeated_spans(
     end = lambda start, n: start + n + F.lit(window - 1)
     copy_spans = copies.select("__doc", F.col("lo").alias("start"), end(F.col("lo"), F.col("n")).alias("end"))
 
-    several = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("n_segs")).filter("n_segs > 1")
+    several = stash(distinct.groupBy("key").agg(F.count(F.lit(1)).alias("n_segs")).filter("n_segs > 1"), "anchors-several")
     wanted = distinct.join(several, "key").select("key", "first.*", "n_segs")
     pieces = stash(_cut(docs, wanted, kind, window), "pieces")
     doc_type = docs.schema["__doc"].dataType.simpleString()
@@ -281,7 +282,7 @@ def repeated_spans(
     if pieces.filter(F.col("n_segs") > shard_limit).isEmpty():
         return copy_spans.union(matched)
     windows = stash(windows, "windows")
-    same = windows.groupBy("key", "off", "h").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("__doc", "at")).alias("first")).filter("c > 1")
+    same = stash(windows.groupBy("key", "off", "h").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("__doc", "at")).alias("first")).filter("c > 1"), "windows-repeated")
     hot = windows.join(same, ["key", "off", "h"])
     if keep_first:
         hot = hot.filter((F.col("__doc") != F.col("first.__doc")) | (F.col("at") != F.col("first.at")))
