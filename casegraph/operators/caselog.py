@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,25 +24,26 @@ def entry_hash(prev: Column) -> Column:
 def append(new: DataFrame, tails: DataFrame) -> DataFrame:
     """L1: new entries (case_id, position, ts, actor, action, ref, payload_sha256) chained onto each case's tail (case_id, seq, hash).
 
-    A chain is sequential within its case by definition, so a case's new entries meet in one task; cases run in parallel.
+    A chain is sequential within its case by definition, so a case's new entries meet in one task, which streams them in order; cases run in parallel.
     """
     seeded = new.join(tails.select("case_id", F.col("seq").alias("tail_seq"), F.col("hash").alias("tail_hash")), "case_id", "left")
-
-    def chain(entries: pd.DataFrame) -> pd.DataFrame:
-        entries = entries.sort_values("position")
-        seq = 0 if pd.isna(entries["tail_seq"].iloc[0]) else int(entries["tail_seq"].iloc[0])
-        prev = entries["tail_hash"].iloc[0] or GENESIS
-        rows = []
-        for e in entries.itertuples():
-            seq += 1
-            entry = {"action": e.action, "actor": e.actor, "payload_sha256": e.payload_sha256, "prev_hash": prev, "ref": e.ref, "seq": seq, "ts": e.ts}
-            digest = hashlib.sha256((prev + json.dumps(entry, sort_keys=True, separators=(",", ":"), ensure_ascii=False)).encode()).hexdigest()
-            rows.append({"case_id": e.case_id, **entry, "hash": digest})
-            prev = digest
-        return pd.DataFrame(rows)
-
     schema = "case_id string, seq long, ts string, actor string, action string, ref string, payload_sha256 string, prev_hash string, hash string"
-    return seeded.groupBy("case_id").applyInPandas(lambda pdf: chain(pdf)[[c.split()[0] for c in schema.split(", ")]], schema)
+    kinds = pa.schema([(c.split()[0], pa.int64() if c.endswith("long") else pa.string()) for c in schema.split(", ")])
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        case, seq, prev = None, 0, GENESIS
+        for batch in batches:
+            rows = []
+            for e in batch.to_pylist():
+                if e["case_id"] != case:
+                    case, seq, prev = e["case_id"], e["tail_seq"] or 0, e["tail_hash"] or GENESIS
+                seq += 1
+                entry = {c: e[c] for c in ("action", "actor", "payload_sha256", "ref", "ts")} | {"prev_hash": prev, "seq": seq}
+                prev = hashlib.sha256((prev + json.dumps(entry, sort_keys=True, separators=(",", ":"), ensure_ascii=False)).encode()).hexdigest()
+                rows.append({"case_id": case, **entry, "hash": prev})
+            yield pa.RecordBatch.from_pylist(rows, kinds)
+
+    return seeded.repartition("case_id").sortWithinPartitions("case_id", "position").mapInArrow(chain, schema)
 
 
 def verify(chain: DataFrame) -> DataFrame:
