@@ -8,6 +8,10 @@ others can't add to a product with an item, they count in the passages' lengths.
 
 Candidates are passages (now overlapping by half) whose cosine with an item, in the latent space and over the passage's whole length, reaches
 ``min_cosine``. A passage of which the benchmark's terms make up less than that share of the length can't reach it and is not projected.
+Terms in over ``max_df`` of the passages have no row in the latent space, and what is leaked often weighs little there. So each passage is also a candidate
+for every item of which the words around it hold enough to pass the check: one that passes lacks at most ``n - need`` of the item's ``n`` words, so of any ``k`` of them
+``k - (n - need)`` at least are there. ``k`` is chosen for each item by its terms' frequencies, which moves the cost and not the result.
+No leak that the check would pass is missed, however often it or its words occur.
 A candidate is checked on the words around it: contaminated is a longest common subsequence of ``min_lcs`` of the item's words, or of
 ``min_lcs_with_answer`` if the item's answer (its last ``ANSWER`` words) is there in order within the same region, which catches paraphrases.
 
@@ -32,10 +36,11 @@ from casegraph.llm.repeats import BYTE_VALUES, Powers, mixed
 PASSAGE, ANSWER = 64, 8
 TERM_BITS = 17
 RANK, OVERSAMPLE, BLOCK_ITEMS = 256, 16, 200
-#: Terms in over this share of the passages say nothing about which item a passage holds.
+#: Terms in over this share of the passages say nothing about which item a passage holds: they are not in the latent space.
 MAX_DF = 0.02
 MIN_COSINE, MIN_LCS, MIN_LCS_ANSWER = 0.25, 0.8, 0.6
 CHUNK_PASSAGES = 512
+HALF = PASSAGE // 2
 _LOG_TF = np.r_[0.0, 1 + np.log(np.arange(1, PASSAGE + 1))]
 
 
@@ -204,7 +209,96 @@ def bit_masks(words: list[int]) -> dict[int, int]:
     return out
 
 
-def _search(docs: DataFrame, block: list[tuple], idf: np.ndarray, df_share: np.ndarray, options: dict) -> DataFrame:
+def required_terms(words: list[np.ndarray], share: np.ndarray, least: float) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+    """What a region must hold of each item so that a share of ``least`` of the item's words can be there in order.
+
+    (column of each term or -1, for l = 1, 2, ... whether an item asks for l of a term (columns x items), how many of the asked-for words must be there, reach in half passages).
+    """
+    asked, needs = [], []
+    for ws in words:
+        n = len(ws)
+        spare = n - int(np.ceil(n * least - 1e-9))
+        order = terms_of(ws)[np.argsort(share[terms_of(ws)], kind="stable")]
+        chance = np.cumsum(share[order]) * (2 * PASSAGE + 2 * n) / PASSAGE + 1e-9
+        k = np.arange(spare + 1, n + 1)
+        if not len(k):
+            asked.append(order)
+            needs.append(0)
+            continue
+        r, mean = k - spare, chance[k - 1]
+        # How unlikely chance makes it that r of these words are there.
+        score = np.where(r > mean, r * np.log(r / mean) - r + mean, r / mean - 1)
+        best = int(np.argmax(score))
+        asked.append(order[: k[best]])
+        needs.append(int(r[best]))
+    terms = np.unique(np.concatenate(asked))
+    column = np.full(1 << TERM_BITS, -1, np.int32)
+    column[terms] = np.arange(len(terms))
+    counts = np.zeros((len(terms), len(words)), np.int32)
+    for i, t in enumerate(asked):
+        np.add.at(counts[:, i], column[t], 1)
+    levels = [(counts >= level).astype(np.uint8) for level in range(1, min(HALF, int(counts.max())) + 1)]
+    return column, levels, np.array(needs), np.array([-(-len(ws) // HALF) for ws in words])
+
+
+def _holding(texts: list[np.ndarray], required: tuple) -> dict[tuple[int, int], list[int]]:
+    """(text, first word) of each passage around which enough of an item's words are -> the items."""
+    column, levels, needs, reach = required
+    halo, out = int(reach.max()) + 2, {}
+    groups = [(int(h), np.flatnonzero(reach == h)) for h in np.unique(reach)]
+
+    def look(grids: list[np.ndarray], spans: list[tuple[int, int, int, int, int, int]]) -> None:
+        grid = np.sort(np.concatenate(grids), axis=1)
+        new = grid >= 0
+        new[:, 1:] &= grid[:, 1:] != grid[:, :-1]
+        at = np.flatnonzero(new.ravel())
+        half = at // HALF
+        tf = np.minimum(np.r_[at[1:], grid.size], (half + 1) * HALF) - at
+        col = column[grid.ravel()[at]]
+        held = np.zeros((len(grid) + 1, len(needs)), np.int32)
+        for level, wanted in enumerate(levels, 1):
+            use = np.flatnonzero((col >= 0) & (tf >= level))
+            if not len(use):
+                break
+            rows = half[use]
+            first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+            held[rows[first] + 1] += np.add.reduceat(wanted[col[use]], first, axis=0, dtype=np.uint8)
+        np.cumsum(held, axis=0, out=held)
+        text, start, lo, end, place = (np.concatenate(x) for x in zip(*((np.full(b - a, t), np.full(b - a, s), np.arange(a, b), np.full(b - a, e), np.arange(a - s, b - s) + p) for t, s, a, b, e, p in spans), strict=True))
+        for h, items in groups:
+            upper, lower = np.minimum(lo + 2 + h, end), np.maximum(lo - h, start)
+            enough = held[:, items] if len(groups) > 1 else held
+            for i, q in zip(*np.nonzero(enough[upper] - enough[lower] >= needs[items]), strict=True):
+                out.setdefault((int(text[i]), int(place[i]) * HALF), []).append(int(items[q]))
+
+    grids, spans, n = [], [], 0
+    for row, words in enumerate(texts):
+        if not len(words):
+            continue
+        terms = _halves(terms_of(words))
+        last = max(1, len(terms) - 1)
+        for a in range(0, last, CHUNK_PASSAGES):
+            b = min(a + CHUNK_PASSAGES, last)
+            lo, hi = max(0, a - halo), min(len(terms), b + halo)
+            grids.append(terms[lo:hi])
+            spans.append((row, n, n + a - lo, n + b - lo, n + hi - lo, lo))
+            n += hi - lo
+            if n >= 2 * CHUNK_PASSAGES:
+                look(grids, spans)
+                grids, spans, n = [], [], 0
+    if n:
+        look(grids, spans)
+    return out
+
+
+def _halves(terms: np.ndarray) -> np.ndarray:
+    """Rows of HALF terms, the last filled up with -1."""
+    grid = np.full((-(-len(terms) // HALF), HALF), -1, np.int32)
+    grid.ravel()[: len(terms)] = terms
+    return grid
+
+
+def _search(docs: DataFrame, block: list[tuple], idf: np.ndarray, df_share: np.ndarray, rarity: np.ndarray, options: dict) -> DataFrame:
     words = [word_hashes(t.encode()) for _, t in block]
     terms = np.unique(terms_of(np.concatenate(words)))
     terms = terms[df_share[terms] <= options["max_df"]]
@@ -221,28 +315,37 @@ def _search(docs: DataFrame, block: list[tuple], idf: np.ndarray, df_share: np.n
     space = latent_space(docs, items, vocabulary, idf, rank=options["rank"], item_weight=options["item_weight"])
     queries = items @ space
     queries = (queries / np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-9)).astype(np.float32)
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, idf, space, queries, [i for i, _ in block], [w.tolist() for w in words]))
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, idf, space, queries, [i for i, _ in block], [w.tolist() for w in words], required_terms(words, rarity, options["min_lcs_with_answer"])))
     low = options["min_cosine"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, idf, space, queries, ids, words = shared.value
+        vocabulary, idf, space, queries, ids, words, required = shared.value
         masks, answers = [bit_masks(w) for w in words], [bit_masks(w[-ANSWER:]) for w in words]
         for batch in batches:
             texts = [word_hashes(t) for t in batch.column("text").to_pylist()]
             doc_ids, out = batch.column("doc_id").to_pylist(), {}
+            holding = _holding(texts, required)
             for sorted_terms, where in _chunks(iter(texts), PASSAGE // 2):
                 passage, term, tf = _entries(sorted_terms)
                 w, _ = _weights(passage, term, tf, idf, len(where))
                 column = vocabulary[term]
                 use = column >= 0
                 share = np.bincount(passage[use], w[use].astype(np.float64) ** 2, len(where))
-                use &= (share >= low * low)[passage]
-                if not use.any():
+                rich = share >= low * low
+                exact = [(i, q) for i, at in enumerate(where) for q in holding.get(at, ())] if holding else []
+                rich[[i for i, _ in exact]] = True
+                left = np.flatnonzero(rich)
+                if not len(left):
                     continue
-                left, rows = np.unique(passage[use], return_inverse=True)
+                use &= rich[passage]
+                rows = np.searchsorted(left, passage[use])
                 y = _add_sums(rows, space[column[use]] * w[use][:, None], np.zeros((len(left), space.shape[1]), np.float32))
                 near = y @ queries.T
-                for p, q in zip(*np.nonzero(near >= low), strict=True):
+                wanted = near >= low
+                if exact:
+                    i, q = np.array(exact).T
+                    wanted[np.searchsorted(left, i), q] = True
+                for p, q in zip(*np.nonzero(wanted), strict=True):
                     row, at = where[left[p]]
                     n = len(words[q])
                     region = texts[row][max(0, at - n) : at + PASSAGE + n].tolist()
@@ -283,7 +386,7 @@ def contaminated(
     rows = benchmark.select(F.col("item_id").cast("long"), "text").filter("text is not null and item_id is not null").orderBy("item_id", "text").toLocalIterator()
 
     def search(part: list[tuple], found: DataFrame | None) -> DataFrame:
-        out = stash(_search(docs, part, idf, share, options), "contaminated")
+        out = stash(_search(docs, part, idf, share, frequency / max(n, 1), options), "contaminated")
         return out if found is None else found.union(out)
 
     for r in rows:

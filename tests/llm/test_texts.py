@@ -82,6 +82,44 @@ def test_leaks_and_paraphrases(spark, documents):
     assert decontamination.contaminated(documents(rows), bench.filter("false")).count() == 0
 
 
+def test_what_is_leaked_often_is_found(spark, documents):
+    rng = random.Random(17)
+    item, common = " ".join(gibberish(rng, 40)), " ".join(rng.choice("the of and to in".split()) for _ in range(24))
+    hot = " ".join(gibberish(rng, 30)) + " " + item + " " + " ".join(gibberish(rng, 30))
+    rows = [(i, " ".join(gibberish(rng, 150)), "s") for i in range(160)] + [(1000 + i, hot, "s") for i in range(80)]
+    rows.append((2000, " ".join(gibberish(rng, 500)) + " " + item + " " + " ".join(gibberish(rng, 500)), "s"))
+    rows.append((2001, " ".join(gibberish(rng, 80)) + " " + common + " " + " ".join(gibberish(rng, 80)), "s"))
+    bench = spark.createDataFrame([(1, item), (2, common)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(documents(rows), bench).collect()}
+    assert {d for d, i in got if i == 1} == {r[0] for r in rows if item in r[1]} and (2001, 2) in got
+    assert {r.doc_id for r in decontamination.drop_contaminated(documents(rows), bench.filter("item_id = 1")).collect()} == {r[0] for r in rows if item not in r[1]}
+
+
+def test_every_passage_that_passes_is_found(spark, documents):
+    rng = random.Random(23)
+    vocabulary = "the of and to in".split() + ["".join(rng.choice("abcdefghijklm") for _ in range(5)) for _ in range(60)]
+    text = lambda n: [rng.choice(vocabulary[: rng.choice([5, 65])]) for _ in range(n)]
+    items = [(i, text(rng.choice([6, 15, 40, 90]))) for i in range(24)]
+    rows = []
+    for i in range(60):
+        words = text(rng.choice([3, 40, 200, 700]))
+        own = [w if rng.random() < rng.choice([1, 0.75]) else "other" for w in rng.choice(items)[1]]
+        at = rng.randint(0, len(words))
+        rows.append((i, " ".join(words[:at] + own + words[at:]), "s"))
+    want = set()
+    for doc, joined, _ in rows:
+        words = joined.split()
+        for i, item in items:
+            n, masks, answer = len(item), decontamination.bit_masks(item), decontamination.bit_masks(item[-8:])
+            for at in range(0, 32 * max(1, -(-len(words) // 32) - 1), 32):
+                region = words[max(0, at - n) : at + 64 + n]
+                lcs = decontamination.common_subsequence(masks, n, region) / n
+                if lcs >= 0.8 or lcs >= 0.6 and decontamination.common_subsequence(answer, min(n, 8), region) == min(n, 8):
+                    want.add((doc, i))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontamination.contaminated(documents(rows), bench, block=9).collect()} == want
+
+
 def test_common_subsequence():
     for a, b, n in [([1, 2, 3, 4], [2, 9, 4], 2), ([1, 1, 2], [1, 2, 1], 2), ([5], [], 0), (list(range(70)), list(range(70)), 70)]:
         assert decontamination.common_subsequence(decontamination.bit_masks(a), len(a), b) == n
