@@ -41,6 +41,7 @@ MAX_DF = 0.02
 MIN_COSINE, MIN_LCS, MIN_LCS_ANSWER = 0.25, 0.8, 0.6
 CHUNK_PASSAGES = 512
 HALF = PASSAGE // 2
+FOUND = "doc_id long, text_hash long, item_id long, lcs_share double, cosine double, has_answer boolean"
 _LOG_TF = np.r_[0.0, 1 + np.log(np.arange(1, PASSAGE + 1))]
 
 
@@ -323,7 +324,7 @@ def _search(docs: DataFrame, block: list[tuple], idf: np.ndarray, df_share: np.n
         masks, answers = [bit_masks(w) for w in words], [bit_masks(w[-ANSWER:]) for w in words]
         for batch in batches:
             texts = [word_hashes(t) for t in batch.column("text").to_pylist()]
-            doc_ids, out = batch.column("doc_id").to_pylist(), {}
+            doc_ids, hashes, out = batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist(), {}
             holding = _holding(texts, required)
             for sorted_terms, where in _chunks(iter(texts), PASSAGE // 2):
                 passage, term, tf = _entries(sorted_terms)
@@ -357,14 +358,14 @@ def _search(docs: DataFrame, block: list[tuple], idf: np.ndarray, df_share: np.n
                         key = (row, int(q))
                         out[key] = max(out.get(key, (0.0, 0.0, False)), (lcs, float(near[p, q]), answer))
             if out:
-                cols = [[doc_ids[r] for r, _ in out], [ids[q] for _, q in out], *zip(*out.values(), strict=True)]
-                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_()]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "item_id", "lcs_share", "cosine", "has_answer"])
+                cols = [[doc_ids[r] for r, _ in out], [hashes[r] for r, _ in out], [ids[q] for _, q in out], *zip(*out.values(), strict=True)]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_()]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "text_hash", "item_id", "lcs_share", "cosine", "has_answer"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, item_id long, lcs_share double, cosine double, has_answer boolean")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary")).mapInArrow(run, FOUND)
 
 
-def contaminated(
+def _found(
     docs: DataFrame,
     benchmark: DataFrame,
     *,
@@ -376,7 +377,7 @@ def contaminated(
     min_lcs_with_answer: float = MIN_LCS_ANSWER,
     block: int = BLOCK_ITEMS,
 ) -> DataFrame:
-    """(doc_id, item_id, lcs_share, cosine, has_answer): the items each document holds."""
+    """FOUND: the items each row holds."""
     options = {"rank": rank, "item_weight": item_weight, "max_df": max_df, "min_cosine": min_cosine, "min_lcs": min_lcs, "min_lcs_with_answer": min_lcs_with_answer}
     frequency, n = passage_frequencies(docs)
     idf = np.log((1 + n) / (1 + frequency)) + 0.01
@@ -397,15 +398,21 @@ def contaminated(
     if held:
         found = search(held, found)
     if found is None:
-        found = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, lcs_share double, cosine double, has_answer boolean")
+        found = docs.sparkSession.createDataFrame([], FOUND)
+    return found
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """(doc_id, item_id, lcs_share, cosine, has_answer): the items each document holds."""
+    found = _found(docs, benchmark, **options)
     best = F.max(F.struct("lcs_share", "cosine", "has_answer")).alias("b")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.*")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without the rows that hold a benchmark item."""
-    hit = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["__id"]), "left_anti")
+    """``docs`` without the rows that hold a benchmark item, told by (doc_id, text) as ids may repeat or be null."""
+    hit = _found(docs, benchmark, **options).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    return docs.join(hit, docs["doc_id"].cast("long").eqNullSafe(hit["__id"]) & (F.xxhash64(docs["text"]) == hit["__hash"]), "left_anti")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casegraph.llm.common import stash, table
@@ -47,16 +47,16 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+    """(doc_id, text_hash, fp): the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
             prints = np.array([fingerprint(t or b"") for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(prints)], ["doc_id", "text_hash", "fp"])
 
-    narrow = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
-    return narrow.mapInArrow(run, "doc_id long, fp long")
+    narrow = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary"))
+    return narrow.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,27 +138,36 @@ def links(nodes: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     )
 
 
+def _rooted(prints: DataFrame, first: Column, bucket_limit: int) -> DataFrame:
+    """(fp, first_id, root): ``first`` of the rows of each fingerprint, and its group."""
+    nodes = prints.groupBy("fp").agg(first.alias("first_id"))
+    linked = components(links(nodes.select("fp"), bucket_limit))
+    return nodes.join(linked, nodes["fp"] == linked["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+
+
 def groups(docs: DataFrame, *, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """(doc_id, fp long, component_id) per row of ``docs``."""
     prints = stash(fingerprints(docs), "simhash-prints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    linked = components(links(nodes.select("fp"), bucket_limit))
-    rooted = nodes.join(linked, nodes["fp"] == linked["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(prints, F.min("doc_id"), bucket_limit)
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each group: the one with the group's smallest doc_id. Rows without an id stay only where no row of their group has one."""
-    found = stash(groups(docs), "simhash-groups")
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    ids = kept.select(F.col("doc_id").alias("__id")).distinct()
-    out = docs.join(ids, docs["doc_id"].eqNullSafe(ids["__id"]), "left_semi")
-    # Rows that repeat an id are one document; the aggregate is paid for only where there are such.
-    if found.groupBy("doc_id").count().filter("count > 1").isEmpty():
+    """One row of each group: the one with the group's smallest doc_id. Rows without an id stay only where no row of their group has one.
+
+    A row is told by (doc_id, text), as ids may repeat or be null. Rows equal in both are one document; the least of them in all columns stays.
+    """
+    prints = stash(fingerprints(docs), "simhash-prints")
+    rooted = _rooted(prints, F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")), BUCKET_LIMIT)
+    kept = stash(rooted.groupBy("root").agg(F.min("first_id").alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.text_hash").alias("__hash")), "simhash-kept")
+    out = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["__id"]) & (F.xxhash64(docs["text"]) == kept["__hash"]), "left_semi")
+    # The aggregate is paid for only where rows repeat.
+    if prints.groupBy("doc_id", "text_hash").count().filter("count > 1").isEmpty():
         return out
-    return out.dropDuplicates(["doc_id"])
+    row = F.struct(*out.columns)
+    return out.groupBy("doc_id", F.xxhash64("text").alias("__hash")).agg(F.min_by(row, F.to_json(row)).alias("__row")).select("__row.*")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,6 +59,16 @@ def test_nulls_copies_and_empty_tables(spark, documents):
     assert simhash.groups(documents([])).count() == 0
 
 
+def test_rows_with_null_or_repeated_ids_stay(spark, documents):
+    rng = random.Random(3)
+    text = lambda: " ".join("".join(rng.choice("abcdefghijklm") for _ in range(6)) for _ in range(30))
+    a, b, c, d, e, f = (text() for _ in range(6))
+    rows = [(None, a, "s"), (None, b, "s"), (None, b, "t"), (7, c, "s"), (7, d, "s"), (None, c, "s"), (9, e, "s"), (8, e, "s"), (7, f, "t"), (7, f, "s")]
+    for n in (1, 5):
+        got = simhash.keep_one(documents(rows).repartition(n)).collect()
+        assert sorted((r.doc_id or 0, r.text, r.source) for r in got) == sorted([(0, a, "s"), (0, b, "s"), (7, c, "s"), (7, d, "s"), (8, e, "s"), (7, f, "s")])
+
+
 def test_fingerprint_follows_its_definition():
     import xxhash
 

@@ -120,6 +120,15 @@ def test_every_passage_that_passes_is_found(spark, documents):
     assert {(r.doc_id, r.item_id) for r in decontamination.contaminated(documents(rows), bench, block=9).collect()} == want
 
 
+def test_only_rows_that_hold_an_item_go(spark, documents):
+    rng = random.Random(29)
+    item = " ".join(gibberish(rng, 40))
+    clean = [" ".join(gibberish(rng, 100)) for _ in range(4)]
+    rows = [(None, clean[0], "s"), (None, clean[1], "s"), (None, clean[2] + " " + item, "s"), (5, clean[3], "s"), (5, item, "s"), (None, None, "s")]
+    left = decontamination.drop_contaminated(documents(rows), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in left) == sorted([(0, clean[0]), (0, clean[1]), (5, clean[3]), (0, "")])
+
+
 def test_common_subsequence():
     for a, b, n in [([1, 2, 3, 4], [2, 9, 4], 2), ([1, 1, 2], [1, 2, 1], 2), ([5], [], 0), (list(range(70)), list(range(70)), 70)]:
         assert decontamination.common_subsequence(decontamination.bit_masks(a), len(a), b) == n
