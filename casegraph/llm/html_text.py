@@ -6,7 +6,7 @@ paired with its neighbours in that order, and the blocks outside articles are al
 template and is deleted. Two pages that share nearly everything are copies of one page, and tell nothing about the template.
 
 Differencing alone can't give right results: menus and adverts often differ from page to page, and paragraphs of an article can recur on the next
-page. So blocks in self-named boilerplate go even if unshared, and blocks in an article element stay even if shared; differencing decides the rest, which is all of a page without an article element.
+page. So blocks in self-named boilerplate go even if unshared, and blocks in an article element stay even if shared; differencing decides on the plain blocks of every page, with or without an article element.
 
 The rank comes from the sizes of the sorted partitions, so pairs don't depend on how Spark cut the range, and a host with a third of all pages is spread
 over as many partitions as its share. Only hashes of lines are sorted and joined.
@@ -160,9 +160,7 @@ def candidates(pages: DataFrame) -> DataFrame:
         for batch in batches:
             lines = []
             for page in batch.column("html").to_pylist():
-                found = [(t, where) for t, where in blocks(page) if where != OTHER]
-                wanted = ARTICLE if any(where == ARTICLE for _, where in found) else PLAIN
-                kept = "\n".join(f"{where}{t}" for t, where in found if where == wanted)
+                kept = "\n".join(f"{where}{t}" for t, where in blocks(page) if where != OTHER)
                 lines.append(zstandard.compress(kept.encode("utf-8", "surrogatepass"), 3))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "page_id", "url")), pa.array(lines, pa.binary())], ["row", "page_id", "url", "lines"])
 

@@ -42,6 +42,13 @@ def test_differencing_removes_what_neighbours_share(spark):
     assert html_text.main_text(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_plain_blocks_beside_an_article_stay(spark):
+    body = "<div>Home of news</div><h1>Head {0}</h1><div>Long body of story {0}</div><article>Card {0}</article><div>All rights reserved</div>"
+    rows = [(i, f"http://h.example/a/{i}", page(body.format(i)), "x") for i in range(4)]
+    texts = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, PAGES)).collect()}
+    assert texts == {i: f"Head {i}\n\nLong body of story {i}\n\nCard {i}" for i in range(4)}
+
+
 def test_shared_lines_is_a_longest_common_subsequence():
     rng = random.Random(5)
     for _ in range(60):
