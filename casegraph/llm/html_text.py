@@ -1,9 +1,10 @@
 """Main text of web pages by nearest-URL page differencing.
 
 Every page becomes a list of text blocks, each marked by where it stands: in the page's own article element, in an element that names itself as
-something else (menu, header, footer, sidebar, notice, advert, form, comments), or neither. Pages are ranked by host and URL path with one range sort, each is
-paired with its neighbours in that order, and the blocks outside articles are aligned by longest common subsequence. What a page shares with a neighbour is its site's
-template and is deleted. Two pages that share nearly everything are copies of one page, and tell nothing about the template.
+something else (menu, header, footer, sidebar, notice, advert, form, comments), or neither. Pages of a host whose remaining lines are all equal are copies and tell nothing about
+the template: they count once, at their first path. The different contents are ranked by host and URL path with one range sort, each is
+paired with its neighbours in that order, and the plain blocks (neither in an article nor self-named) are aligned by longest common subsequence. What a page shares with a neighbour is its site's
+template and is deleted, from all its copies.
 
 Differencing alone can't give right results: menus and adverts often differ from page to page, and paragraphs of an article can recur on the next
 page. So blocks in self-named boilerplate go even if unshared, and blocks in an article element stay even if shared; differencing decides on the plain blocks of every page, with or without an article element.
@@ -42,8 +43,6 @@ NAMED = frozenset(
     "pagination pager login search contentinfo complementary form skip hidden".split()
 )
 ARTICLE, PLAIN, OTHER = 0, 1, 2
-#: Share of the smaller page's characters outside articles from which two pages are copies.
-COPY_SHARE = 0.9
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?/][^>]*>", re.S)
 NAMES = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
@@ -135,41 +134,62 @@ def shared_lines(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def _identified(pages: DataFrame) -> DataFrame:
-    """Adds ``row``, by content: rows that share it are equal, and so are their results."""
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").withColumn("row", F.xxhash64("page_id", "url", "html"))
+def _hosted(pages: DataFrame) -> DataFrame:
+    host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
+    path = F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1)
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("host"), path.alias("path"))
+
+
+def main_lines(page: str | None) -> list[tuple[str, int]]:
+    """The blocks that may be main text."""
+    return [(t, where) for t, where in blocks(page) if where != OTHER]
+
 
+def marked(lines: list[tuple[str, int]]) -> bytes:
+    """The lines, each after its mark."""
+    return "\n".join(f"{where}{t}" for t, where in lines).encode("utf-8", "surrogatepass")
 
-def outside_articles(pages: DataFrame) -> DataFrame:
-    """(row, url, hashes, chars) of the lines outside articles: all that pairing needs."""
+
+def content_key(host: str | None, content: bytes) -> int:
+    """Equal for pages of a host whose main lines are equal."""
+    host = b"0" if host is None else b"1" + host.encode("utf-8", "surrogatepass")
+    return xxhash.xxh64_intdigest(host + b"\n" + content) - (1 << 63)
+
+
+def contents(pages: DataFrame) -> DataFrame:
+    """(key, host, path, hashes) of the different contents: the hashes of their plain lines, and the first path."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            outside = [[t for t, where in blocks(page) if where != ARTICLE] for page in batch.column("html").to_pylist()]
-            hashes = pa.array([[line_hash(t) for t in lines] for lines in outside], pa.list_(pa.int64()))
-            chars = pa.array([[len(t) for t in lines] for lines in outside], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("url"), hashes, chars], ["row", "url", "hashes", "chars"])
+            keys, hashes = [], []
+            for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
+                lines = main_lines(page)
+                keys.append(content_key(host, marked(lines)))
+                hashes.append([line_hash(t) for t, where in lines if where == PLAIN])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column("host"), batch.column("path"), pa.array(hashes, pa.list_(pa.int64()))], ["key", "host", "path", "hashes"])
 
-    return pages.select("row", "url", "html").mapInArrow(run, "row long, url string, hashes array<long>, chars array<int>")
+    found = pages.select("host", "path", "html").mapInArrow(run, "key long, host string, path string, hashes array<long>")
+    return found.groupBy("key").agg(F.first("host").alias("host"), F.min("path").alias("path"), F.first("hashes").alias("hashes"))
 
 
 def candidates(pages: DataFrame) -> DataFrame:
-    """(row, page_id, url, lines): the lines that may be main text, each after its mark, compressed for the shuffle to come."""
+    """(key, page_id, url, lines): the lines that may be main text, each after its mark, compressed for the shuffle to come."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lines = []
-            for page in batch.column("html").to_pylist():
-                kept = "\n".join(f"{where}{t}" for t, where in blocks(page) if where != OTHER)
-                lines.append(zstandard.compress(kept.encode("utf-8", "surrogatepass"), 3))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "page_id", "url")), pa.array(lines, pa.binary())], ["row", "page_id", "url", "lines"])
+            keys, lines = [], []
+            for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
+                content = marked(main_lines(page))
+                keys.append(content_key(host, content))
+                lines.append(zstandard.compress(content, 3))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column("page_id"), batch.column("url"), pa.array(lines, pa.binary())], ["key", "page_id", "url", "lines"])
 
-    return pages.select("row", "page_id", "url", "html").mapInArrow(run, "row long, page_id long, url string, lines binary")
+    return pages.select("page_id", "url", "host", "html").mapInArrow(run, "key long, page_id long, url string, lines binary")
 
 
-def ranked(pages: DataFrame) -> DataFrame:
-    """(row, hashes, chars, host, rank): rank in the order of host, path and row."""
-    schema = "row long, hashes array<long>, chars array<int>, host string, part int, place long"
+def ranked(found: DataFrame) -> DataFrame:
+    """(key, hashes, host, rank): rank in the order of host, path and key."""
+    schema = "key long, hashes array<long>, host string, part int, place long"
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -178,13 +198,12 @@ def ranked(pages: DataFrame) -> DataFrame:
         for batch in batches:
             place = pa.array(np.arange(n, n + batch.num_rows))
             n += batch.num_rows
-            keep = [batch.column(c) for c in ("row", "hashes", "chars", "host")]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(np.full(batch.num_rows, part, np.int32)), place], ["row", "hashes", "chars", "host", "part", "place"])
+            keep = [batch.column(c) for c in ("key", "hashes", "host")]
+            yield pa.RecordBatch.from_arrays([*keep, pa.array(np.full(batch.num_rows, part, np.int32)), place], ["key", "hashes", "host", "part", "place"])
 
-    host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
-    path = F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1)
-    keyed = pages.select("row", "hashes", "chars", host.alias("host"), path.alias("path"))
-    placed = stash(keyed.repartitionByRange("host", "path", "row").sortWithinPartitions("host", "path", "row").mapInArrow(number, schema), "pages-ranked")
+    # The range sort samples its input: written first, so that pages are not parsed again for it.
+    keyed = stash(found, "pages-contents").select("key", "hashes", "host", "path")
+    placed = stash(keyed.repartitionByRange("host", "path", "key").sortWithinPartitions("host", "path", "key").mapInArrow(number, schema), "pages-ranked")
     # One number for each partition, so bounded by the cluster's parallelism.
     sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()
     offset, rows = 0, []
@@ -192,33 +211,33 @@ def ranked(pages: DataFrame) -> DataFrame:
         rows.append((part, offset))
         offset += n
     offsets = F.broadcast(placed.sparkSession.createDataFrame(rows, "part int, offset long"))
-    return placed.join(offsets, "part").select("row", "hashes", "chars", "host", (F.col("place") + F.col("offset")).alias("rank"))
+    return placed.join(offsets, "part").select("key", "hashes", "host", (F.col("place") + F.col("offset")).alias("rank"))
 
 
-def template_lines(pages: DataFrame) -> DataFrame:
-    """(row, shared array<long>): hashes of the lines outside articles that a page shares with a neighbour."""
+def template_lines(found: DataFrame) -> DataFrame:
+    """(key, shared array<long>): hashes of the plain lines that a content shares with a neighbour."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, shared = [], []
-            for row, other, a, b, ca, cb in zip(*(batch.column(c).to_pylist() for c in ("row", "row2", "hashes", "hashes2", "chars", "chars2")), strict=True):
-                pairs = shared_lines(a, b)
-                if pairs and sum(ca[i] for i, _ in pairs) < COPY_SHARE * min(sum(ca), sum(cb)):
-                    common = [a[i] for i, _ in pairs]
-                    rows += [row, other]
+            keys, shared = [], []
+            for key, other, a, b in zip(*(batch.column(c).to_pylist() for c in ("key", "key2", "hashes", "hashes2")), strict=True):
+                if common := [a[i] for i, _ in shared_lines(a, b)]:
+                    keys += [key, other]
                     shared += [common, common]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(shared, pa.list_(pa.int64()))], ["row", "shared"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(shared, pa.list_(pa.int64()))], ["key", "shared"])
 
-    order = ranked(pages)
-    after = order.select(F.col("row").alias("row2"), F.col("hashes").alias("hashes2"), F.col("chars").alias("chars2"), F.col("host").alias("host2"), (F.col("rank") - 1).alias("rank"))
+    order = ranked(found)
+    after = order.select(F.col("key").alias("key2"), F.col("hashes").alias("hashes2"), F.col("host").alias("host2"), (F.col("rank") - 1).alias("rank"))
     pairs = order.join(after, "rank").filter(F.col("host").eqNullSafe(F.col("host2"))).drop("host", "host2", "rank")
-    return pairs.mapInArrow(run, "row long, shared array<long>").groupBy("row").agg(F.flatten(F.collect_list("shared")).alias("shared"))
+    shared = pairs.mapInArrow(run, "key long, shared array<long>").groupBy("key").agg(F.flatten(F.collect_list("shared")).alias("shared"))
+    # Written, so that AQE can split the join of a content with very many copies.
+    return stash(shared, "pages-shared")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) per row. Pages are parsed once for pairing and once for their text, so that text is shuffled once and never stored."""
-    rows = _identified(pages)
-    joined = candidates(rows).join(template_lines(outside_articles(rows)), "row", "left")
+    rows = _hosted(pages)
+    joined = candidates(rows).join(template_lines(contents(rows)), "key", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

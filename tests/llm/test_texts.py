@@ -49,6 +49,16 @@ def test_plain_blocks_beside_an_article_stay(spark):
     assert texts == {i: f"Head {i}\n\nLong body of story {i}\n\nCard {i}" for i in range(4)}
 
 
+def test_copies_and_short_articles_lose_their_template(spark):
+    template = "<nav>{1}</nav><div>{1}</div><p>{0}</p><div>{1} again</div>"
+    long = "Unnamed template of the site. " * 30
+    rows = [(i, f"http://h.example/a/{i}", page(template.format(f"Story {i}", long)), "x") for i in range(3)]
+    rows += [(10 + i, f"http://h.example/b/{i}", page(template.format("Copied story", long)), "x") for i in range(5)]
+    rows += [(20, "http://h.example/c/1", page(template.format("Last story", long)), "x")]
+    texts = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, PAGES)).collect()}
+    assert texts == {**{i: f"Story {i}" for i in range(3)}, **{10 + i: "Copied story" for i in range(5)}, 20: "Last story"}
+
+
 def test_shared_lines_is_a_longest_common_subsequence():
     rng = random.Random(5)
     for _ in range(60):
