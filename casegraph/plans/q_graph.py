@@ -71,15 +71,20 @@ h2 AS (SELECT DISTINCT h.case_id, seed, v AS node, 2 AS hop FROM h1 h JOIN both_
 SELECT case_id, seed, node, min(hop) AS hop FROM (SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2) GROUP BY 1, 2, 3"""
 
 
-def month_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """The customer-supplier-nation graph of the orders of one month."""
-    o = table(spark, d, "orders").filter("o_orderdate >= '1995-03-01' and o_orderdate < '1995-04-01'")
+def order_pairs(spark: SparkSession, d: str, where: str = "true") -> DataFrame:
+    """The customer-supplier-nation graph of the orders."""
+    o = table(spark, d, "orders").filter(where)
     j = o.join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     node = lambda t, k: F.concat(F.lit(f"{t}:"), k)
     pairs_ = F.explode(F.array(F.struct(node("customer", "o_custkey").alias("a"), node("supplier", "l_suppkey").alias("b")), F.struct(node("customer", "o_custkey").alias("a"), node("nation", "c_nationkey").alias("b"))))
     return j.select(pairs_.alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).cast("double").alias("weight")).select(F.lit("case_1").alias("case_id"), "a", "b", "weight", (1 / F.col("weight")).alias("distance"))
 
 
+def month_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """The graph of the orders of one month, as in the SQL."""
+    return order_pairs(spark, d, "o_orderdate >= '1995-03-01' and o_orderdate < '1995-04-01'")
+
+
 MONTH_SQL = r"""
 month AS (SELECT 'customer:' || o_custkey AS c, 'supplier:' || l_suppkey AS s, 'nation:' || c_nationkey AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN customer ON o_custkey = c_custkey WHERE o_orderdate >= '1995-03-01' AND o_orderdate < '1995-04-01'),
 pairs AS (SELECT c AS a, s AS b, CAST(count(*) AS DOUBLE) AS weight FROM month GROUP BY 1, 2 UNION ALL SELECT c, n, CAST(count(*) AS DOUBLE) FROM month GROUP BY 1, 2),
@@ -124,11 +129,11 @@ def _pagerank_sql(rounds: int) -> str:
 
 
 def g8_g9_betweenness(spark: SparkSession, d: str) -> DataFrame:
-    return iterative.betweenness(month_pairs(spark, d)).select("case_id", "node", F.round("betweenness", 9).alias("betweenness"), "estimated")
+    return iterative.betweenness(order_pairs(spark, d)).select("case_id", "node", F.round("betweenness", 9).alias("betweenness"), "estimated")
 
 
 def g10_communities(spark: SparkSession, d: str) -> DataFrame:
-    return iterative.communities(month_pairs(spark, d))
+    return iterative.communities(order_pairs(spark, d))
 
 
 def nodes_of(edges: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from casegraph import plans
 from casegraph.operators import anomalies, caselog, findings, graph, iterative, mentions
 
 
@@ -73,6 +74,15 @@ def test_empty_graph(spark):
     assert iterative.pagerank(none).count() == iterative.betweenness(none).count() == iterative.communities(none).count() == 0
 
 
+@pytest.mark.parametrize(("query", "job"), [("g8_g9_betweenness", "betweenness"), ("g10_communities", "communities")])
+def test_iterative_queries_take_all_orders(spark, sf_dir, monkeypatch, query, job):
+    given = []
+    monkeypatch.setattr(iterative, job, lambda pairs: given.append(pairs) or pairs.selectExpr("case_id", "a as node", "weight as betweenness", "true as estimated"))
+    plans.queries()[query](spark, sf_dir)
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").join(spark.read.parquet(f"{sf_dir}/orders.parquet"), F.col("l_orderkey") == F.col("o_orderkey")).count()
+    assert given[0].agg(F.sum("weight")).first()[0] == 2 * lines
+
+
 def test_simple_paths_are_the_shortest(spark):
     rng = random.Random(3)
     edges = {tuple(sorted(rng.sample("abcdefgh", 2))) for _ in range(14)}
