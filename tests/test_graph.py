@@ -52,6 +52,11 @@ def test_betweenness_of_several_cases_at_once(spark):
     assert got == pytest.approx({(case, n): v for case, edges in graphs.items() for n, v in brute_betweenness(edges).items()})
 
 
+def test_unfinished_distances_are_an_error(spark):
+    with pytest.raises(RuntimeError):
+        iterative.betweenness(graph_of(spark, PATH), max_rounds=2)
+
+
 def test_sampled_betweenness_is_flagged(spark):
     got = iterative.betweenness(graph_of(spark, BARBELL), exact_to=4, pivots=3).collect()
     assert all(r.estimated for r in got) and len(got) == 8
