@@ -13,7 +13,13 @@ anchor form a segment; every window lies in exactly one. So the corpus shrinks t
 4. anchors with more than ``shard_limit`` different segments, which would make one task too large, are compared window by
    window through a hash of each window: exact as well, and spread over all tasks however hot the anchor is.
 
-Spans of repeated windows come back as (__doc, start, end) in units.
+Rows of a group are met with what is known of the group in :func:`joined`: groups that hold over 1 / ``HOT_GROUPS`` of all rows, hence fewer than
+``HOT_GROUPS`` of them, are broadcast, so the rows of a hot anchor or passage stay where they are.
+
+Hashes of segments and windows combine one modulo 2**64 and one modulo 2**31 - 1, so that texts made to collide in the first (as
+Thue-Morse words do under every base) differ in the second.
+
+Spans of repeated windows come back as (__doc, start, end) in units. With ``regions`` only windows inside those parts of the texts count.
 
 Documents are told apart by doc_id. Where ids repeat or are null, by (doc_id, text), null first: rows equal in both are one
 document, and each gets its result.
@@ -33,18 +39,39 @@ from casegraph.llm.common import drop_stash, stash
 
 BLOCK = 1 << 17  # units hashed at once
 SHARD_LIMIT = 2000
+HOT_GROUPS, HOT_ROWS = 256, 1000
 _B = 0x9E3779B97F4A7C15 | 1
 _IB = pow(_B, -1, 1 << 64)
 #: Random but fixed values for the 256 bytes.
 BYTE_VALUES = np.array([xxhash.xxh64_intdigest(bytes([b]), 7) for b in range(256)], np.uint64)
 _POSITION = np.uint64((1 << 31) - 1)
+_P31 = (1 << 31) - 1
+_B31 = 0x3C6EF372
+_IB31 = pow(_B31, -1, _P31)
+
+
+def fold31(x: np.ndarray) -> np.ndarray:
+    """Congruent to x modulo 2**31 - 1, and under 2**34."""
+    return (x & np.uint64(_P31)) + (x >> np.uint64(31))
+
+
+def _powers31(base: int, n: int) -> np.ndarray:
+    out = np.ones(n, np.uint64)
+    have = 1
+    while have < n:
+        more = min(have, n - have)
+        out[have : have + more] = out[:more] * np.uint64(pow(base, have, _P31)) % np.uint64(_P31)
+        have += more
+    return out
 
 
 class Powers:
-    """Powers of the base and of its inverse modulo 2**64, grown on demand."""
+    """Powers of the bases and of their inverses, modulo 2**64 and modulo 2**31 - 1, grown on demand."""
 
     up = np.ones(1, np.uint64)
     down = np.ones(1, np.uint64)
+    up31 = np.ones(1, np.uint64)
+    down31 = np.ones(1, np.uint64)
 
     @classmethod
     def get(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -54,6 +81,24 @@ class Powers:
             cls.down = np.multiply.accumulate(np.r_[np.uint64(1), np.full(size - 1, _IB, np.uint64)])
         return cls.up[:n], cls.down[:n]
 
+    @classmethod
+    def get31(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls.up31) < n:
+            size = max(n, BLOCK * 2)
+            cls.up31, cls.down31 = _powers31(_B31, size), _powers31(_IB31, size)
+        return cls.up31[:n], cls.down31[:n]
+
+
+def sums31(x: np.ndarray) -> np.ndarray:
+    """Running sums of x[i] * base**i modulo 2**31 - 1, from 0; not reduced."""
+    return np.r_[np.uint64(0), np.cumsum(fold31(fold31(fold31(x)) * Powers.get31(len(x))[0]))]
+
+
+def pieces31(total: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The hash modulo 2**31 - 1 of each x[lo:hi]."""
+    down = Powers.get31(len(total))[1]
+    return (total[hi] - total[lo]) % np.uint64(_P31) * down[lo] % np.uint64(_P31)
+
 
 def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
@@ -135,7 +180,8 @@ def segments(x: np.ndarray, cuts: np.ndarray, window: int, anchor: int) -> tuple
     picks = (least[starts] & _POSITION).astype(np.int64)
     new = np.flatnonzero(np.r_[True, (picks[1:] != picks[:-1]) | (starts[1:] != starts[:-1] + 1)])
     lo, hi, at = starts[new], starts[np.r_[new[1:], len(starts)] - 1], picks[new]
-    whole = mixed((total[hi + window] - total[lo]) * down[lo] + (hi - lo).astype(np.uint64) * np.uint64(_B))
+    whole = (total[hi + window] - total[lo]) * down[lo] + (hi - lo).astype(np.uint64) * np.uint64(_B)
+    whole = mixed(whole ^ mixed(pieces31(sums31(x), lo, hi + window)))
     return lo, hi, at, grams[at], whole
 
 
@@ -156,10 +202,10 @@ def _texts(docs: DataFrame) -> DataFrame:
     return texts if docs.schema["__doc"].dataType.simpleString() == "bigint" else texts.dropDuplicates(["__doc"])
 
 
-def _blocks(units: Iterator[tuple[int, np.ndarray]], window: int) -> Iterator[tuple[np.ndarray, list[tuple[int, int]], list[int]]]:
+def _blocks(units: Iterator[tuple[int, int, np.ndarray]], window: int) -> Iterator[tuple[np.ndarray, list[tuple[int, int]], list[int]]]:
     """Packs texts, and tiles of long ones that overlap by a window less one, into blocks: units, [(row, first unit)], cuts."""
     held, rows, cuts = [], [], [0]
-    for row, u in units:
+    for row, base, u in units:
         if len(u) < window:
             continue
         for at in range(0, len(u) - window + 1, BLOCK):
@@ -168,21 +214,36 @@ def _blocks(units: Iterator[tuple[int, np.ndarray]], window: int) -> Iterator[tu
                 yield np.concatenate(held), rows, cuts
                 held, rows, cuts = [], [], [0]
             held.append(tile)
-            rows.append((row, at))
+            rows.append((row, base + at))
             cuts.append(cuts[-1] + len(tile))
     if held:
         yield np.concatenate(held), rows, cuts
 
 
-def find_segments(docs: DataFrame, kind: type, window: int, anchor: int) -> DataFrame:
-    """(key, seg, __doc, at, lo, n): anchor hash, segment hash, and in units the anchor's place, the first window and the number of windows."""
+def find_segments(docs: DataFrame, kind: type, window: int, anchor: int, regions: DataFrame | None = None) -> DataFrame:
+    """(key, seg, __doc, at, lo, n): anchor hash, segment hash, and in units the anchor's place, the first window and the number of windows.
+
+    ``regions`` (__doc, start, end) may overlap; documents without one are passed over.
+    """
+
+    some = regions is not None
+
+    def parts(batch: pa.RecordBatch, reader) -> Iterator[tuple[int, int, np.ndarray]]:
+        spans = batch.column("regions") if some else None
+        for row, t in enumerate(batch.column("text")):
+            units = reader.units(t.as_buffer() if reader.kind == "bytes" else t.as_py())
+            if spans is None:
+                yield row, 0, units
+            else:
+                start, stop = (x.to_numpy() for x in spans[row].values.flatten())
+                for a, b in zip(*(x.tolist() for x in merged(start, stop)), strict=True):
+                    yield row, a, units[a:b]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = kind()
         for batch in batches:
             ids = batch.column("__doc")
-            texts = (reader.units(t.as_buffer() if reader.kind == "bytes" else t.as_py()) for t in batch.column("text"))
-            for units, rows, cuts in _blocks(enumerate(texts), window):
+            for units, rows, cuts in _blocks(parts(batch, reader), window):
                 cuts = np.array(cuts)
                 lo, hi, at, key, seg = segments(reader.values(units), cuts, window, anchor)
                 if not len(lo):
@@ -195,7 +256,23 @@ def find_segments(docs: DataFrame, kind: type, window: int, anchor: int) -> Data
                 yield pa.RecordBatch.from_arrays(cols, ["key", "seg", "__doc", "at", "lo", "n"])
 
     kind_of_doc = docs.schema["__doc"].dataType.simpleString()
-    return _texts(docs).mapInArrow(run, f"key long, seg long, __doc {kind_of_doc}, at int, lo int, n int")
+    texts = _texts(docs)
+    if some:
+        texts = texts.join(regions.groupBy("__doc").agg(F.collect_set(F.struct("start", "end")).alias("regions")), "__doc")
+    return texts.mapInArrow(run, f"key long, seg long, __doc {kind_of_doc}, at int, lo int, n int")
+
+
+def joined(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """``rows`` joined to ``groups``, one row for each of ``keys`` with its number of rows in ``count``. ``total``: number of all rows.
+
+    Groups above ``total / HOT_GROUPS`` rows are broadcast: there are fewer than ``HOT_GROUPS`` of them. Both sides are written tables, so AQE can split what is left.
+    """
+    limit = max(HOT_ROWS, total // HOT_GROUPS)
+    hot = F.broadcast(groups.filter(F.col(count) > limit))
+    if groups.filter(F.col(count) > limit).isEmpty():
+        return rows.join(groups, keys)
+    cold = rows.join(hot.select(*keys), keys, "left_anti").join(groups.filter(F.col(count) <= limit), keys)
+    return cold.unionByName(rows.join(hot, keys))
 
 
 def _cut(docs: DataFrame, wanted: DataFrame, kind: type, window: int) -> DataFrame:
@@ -230,7 +307,9 @@ def _window_hashes(pieces: DataFrame, kind: type, window: int) -> DataFrame:
                 x = reader.values(reader.units(piece))
                 up, down = Powers.get(len(x) + 1)
                 total = np.r_[np.uint64(0), np.cumsum(x * up[: len(x)])]
-                h = mixed((total[window:] - total[:-window]) * down[: len(x) - window + 1]).view(np.int64)[:n]
+                lows = np.arange(len(x) - window + 1)
+                h = (total[window:] - total[:-window]) * down[: len(lows)]
+                h = mixed(h ^ mixed(pieces31(sums31(x), lows, lows + window))).view(np.int64)[:n]
                 start = np.arange(lo, lo + n, dtype=np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(n, key, np.int64)), pa.array(at - start), pa.array(h), pa.array([doc] * n, batch.schema.field("__doc").type), pa.array(np.full(n, at, np.int32)), pa.array(start)],
@@ -249,28 +328,34 @@ def repeated_spans(
     *,
     keep_first: bool,
     shard_limit: int = SHARD_LIMIT,
+    regions: DataFrame | None = None,
+    report: dict | None = None,
 ) -> DataFrame:
     """keyed() docs -> (__doc, start, end) of the windows to remove.
 
     With ``keep_first`` those that start earlier too, else those that start anywhere else too. ``match`` gets rows
-    (key, __doc, at, lo, n, piece) sorted by key, __doc, at, and yields (__doc, start, end).
+    (key, __doc, at, lo, n, piece) sorted by key, __doc, at, and yields (__doc, start, end). ``report`` gets how many segments each path decides.
     """
-    found = stash(find_segments(docs, kind, window, anchor), "segments")
-    # Written first: a join of two exchanges is one that AQE can split at a hot anchor; a join onto an aggregate is not.
-    twice = stash(found.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key"), "anchors-repeated")
-    again = stash(found.join(twice, "key"), "segments-repeated")
+    found = stash(find_segments(docs, kind, window, anchor, regions), "segments")
+    twice = stash(found.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "anchors-repeated")
+    total = twice.agg(F.sum("c")).first()[0] or 0
+    again = stash(joined(found, twice, ["key"], "c", total).drop("c"), "segments-repeated")
     drop_stash(found)
+    drop_stash(twice)
     place = F.struct("__doc", "at", "lo", "n")
     distinct = stash(again.groupBy("key", "seg").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("first")), "segments-distinct")
-    copied = distinct.filter("copies > 1")
-    copies = again.join(copied, ["key", "seg"])
+    copies = joined(again, distinct.filter("copies > 1"), ["key", "seg"], "copies", total)
     if keep_first:
         copies = copies.filter((F.col("__doc") != F.col("first.__doc")) | (F.col("at") != F.col("first.at")))
     end = lambda start, n: start + n + F.lit(window - 1)
     copy_spans = copies.select("__doc", F.col("lo").alias("start"), end(F.col("lo"), F.col("n")).alias("end"))
 
     several = stash(distinct.groupBy("key").agg(F.count(F.lit(1)).alias("n_segs")).filter("n_segs > 1"), "anchors-several")
-    wanted = distinct.join(several, "key").select("key", "first.*", "n_segs")
+    n_several = several.agg(F.sum("n_segs")).first()[0] or 0
+    if report is not None:
+        hot = several.filter(F.col("n_segs") > shard_limit).agg(F.sum("n_segs")).first()[0] or 0
+        report |= {"segments of repeated anchors": total, "different": distinct.count(), "compared in shards": n_several - hot, "compared by window hashes": hot}
+    wanted = joined(distinct, several, ["key"], "n_segs", n_several).select("key", "first.*", "n_segs")
     pieces = stash(_cut(docs, wanted, kind, window), "pieces")
     doc_type = docs.schema["__doc"].dataType.simpleString()
     matched = (
@@ -283,7 +368,7 @@ def repeated_spans(
         return copy_spans.union(matched)
     windows = stash(windows, "windows")
     same = stash(windows.groupBy("key", "off", "h").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("__doc", "at")).alias("first")).filter("c > 1"), "windows-repeated")
-    hot = windows.join(same, ["key", "off", "h"])
+    hot = joined(windows, same, ["key", "off", "h"], "c", windows.count())
     if keep_first:
         hot = hot.filter((F.col("__doc") != F.col("first.__doc")) | (F.col("at") != F.col("first.at")))
     return copy_spans.union(matched).union(hot.select("__doc", "start", end(F.col("start"), F.lit(1)).alias("end")))
@@ -291,15 +376,23 @@ def repeated_spans(
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The maximal runs that the spans cover."""
+    if not len(starts):
+        return starts, ends
     order = np.argsort(starts, kind="stable")
     starts, ends = starts[order], np.maximum.accumulate(ends[order])
     new = np.r_[True, starts[1:] > ends[:-1]]
     return starts[new], ends[np.r_[np.flatnonzero(new)[1:] - 1, len(ends) - 1]]
 
 
-def with_spans(docs: DataFrame, spans: DataFrame, finish: Callable, schema: str, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Joins each document to its spans and yields finish(text, starts, ends) -> tuple of the ``schema`` columns, after the carried ones."""
-    per_doc = spans.groupBy("__doc").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+def with_spans(docs: DataFrame, spans: DataFrame, finish: Callable, schema: str, carry: tuple[str, ...] = (), more: DataFrame | None = None) -> DataFrame:
+    """Joins each document to its spans and yields finish(text, starts, ends) -> tuple of the ``schema`` columns, after the carried ones.
+
+    With ``more``, spans of a second kind, finish gets their starts and ends too.
+    """
+    told, two = spans.withColumn("more", F.lit(False)), more is not None
+    if two:
+        told = told.union(more.withColumn("more", F.lit(True)))
+    per_doc = told.groupBy("__doc").agg(F.collect_set(F.struct("start", "end", "more")).alias("spans"))
     joined = docs.join(per_doc, "__doc", "left").select(*carry, "text", "spans")
     names = [x.split()[0] for x in schema.split(", ")]
     empty = np.zeros(0, np.int64)
@@ -308,12 +401,9 @@ def with_spans(docs: DataFrame, spans: DataFrame, finish: Callable, schema: str,
         for batch in batches:
             rows = []
             for text, spans in zip(batch.column("text"), batch.column("spans"), strict=True):
-                if spans.is_valid:
-                    start, stop = (x.to_numpy() for x in spans.values.flatten())
-                    start, stop = merged(start, stop)
-                else:
-                    start = stop = empty
-                rows.append(finish(text.as_py() or b"", start, stop))
+                start, stop, second = (x.to_numpy(zero_copy_only=False) for x in spans.values.flatten()) if spans.is_valid else (empty, empty, empty > 0)
+                ends = merged(start[~second], stop[~second])
+                rows.append(finish(text.as_py() or b"", *ends, *(merged(start[second], stop[second]) if two else ())))
             cols = [pa.array(c) for c in zip(*rows, strict=True)] if rows else []
             if rows:
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), *cols], [*carry, *names])

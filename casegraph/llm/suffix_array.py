@@ -8,6 +8,10 @@ positions). The longer of the two common prefixes is the suffix's longest previo
 Removal takes each byte that a repeated window covers: of later copies (``keep_first``), or of all of them. Windows are judged on the
 input, never on what is left, and never cross documents.
 
+``op4_suffix_array`` judges strings of 400 bytes, as its contract asks. A passage of over 50 words can be shorter than that (a word of the given tables and its
+space take 6.4 bytes), so the query also says how many bytes strings of 200 bytes that occur elsewhere cover. The longer strings are looked for only where
+those cover 400 bytes in a row: every 400-byte string that starts elsewhere too lies in such a run.
+
 Defined results: null text counts as empty; texts shorter than the window are returned unchanged; repeated rows (same id and text) are one
 document and get the same result; an empty table gives an empty result; other columns are carried.
 """
@@ -19,18 +23,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from casegraph.llm.common import table
+from casegraph.llm.common import stash, table
 from casegraph.llm.repeats import Bytes, keyed, repeated_spans, with_spans
 
-WINDOW = 400
+WINDOW, PASSAGE = 400, 200
 SHARD_BYTES = 1 << 20
 
 
 def _ranks(values: np.ndarray) -> np.ndarray:
-    order = np.argsort(values, kind="stable")
+    order = np.argsort(values)
     ranked = values[order]
     out = np.empty(len(values), np.int64)
     out[order] = np.cumsum(np.r_[0, ranked[1:] != ranked[:-1]])
@@ -52,7 +56,7 @@ def suffix_order(text: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.n
         h *= 2
     r = levels[-1][1]
     last = (r * (n + 2) + at(r, h) + 1)[starts]
-    order = starts[np.lexsort((starts, last))]
+    order = starts[np.argsort(last, kind="stable")]  # starts ascend
     i, j = order[1:], order[:-1]
     common = np.zeros(len(i), np.int64)
     for size, r in [levels[-1], *levels[::-1]]:
@@ -189,10 +193,28 @@ def byte_digest(text: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[int,
     return len(text), int((ends - starts).sum()), len(starts), left.hexdigest()
 
 
+def long_runs(spans: DataFrame, least: int) -> DataFrame:
+    """(__doc, start, end): the maximal runs that the spans cover, of ``least`` or more."""
+    by_start = Window.partitionBy("__doc").orderBy("start", "end")
+    reach = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+    runs = spans.distinct().withColumn("new", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(by_start))
+    return runs.groupBy("__doc", "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).filter(F.col("end") - F.col("start") >= least).select("__doc", "start", "end")
+
+
+def digest(docs: DataFrame, *, window: int = WINDOW, passage: int = PASSAGE, **limits) -> DataFrame:
+    """keyed() docs -> doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passage_bytes."""
+    passages = stash(byte_spans(docs, window=passage, keep_first=False, **limits), "passages")
+    spans = byte_spans(docs, window=window, keep_first=False, regions=long_runs(passages, window), **limits)
+
+    def finish(text: bytes, starts: np.ndarray, ends: np.ndarray, passage_starts: np.ndarray, passage_ends: np.ndarray) -> tuple:
+        return *byte_digest(text, starts, ends), int((passage_ends - passage_starts).sum())
+
+    schema = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_bytes long"
+    return with_spans(docs, spans, finish, schema, ("doc_id",), passages)
+
+
 def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = keyed(table(spark, sf_dir, "documents"))
-    spans = byte_spans(docs, window=WINDOW, keep_first=False)
-    return with_spans(docs, spans, byte_digest, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", ("doc_id",))
+    return digest(keyed(table(spark, sf_dir, "documents")))
 
 
 OP4_SQL = r"""
@@ -205,8 +227,11 @@ p AS (SELECT doc_id, run, min(s) AS a, max(s) + 400 AS b, lag(max(s) + 400) OVER
         lead(min(s)) OVER (PARTITION BY doc_id ORDER BY run) AS after FROM n GROUP BY doc_id, run),
 k AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans,
         string_agg(CASE WHEN before IS NULL THEN substr(h, 1, 2 * a) ELSE '' END || substr(h, 2 * b + 1, 2 * (coalesce(after, length(h) // 2) - b)), '' ORDER BY run) AS kept
-      FROM p JOIN d USING (doc_id) GROUP BY doc_id)
+      FROM p JOIN d USING (doc_id) GROUP BY doc_id),
+pg AS (SELECT doc_id, s, md5(substr(h, 2 * s + 1, 400)) AS g FROM (SELECT doc_id, h, unnest(range(length(h) // 2 - 199)) AS s FROM d)),
+pf AS (SELECT doc_id, s FROM (SELECT doc_id, s, count(*) OVER (PARTITION BY g) AS k FROM pg) WHERE k > 1),
+pp AS (SELECT doc_id, sum(least(200, coalesce(s - before, 200))) AS n_passage_bytes FROM (SELECT doc_id, s, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS before FROM pf) GROUP BY doc_id)
 SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
-  CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
-FROM d LEFT JOIN k USING (doc_id)
+  CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256, CAST(coalesce(n_passage_bytes, 0) AS BIGINT) AS n_passage_bytes
+FROM d LEFT JOIN k USING (doc_id) LEFT JOIN pp USING (doc_id)
 """

@@ -123,3 +123,33 @@ def test_long_texts_are_tiled(monkeypatch, spark, documents):
     spans = suffix_array.byte_spans(docs, window=400, keep_first=True)
     out = repeats.with_spans(docs, spans, suffix_array.byte_digest, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", ("doc_id",))
     assert {r.doc_id: r.n_removed for r in out.collect()} == {1: 0, 2: 289_000}
+
+
+@pytest.mark.parametrize(("seed", "limit", "odd"), [(6, 2000, False), (7, 2, True)])
+def test_digest_judges_two_lengths(spark, documents, monkeypatch, seed, limit, odd):
+    monkeypatch.setattr(repeats, "HOT_ROWS", 2)
+    rows = corpus(seed, odd)
+    out = suffix_array.digest(repeats.keyed(documents(rows)), window=60, passage=30, shard_limit=limit).collect()
+    assert sorted((key(r), *r[1:5]) for r in out) == brute_bytes(rows, 60)
+    assert sorted((key(r), r.n_bytes, r.n_passage_bytes) for r in out) == [r[:3] for r in brute_bytes(rows, 30)]
+
+
+def test_odd_rows_and_empty_tables_on_words(spark, documents):
+    rows = corpus(8, null_ids=True)
+    for some in (rows, []):
+        docs = repeats.keyed(documents(some))
+        out = repeats.with_spans(docs, substring_dedup.word_spans(docs), substring_dedup.word_digest, "n_words long, n_removed long, kept_sha256 string", ("doc_id",))
+        assert sorted((key(r), *r[1:]) for r in out.collect()) == brute_words(some)
+
+
+def test_thue_morse_words_have_different_hashes():
+    import numpy as np
+
+    bits = np.array([bin(i).count("1") % 2 for i in range(1 << 12)], np.uint8)
+    x = repeats.BYTE_VALUES[np.concatenate([bits, 1 - bits])]
+    n = len(bits)
+    total = np.r_[np.uint64(0), np.cumsum(x * repeats.Powers.get(2 * n + 1)[0][: 2 * n])]
+    down = repeats.Powers.get(2 * n + 1)[1]
+    assert total[n] == ((total[2 * n : 2 * n + 1] - total[n]) * down[n])[0]  # equal modulo 2**64
+    a, b = repeats.pieces31(repeats.sums31(x), np.array([0, n]), np.array([n, 2 * n]))
+    assert a != b and a == sum(int(v) * pow(repeats._B31, i, repeats._P31) for i, v in enumerate(x[:n])) % repeats._P31
