@@ -1,14 +1,15 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Documents are cut into passages of ``PASSAGE`` words. A passage is a TF-IDF vector over hashed terms, with document frequencies counted over
-all passages. A randomised SVD of the passages (with the benchmark items as further rows of weight ``item_weight``) is computed in one
-pass: with A the matrix and G a fixed Gaussian matrix, every task adds its share of A^T (A G), whose size does not depend on the
-corpus, and the driver turns the sum into right singular vectors V (Nystrom form). Only terms of the benchmark have rows there:
-others can't add to a product with an item, they count in the passages' lengths.
+Words (ASCII lower case, without punctuation) are hashed once and written as 32-bit ids; all later passes read those. Documents are cut into passages of
+``PASSAGE`` words. A passage is a TF-IDF vector over hashed terms, with document frequencies counted over all passages and a weight above zero for every term.
+A randomised SVD of all passages (with the benchmark items as further rows) is computed in one distributed pass: with A the matrix and G a fixed
+Gaussian matrix, every task adds its share of A^T (A G), whose size does not depend on the corpus, and the driver turns the sum into right singular vectors V
+(Nystrom form). The items' rows together weigh as much as all passages' rows, whatever the size of the corpus. Columns are the benchmark's terms: others can't add to a
+product with an item, they count in the passages' lengths. The rank is below the number of items, so items and passages meet in directions that terms share, and not term by term.
 
 Candidates are passages (now overlapping by half) whose cosine with an item, in the latent space and over the passage's whole length, reaches
 ``min_cosine``. A passage of which the benchmark's terms make up less than that share of the length can't reach it and is not projected.
-Terms in over ``max_df`` of the passages have no row in the latent space, and what is leaked often weighs little there. So each passage is also a candidate
+The cosine finds most leaks (``guarantee=False`` shows what it finds alone), but not all: what is leaked often, or made of frequent words, weighs little. So each passage is also a candidate
 for every item of which the words around it hold enough to pass the check: one that passes lacks at most ``n - need`` of the item's ``n`` words, so of any ``k`` of them
 ``k - (n - need)`` at least are there. ``k`` is chosen for each item by its terms' frequencies, which moves the cost and not the result.
 No leak that the check would pass is missed, however often it or its words occur.
@@ -18,7 +19,7 @@ A candidate is checked on the words around it: contaminated is a longest common
 The benchmark is taken in blocks of ``block`` items, each with a latent space of its own, so what is broadcast is bounded for any benchmark.
 
 Defined results: null and empty texts match nothing; items that are null or have no word are ignored; an empty benchmark or an empty table gives an
-empty result; repeated rows give one result, their pairs being equal.
+empty result; repeated rows give one result, their pairs being equal; other columns are ignored, or carried by ``drop_contaminated``.
 """
 
 from __future__ import annotations
@@ -27,45 +28,64 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casegraph.llm.common import stash, table
-from casegraph.llm.repeats import BYTE_VALUES, Powers, mixed
+from casegraph.llm.common import drop_stash, stash, table
 
 PASSAGE, ANSWER = 64, 8
 TERM_BITS = 17
-RANK, OVERSAMPLE, BLOCK_ITEMS = 256, 16, 200
-#: Terms in over this share of the passages say nothing about which item a passage holds: they are not in the latent space.
-MAX_DF = 0.02
+RANK, OVERSAMPLE, BLOCK_ITEMS = 96, 8, 1000
 MIN_COSINE, MIN_LCS, MIN_LCS_ANSWER = 0.25, 0.8, 0.6
+#: How rarely a passage should hold the words asked for by chance.
+RARE = 1e-4
 CHUNK_PASSAGES = 512
 HALF = PASSAGE // 2
 FOUND = "doc_id long, text_hash long, item_id long, lcs_share double, cosine double, has_answer boolean"
 _LOG_TF = np.r_[0.0, 1 + np.log(np.arange(1, PASSAGE + 1))]
 
 
-#: What a byte of text becomes: 0 white space, 1 dropped, else part of a word; ASCII letters in lower case.
-_FOLD = np.array([0 if i == 32 or 9 <= i <= 13 else i if i >= 128 else ord(chr(i).lower()) if chr(i).isalnum() or i == 95 else 1 for i in range(256)], np.uint8)
+#: Bytes of text in lower case, and those that are dropped: ASCII but white space, letters, digits and underscores.
+_LOWER = bytes(range(256)).lower()
+_DROPPED = bytes(i for i in range(128) if not (i == 32 or 9 <= i <= 13 or i == 95 or chr(i).isalnum()))
 
 
-def word_hashes(text: bytes | None) -> np.ndarray:
+class _Ids(dict):
+    """word -> 32-bit hash, kept while it is small."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 1 << 18:
+            self.clear()
+        self[word] = h = xxhash.xxh32_intdigest(word, 10)
+        return h
+
+
+def word_hashes(text: bytes | None, known: dict | None = None) -> np.ndarray:
     """Hashes of the text's words, less punctuation, in ASCII lower case."""
-    folded = _FOLD[np.frombuffer(text or b"", np.uint8)]
-    kept = np.flatnonzero(folded > 1)
-    if not len(kept):
-        return np.zeros(0, np.uint64)
-    word = np.cumsum(folded == 0, dtype=np.int32)[kept]
-    up, down = Powers.get(len(kept) + 1)
-    total = np.cumsum(BYTE_VALUES[folded[kept]] * up[: len(kept)])
-    last = np.r_[np.flatnonzero(word[1:] != word[:-1]), len(kept) - 1]
-    first = np.r_[0, last[:-1] + 1]
-    end = total[last]
-    return mixed((end - np.r_[np.uint64(0), end[:-1]]) * down[first])
+    words = (text or b"").translate(_LOWER, _DROPPED).split()
+    return np.fromiter(map((_Ids() if known is None else known).__getitem__, words), np.uint32, len(words))
 
 
 def terms_of(words: np.ndarray) -> np.ndarray:
-    return (words >> np.uint64(64 - TERM_BITS)).astype(np.int32)
+    return (words >> np.uint32(32 - TERM_BITS)).astype(np.int32)
+
+
+def hashed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, words): the words' hashes, four bytes each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Ids()
+        for batch in batches:
+            words = [word_hashes(t.as_buffer().to_pybytes() if t.is_valid else b"", known).tobytes() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(words, pa.binary())], ["doc_id", "text_hash", "words"])
+
+    narrow = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary"))
+    return narrow.mapInArrow(run, "doc_id long, text_hash long, words binary")
+
+
+def _words(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [np.frombuffer(w, np.uint32) for w in batch.column("words").to_pylist()]
 
 
 def _passages(terms: np.ndarray, step: int) -> np.ndarray:
@@ -122,67 +142,71 @@ def _add_sums(key: np.ndarray, rows: np.ndarray, out: np.ndarray) -> np.ndarray:
     return out
 
 
-def passage_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
+def passage_frequencies(words: DataFrame) -> tuple[np.ndarray, int]:
     """How many passages hold each term, and the number of passages, over all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, n = np.zeros(1 << TERM_BITS, np.int64), 0
         for batch in batches:
-            for rows, where in _chunks(map(word_hashes, batch.column("text").to_pylist()), PASSAGE):
-                seen += np.bincount(_entries(rows)[1], minlength=1 << TERM_BITS)
+            for rows, where in _chunks(iter(_words(batch)), PASSAGE):
+                new = rows >= 0
+                new[:, 1:] &= rows[:, 1:] != rows[:, :-1]
+                seen += np.bincount(rows[new], minlength=1 << TERM_BITS)
                 n += len(where)
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at].astype(np.int32)), pa.array(np.r_[n, seen[at]])], ["term", "n"])
 
-    counted = docs.select(F.col("text").cast("binary")).mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
-    out, total = np.zeros(1 << TERM_BITS), 0
-    for t, n in zip(counted["term"], counted["n"], strict=True):
-        if t < 0:
-            total = int(n)
-        else:
-            out[t] = n
-    return out, total
+    counted = words.select("words").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(1 << TERM_BITS)
+    terms, counts = counted["term"].to_numpy(), counted["n"].to_numpy()
+    out[terms[terms >= 0]] = counts[terms >= 0]
+    return out, int(counts[terms < 0].sum())
 
 
-def latent_space(docs: DataFrame, items: np.ndarray, vocabulary: np.ndarray, idf: np.ndarray, *, rank: int, item_weight: float) -> np.ndarray:
-    """Right singular vectors (terms of the vocabulary x at most ``rank``) of all passages and the weighted items."""
-    v, width = int(vocabulary.max()) + 1, rank + OVERSAMPLE
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, idf))
+def latent_space(words: DataFrame, items: np.ndarray, vocabulary: np.ndarray, idf: np.ndarray, *, rank: int) -> np.ndarray:
+    """Right singular vectors (terms of the vocabulary x at most ``rank``) of all passages and the items, which weigh as much together as the passages do."""
+    v, width = items.shape[1], rank + OVERSAMPLE
+    shared = words.sparkSession.sparkContext.broadcast((vocabulary, idf))
 
     def test_matrix() -> np.ndarray:
         return np.random.default_rng(42).standard_normal((v, width)).astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, idf = shared.value
-        g, z = test_matrix(), np.zeros((v, width), np.float32)
+        g, z, energy = test_matrix(), np.zeros((v, width), np.float32), 0.0
         for batch in batches:
-            for rows, where in _chunks(map(word_hashes, batch.column("text").to_pylist()), PASSAGE):
+            for rows, where in _chunks(iter(_words(batch)), PASSAGE):
                 passage, term, tf = _entries(rows)
                 w, _ = _weights(passage, term, tf, idf, len(where))
                 column = vocabulary[term]
                 use = np.flatnonzero(column >= 0)
                 passage, column, w = passage[use], column[use], w[use]
+                energy += float(w @ w)
                 y = _add_sums(passage, g[column] * w[:, None], np.zeros((len(where), width), np.float32))
-                order = np.argsort(column, kind="stable")
+                order = np.argsort(column)
                 _add_sums(column[order], y[passage[order]] * w[order, None], z)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(v, dtype=np.int32)), pa.array([r.tobytes() for r in z], pa.binary())], ["row", "part"])
+        at = np.flatnonzero(z.any(axis=1))
+        parts = [np.float64(energy).tobytes(), *(z[i].tobytes() for i in at)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at].astype(np.int32)), pa.array(parts, pa.binary())], ["row", "part"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for row, part in zip(batch.column("row").to_pylist(), batch.column("part").to_pylist(), strict=True):
-                x = np.frombuffer(part, np.float32).astype(np.float64)
+                x = np.frombuffer(part, np.float64 if row < 0 else np.float32).astype(np.float64)
                 total[row] = total[row] + x if row in total else x
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(total), pa.int32()), pa.array([x.astype(np.float32).tobytes() for x in total.values()], pa.binary())], ["row", "part"]
-        )
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["row", "part"])
 
-    z = np.zeros((v, width))
-    summed = docs.select(F.col("text").cast("binary")).mapInArrow(run, "row int, part binary").repartition("row").mapInArrow(add, "row int, part binary")
+    z, energy = np.zeros((v, width)), 0.0
+    summed = words.select("words").mapInArrow(run, "row int, part binary").repartition("row").mapInArrow(add, "row int, part binary")
     for row, part in summed.collect():
-        z[row] = np.frombuffer(part, np.float32)
+        if row < 0:
+            energy = float(np.frombuffer(part, np.float64)[0])
+        else:
+            z[row] = np.frombuffer(part, np.float64)
     g = test_matrix().astype(np.float64)
-    z += item_weight**2 * (items.T @ (items @ g))
+    own = float((items**2).sum())
+    z += (energy / own if energy > 0 and own > 0 else 1.0) * (items.T @ (items @ g))
     core = g.T @ z
     value, vector = np.linalg.eigh((core + core.T) / 2)
     good = value > value.max() * 1e-7 if value.max() > 0 else value > 0
@@ -227,9 +251,10 @@ def required_terms(words: list[np.ndarray], share: np.ndarray, least: float) ->
             needs.append(0)
             continue
         r, mean = k - spare, chance[k - 1]
-        # How unlikely chance makes it that r of these words are there.
+        # How unlikely chance makes it that r of these words are there: as few words as do, since each costs work.
         score = np.where(r > mean, r * np.log(r / mean) - r + mean, r / mean - 1)
-        best = int(np.argmax(score))
+        enough = np.flatnonzero(score >= -np.log(RARE))
+        best = int(enough[0] if len(enough) else np.argmax(score))
         asked.append(order[: k[best]])
         needs.append(int(r[best]))
     terms = np.unique(np.concatenate(asked))
@@ -299,70 +324,64 @@ def _halves(terms: np.ndarray) -> np.ndarray:
     return grid
 
 
-def _search(docs: DataFrame, block: list[tuple], idf: np.ndarray, df_share: np.ndarray, rarity: np.ndarray, options: dict) -> DataFrame:
-    words = [word_hashes(t.encode()) for _, t in block]
-    terms = np.unique(terms_of(np.concatenate(words)))
-    terms = terms[df_share[terms] <= options["max_df"]]
-    vocabulary = np.full(1 << TERM_BITS, -1, np.int64)
+def _search(words: DataFrame, block: list[tuple], idf: np.ndarray, rarity: np.ndarray, options: dict) -> DataFrame:
+    item_words = [word_hashes(t.encode()) for _, t in block]
+    terms = np.unique(terms_of(np.concatenate(item_words)))
+    vocabulary = np.full(1 << TERM_BITS, -1, np.int32)
     vocabulary[terms] = np.arange(len(terms))
-    items = np.zeros((len(block), max(len(terms), 1)))
-    for i, ws in enumerate(words):
+    items = np.zeros((len(block), len(terms)), np.float32)
+    for i, ws in enumerate(item_words):
         t, tf = np.unique(terms_of(ws), return_counts=True)
-        w, _ = _weights(np.zeros(len(t), np.int64), t, np.minimum(tf, PASSAGE), idf, 1)
-        use = vocabulary[t] >= 0
-        items[i, vocabulary[t[use]]] = w[use]
-    if not len(terms):
-        vocabulary[0] = 0
-    space = latent_space(docs, items, vocabulary, idf, rank=options["rank"], item_weight=options["item_weight"])
+        items[i, vocabulary[t]], _ = _weights(np.zeros(len(t), np.int64), t, np.minimum(tf, PASSAGE), idf, 1)
+    space = latent_space(words, items, vocabulary, idf, rank=options["rank"])
     queries = items @ space
     queries = (queries / np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-9)).astype(np.float32)
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, idf, space, queries, [i for i, _ in block], [w.tolist() for w in words], required_terms(words, rarity, options["min_lcs_with_answer"])))
+    required = required_terms(item_words, rarity, options["min_lcs_with_answer"]) if options["guarantee"] else None
+    shared = words.sparkSession.sparkContext.broadcast((vocabulary, idf, space, queries, [i for i, _ in block], [w.tolist() for w in item_words], required))
     low = options["min_cosine"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, idf, space, queries, ids, words, required = shared.value
-        masks, answers = [bit_masks(w) for w in words], [bit_masks(w[-ANSWER:]) for w in words]
+        vocabulary, idf, space, queries, ids, item_words, required = shared.value
+        masks, answers = [bit_masks(w) for w in item_words], [bit_masks(w[-ANSWER:]) for w in item_words]
         for batch in batches:
-            texts = [word_hashes(t) for t in batch.column("text").to_pylist()]
-            doc_ids, hashes, out = batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist(), {}
-            holding = _holding(texts, required)
-            for sorted_terms, where in _chunks(iter(texts), PASSAGE // 2):
+            texts, out = _words(batch), {}
+            doc_ids, hashes = batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist()
+            holding = _holding(texts, required) if required else {}
+            for sorted_terms, where in _chunks(iter(texts), HALF):
                 passage, term, tf = _entries(sorted_terms)
                 w, _ = _weights(passage, term, tf, idf, len(where))
                 column = vocabulary[term]
                 use = column >= 0
-                share = np.bincount(passage[use], w[use].astype(np.float64) ** 2, len(where))
-                rich = share >= low * low
-                exact = [(i, q) for i, at in enumerate(where) for q in holding.get(at, ())] if holding else []
-                rich[[i for i, _ in exact]] = True
+                rich = np.bincount(passage[use], w[use].astype(np.float64) ** 2, len(where)) >= low * low
                 left = np.flatnonzero(rich)
-                if not len(left):
-                    continue
                 use &= rich[passage]
                 rows = np.searchsorted(left, passage[use])
                 y = _add_sums(rows, space[column[use]] * w[use][:, None], np.zeros((len(left), space.shape[1]), np.float32))
                 near = y @ queries.T
-                wanted = near >= low
-                if exact:
-                    i, q = np.array(exact).T
-                    wanted[np.searchsorted(left, i), q] = True
-                for p, q in zip(*np.nonzero(wanted), strict=True):
-                    row, at = where[left[p]]
-                    n = len(words[q])
+                p, q = np.nonzero(near >= low)
+                wanted = dict(zip(zip(left[p].tolist(), q.tolist(), strict=True), near[p, q].tolist(), strict=True))
+                if holding:
+                    for i, at in enumerate(where):
+                        for q in holding.get(at, ()):
+                            k = np.searchsorted(left, i)
+                            wanted.setdefault((i, q), float(near[k, q]) if rich[i] else 0.0)
+                for (i, q), cosine in wanted.items():
+                    row, at = where[i]
+                    n = len(item_words[q])
                     region = texts[row][max(0, at - n) : at + PASSAGE + n].tolist()
                     lcs = common_subsequence(masks[q], n, region) / n
                     if lcs < options["min_lcs_with_answer"]:
                         continue
                     answer = common_subsequence(answers[q], min(n, ANSWER), region) == min(n, ANSWER)
                     if lcs >= options["min_lcs"] or answer:
-                        key = (row, int(q))
-                        out[key] = max(out.get(key, (0.0, 0.0, False)), (lcs, float(near[p, q]), answer))
+                        key = (row, q)
+                        out[key] = max(out.get(key, (0.0, 0.0, False)), (lcs, cosine, answer))
             if out:
                 cols = [[doc_ids[r] for r, _ in out], [hashes[r] for r, _ in out], [ids[q] for _, q in out], *zip(*out.values(), strict=True)]
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_()]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "text_hash", "item_id", "lcs_share", "cosine", "has_answer"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary")).mapInArrow(run, FOUND)
+    return words.mapInArrow(run, FOUND)
 
 
 def _found(
@@ -370,36 +389,36 @@ def _found(
     benchmark: DataFrame,
     *,
     rank: int = RANK,
-    item_weight: float = 100.0,
-    max_df: float = MAX_DF,
     min_cosine: float = MIN_COSINE,
     min_lcs: float = MIN_LCS,
     min_lcs_with_answer: float = MIN_LCS_ANSWER,
     block: int = BLOCK_ITEMS,
+    guarantee: bool = True,
 ) -> DataFrame:
     """FOUND: the items each row holds."""
-    options = {"rank": rank, "item_weight": item_weight, "max_df": max_df, "min_cosine": min_cosine, "min_lcs": min_lcs, "min_lcs_with_answer": min_lcs_with_answer}
-    frequency, n = passage_frequencies(docs)
-    idf = np.log((1 + n) / (1 + frequency)) + 0.01
-    # With few passages a share alone would rule out terms that occur a handful of times.
-    share = np.where(frequency <= 50, 0.0, frequency / max(n, 1))
-    found, held = None, []
+    options = {"rank": rank, "min_cosine": min_cosine, "min_lcs": min_lcs, "min_lcs_with_answer": min_lcs_with_answer, "guarantee": guarantee}
     rows = benchmark.select(F.col("item_id").cast("long"), "text").filter("text is not null and item_id is not null").orderBy("item_id", "text").toLocalIterator()
+    found, held, words = None, [], None
 
-    def search(part: list[tuple], found: DataFrame | None) -> DataFrame:
-        out = stash(_search(docs, part, idf, share, frequency / max(n, 1), options), "contaminated")
-        return out if found is None else found.union(out)
+    def search(part: list[tuple]) -> DataFrame:
+        nonlocal words, idf, rarity
+        if words is None:
+            words = stash(hashed(docs), "decontamination-words")
+            frequency, n = passage_frequencies(words)
+            idf, rarity = np.log1p(n / np.maximum(frequency, 1)).astype(np.float32), frequency / max(n, 1)
+        return stash(_search(words, part, idf, rarity, options), "contaminated")
 
+    idf = rarity = np.zeros(0)
     for r in rows:
         if len(word_hashes(r.text.encode())):
             held.append((r.item_id, r.text))
         if len(held) == block:
-            found, held = search(held, found), []
+            found, held = search(held) if found is None else found.union(search(held)), []
     if held:
-        found = search(held, found)
-    if found is None:
-        found = docs.sparkSession.createDataFrame([], FOUND)
-    return found
+        found = search(held) if found is None else found.union(search(held))
+    if words is not None:
+        drop_stash(words)
+    return docs.sparkSession.createDataFrame([], FOUND) if found is None else found
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
