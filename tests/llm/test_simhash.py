@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from casegraph.llm import simhash
+from casegraph.llm import near_copies, simhash
 
 
 def brute(prints):
@@ -54,7 +54,7 @@ def test_nulls_copies_and_empty_tables(spark, documents):
     out = {(r.doc_id, r.fp): r.component_id for r in simhash.groups(documents(rows)).collect()}
     by_id = {i: c for (i, _), c in out.items()}
     assert by_id[3] == by_id[1] == 1 and by_id[5] == by_id[4] == 4 and by_id[9] == 9 and by_id[None] is None
-    kept = sorted((r.doc_id is None, r.doc_id or 0) for r in simhash.keep_one(documents(rows)).collect())
+    kept = sorted((r.doc_id is None, r.doc_id or 0) for r in near_copies.keep_one(documents(rows)).collect())
     assert kept == [(False, 1), (False, 4), (False, 9), (True, 0)]
     assert simhash.groups(documents([])).count() == 0
 
@@ -65,7 +65,7 @@ def test_rows_with_null_or_repeated_ids_stay(spark, documents):
     a, b, c, d, e, f = (text() for _ in range(6))
     rows = [(None, a, "s"), (None, b, "s"), (None, b, "t"), (7, c, "s"), (7, d, "s"), (None, c, "s"), (9, e, "s"), (8, e, "s"), (7, f, "t"), (7, f, "s")]
     for n in (1, 5):
-        got = simhash.keep_one(documents(rows).repartition(n)).collect()
+        got = near_copies.keep_one(documents(rows).repartition(n)).collect()
         assert sorted((r.doc_id or 0, r.text, r.source) for r in got) == sorted([(0, a, "s"), (0, b, "s"), (7, c, "s"), (7, d, "s"), (8, e, "s"), (7, f, "s")])
 
 
@@ -77,3 +77,57 @@ def test_fingerprint_follows_its_definition():
     hs = [xxhash.xxh64_intdigest(b" ".join(w[i : i + 3]), 42) for i in range(len(w) - 2)]
     want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
     assert simhash.fingerprint(text) == want
+
+
+def brute_groups(prints, radius):
+    root = list(range(len(prints)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(prints)):
+        for j in range(i):
+            if np.bitwise_count(prints[i] ^ prints[j]).sum() <= radius:
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return [find(i) for i in range(len(prints))]
+
+
+@pytest.mark.parametrize(("limit", "hot"), [(4096, 4096), (4, 5)])
+def test_near_copies_reach_what_brute_force_reaches(spark, documents, monkeypatch, limit, hot):
+    monkeypatch.setattr(near_copies, "HOT_ROWS", hot)
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    rows = []
+    for g in range(12):
+        base = [word() for _ in range(150)]
+        for c in range(8):
+            near = list(base)
+            for _ in range(rng.randint(0, 3)):
+                near[rng.randrange(len(near))] = word()
+            rows.append((100 * g + c, " ".join(near), "s"))
+    known = near_copies.WordHashes()
+    prints = [near_copies.fingerprint(t.encode(), known) for _, t, _ in rows]
+    want = {rows[r][0] for r in brute_groups(prints, near_copies.RADIUS)}
+    got = {r.doc_id for r in near_copies.keep_one(documents(rows), bucket_limit=limit).collect()}
+    assert got >= want and len(got - want) <= 1 and len(want) < 20
+
+
+def test_grow_follows_chains_and_names_every_group():
+    rng = np.random.default_rng(5)
+    prints = rng.integers(0, 1 << 63, (60, 4), np.uint64)
+    for i in range(1, 40):
+        prints[i] = prints[i - 1]
+        prints[i, 0] ^= np.uint64(1) << np.uint64(i)
+    edges, heads = near_copies.grow(prints, 1)
+    assert len(edges) == 39 and sorted(heads) == [0, *range(40, 60)]
+    assert all(np.bitwise_count(prints[a] ^ prints[b]).sum() <= 1 for a, b in edges)
+
+
+def test_long_texts_have_one_fingerprint(spark, documents):
+    text = " ".join(f"w{i % 977}" for i in range(60_000))
+    got = near_copies.keep_one(documents([(2, text, "s"), (1, text + " more", "s"), (3, "other words stand here alone", "s")])).collect()
+    assert sorted(r.doc_id for r in got) == [1, 3]
+    assert {r.component_id for r in simhash.groups(documents([(2, text, "s"), (1, text, "s")])).collect()} == {1}
