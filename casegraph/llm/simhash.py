@@ -11,7 +11,7 @@ forest of its links, never its pairs. The links become groups in :mod:`component
 
 Defined results: null or blank text has fingerprint zero, which links like any other; repeated rows share a fingerprint and
 so a group; an empty table gives an empty result. A group's id is its smallest doc_id, nulls apart; a group with null ids only has a null
-component_id. Columns other than doc_id and text are ignored by ``groups`` and carried by ``keep_one``.
+component_id. Columns other than doc_id and text are ignored. :mod:`near_copies` finds pairs further apart.
 """
 
 from __future__ import annotations
@@ -154,22 +154,6 @@ def groups(docs: DataFrame, *, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each group: the one with the group's smallest doc_id. Rows without an id stay only where no row of their group has one.
-
-    A row is told by (doc_id, text), as ids may repeat or be null. Rows equal in both are one document; the least of them in all columns stays.
-    """
-    prints = stash(fingerprints(docs), "simhash-prints")
-    rooted = _rooted(prints, F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")), BUCKET_LIMIT)
-    kept = stash(rooted.groupBy("root").agg(F.min("first_id").alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.text_hash").alias("__hash")), "simhash-kept")
-    out = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["__id"]) & (F.xxhash64(docs["text"]) == kept["__hash"]), "left_semi")
-    # The aggregate is paid for only where rows repeat.
-    if prints.groupBy("doc_id", "text_hash").count().filter("count > 1").isEmpty():
-        return out
-    row = F.struct(*out.columns)
-    return out.groupBy("doc_id", F.xxhash64("text").alias("__hash")).agg(F.min_by(row, F.to_json(row)).alias("__row")).select("__row.*")
-
-
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(table(spark, sf_dir, "documents")).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
