@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -31,13 +30,13 @@ INTERACTIONS = (
     ("connect", "CO_OCCURS", 0.2, 0.85, "social_follow"),
 )
 OTHER_INTERACTION = ("CO_OCCURS", 0.2, 0.5, "social_unspecified")
-#: Day before month; unpadded numbers are accepted.
-DATE_FORMATS = (
-    "yyyy-M-d'T'H:m:s", "yyyy-M-d H:m:s", "yyyy-M-d H:m", "yyyy-M-d",
-    "d/M/yyyy H:m:s", "d/M/yyyy H:m", "d/M/yyyy",
-    "d-M-yyyy H:m:s", "d-M-yyyy H:m", "d-M-yyyy",
-    "d-MMM-yyyy H:m", "d MMM yyyy H:m", "d-MMM-yyyy",
-)
+#: Dates as year-month-day, day/month/year or day-month-year, unpadded numbers accepted, with hours, minutes and seconds, with hours and minutes, or without; day-Mon-year.
+NUMERIC = r"^\d{4}-\d{1,2}-\d{1,2}(?:[T ]\d{1,2}:\d{1,2}:\d{1,2})?$"
+NAMED_MONTHS = (
+    (r"^\d{1,2}-[A-Za-z]{3}-\d{4} \d{1,2}:\d{1,2}$", "d-MMM-yyyy H:m"),
+    (r"^\d{1,2} [A-Za-z]{3} \d{4} \d{1,2}:\d{1,2}$", "d MMM yyyy H:m"),
+    (r"^\d{1,2}-[A-Za-z]{3}-\d{4}$", "d-MMM-yyyy"),
+)
 #: ISO texts with a fraction or a zone; their zone counts.
 ISO_WITH_ZONE = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?:Z|[+-]\d{2}:?\d{2})?$"
 
@@ -96,21 +95,17 @@ def pick(columns: dict[str, str], aliases: tuple[str, ...]) -> Column:
     return F.coalesce(*found) if found else F.lit(None).cast("string")
 
 
-def _shape(date_format: str) -> str:
-    """A pattern of the texts that may fit a date format."""
-    parts = {"yyyy": r"\d{4}", "MMM": "[A-Za-z]{3}", "'T'": "T"}
-    return "^" + re.sub(r"yyyy|MMM|'T'|[MdHms]", lambda m: parts.get(m[0], r"\d{1,2}"), date_format) + "$"
-
-
 def timestamp(raw: Column | str) -> Column:
     """The first format that fits; null, never now, for what fits none.
 
-    A failed parse costs far more than a pattern, so each text is parsed in the format of its shape only.
+    A failed parse costs far more than a pattern: numeric dates are turned to year, month, day and cast once, and only names of months go through a format.
     """
     text = F.trim(col(raw))
-    out = F.when(text.rlike(ISO_WITH_ZONE), text.try_cast("timestamp"))
-    for f in reversed(DATE_FORMATS):
-        out = F.when(text.rlike(_shape(f)), F.try_to_timestamp(text, F.lit(f))).otherwise(out)
+    ymd = F.regexp_replace(text, r"^(\d{1,2})([/-])(\d{1,2})\2(\d{4})(?= |$)", "$4-$3-$1")
+    ymd = F.regexp_replace(ymd, r"^(\S+ \d{1,2}:\d{1,2})$", "$1:00")
+    out = F.when(ymd.rlike(NUMERIC), ymd.try_cast("timestamp")).when(text.rlike(ISO_WITH_ZONE), text.try_cast("timestamp"))
+    for pattern, f in NAMED_MONTHS:
+        out = out.when(text.rlike(pattern), F.try_to_timestamp(text, F.lit(f)))
     return out
 
 

@@ -69,7 +69,7 @@ def memory_id(kind: Column, text: Column) -> Column:
 def remember(entries: DataFrame) -> DataFrame:
     """Entries (case_id, kind, text, status, confidence, at) merged by content: created first, last status and confidence."""
     keyed = entries.withColumn("id", memory_id(F.col("kind"), F.col("text")))
-    last = [F.max_by(c, "at").alias(c) for c in ("text", "status", "confidence")]
+    last = [F.max_by(c, F.struct("at", c)).alias(c) for c in ("text", "status", "confidence")]
     return keyed.groupBy("case_id", "id", "kind").agg(*last, F.min("at").alias("created"), F.max("at").alias("updated"))
 
 

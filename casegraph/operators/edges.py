@@ -1,7 +1,9 @@
 """Record tables to typed edge facts.
 
-Every job takes a raw table of strings with case_id, doc_id and seq (arrival order) and returns edge facts:
-case_id, src, dst, type, ts, weight, confidence, amount, duration_sec, basis, offence, disposition, attrs, doc_id, seq.
+Every job takes a raw table of strings with case_id, doc_id, seq (arrival order) and, if :func:`casegraph.sources.tables.record_lines` read it, the span
+of each row (start, end). It returns edge facts:
+case_id, src, dst, type, ts, weight, confidence, amount, duration_sec, basis, offence, disposition, attrs, doc_id, seq, start, end.
+A table is scanned once: ids are computed once a row, and each row explodes to the facts it holds.
 """
 
 from __future__ import annotations
@@ -43,6 +45,8 @@ SOCIAL_COLUMNS = {
     "display": ("display_name", "name", "full_name", "real_name", "profile_name"),
     "ts": ("ts", "timestamp", "datetime", "date", "posted_at", "created_at", "time"),
     "location": ("location", "place", "geo", "geotag", "checkin"),
+    "text": ("text", "content", "message", "post", "body", "caption"),
+    "url": ("url", "link", "permalink", "post_url", "profile_url"),
 }
 HISTORY_COLUMNS = {
     "person": ("person", "name", "accused", "accused_name", "offender", "suspect", "subject", "full_name", "offender_name"),
@@ -52,15 +56,21 @@ HISTORY_COLUMNS = {
     "station": ("police_station", "ps", "station", "thana", "jurisdiction"),
     "status": ("status", "disposal", "case_status", "outcome", "result", "verdict"),
     "co_accused": ("co_accused", "coaccused", "associates", "other_accused", "accomplices"),
+    "court": ("court", "court_name", "trial_court"),
+    "role": ("role", "involvement", "accused_role"),
 }
 RECORD, TOWER, SOCIAL_OWNS, GEOTAG, CO_ACCUSED = 0.95, 0.9, 0.45, 0.7, 0.85
-PROVENANCE = ("case_id", "doc_id", "seq")
+PROVENANCE, SPAN = ("case_id", "doc_id", "seq"), ("start", "end")
+EXCERPT = 200
+#: The fields of a fact besides its ends and where it stands.
+FIELDS = {"type": "string", "weight": "double", "confidence": "double", "ts": "timestamp", "amount": "double", "duration_sec": "double", "basis": "string", "offence": "string", "disposition": "string", "attrs": "map<string,string>"}
 
 
 def canonical(raw: DataFrame, columns: dict[str, tuple[str, ...]]) -> DataFrame:
     """R2: one typed column for each field, from whichever accepted name the table has; ts and amount parsed, bad ones null."""
-    have = {N.header(c): c for c in raw.columns if c not in PROVENANCE}
-    out = raw.select(*PROVENANCE, *(N.pick(have, aliases).alias(k) for k, aliases in columns.items()))
+    have = {N.header(c): c for c in raw.columns if c not in (*PROVENANCE, *SPAN)}
+    span = [(F.col(c) if c in raw.columns else F.lit(None)).cast("int").alias(c) for c in SPAN]
+    out = raw.select(*PROVENANCE, *span, *(N.pick(have, aliases).alias(k) for k, aliases in columns.items()))
     if "ts" in columns:
         out = out.withColumn("raw_ts", F.col("ts")).withColumn("ts", N.timestamp("raw_ts"))
     for c in {"amount", "duration"} & set(columns):
@@ -77,20 +87,30 @@ def quality(table: DataFrame, required: tuple[str, ...]) -> DataFrame:
     )
 
 
-def facts(table: DataFrame, src: Column, dst: Column, type_: Column | str, *, weight: float | Column = 1.0, confidence: float | Column = RECORD, **extra: Column) -> DataFrame:
-    """Rows as edge facts; those with a missing end or both ends the same go."""
-    asc = lambda x: x if isinstance(x, Column) else F.lit(x)
-    kinds = {"ts": "timestamp", "amount": "double", "duration_sec": "double", "basis": "string", "offence": "string", "disposition": "string", "attrs": "map<string,string>"}
-    return table.select(
-        "case_id", src.alias("src"), dst.alias("dst"), asc(type_).alias("type"), asc(weight).cast("double").alias("weight"), asc(confidence).cast("double").alias("confidence"),
-        *(extra.get(k, F.lit(None)).cast(t).alias(k) for k, t in kinds.items()), "doc_id", "seq",
-    ).filter("src is not null and dst is not null and src <> dst")
+def fact(src: Column, dst: Column, type_: Column | str, *, weight: float | Column = 1.0, confidence: float | Column = RECORD, **extra: Column) -> Column:
+    """An edge fact as a struct."""
+    given = {"type": type_, "weight": weight, "confidence": confidence, **extra}
+    value = lambda k: given[k] if isinstance(given.get(k), Column) else F.lit(given.get(k))
+    return F.struct(src.alias("src"), dst.alias("dst"), *(value(k).cast(t).alias(k) for k, t in FIELDS.items()))
+
+
+def emit(table: DataFrame, *found: Column) -> DataFrame:
+    """The facts each row holds; those with a missing end or both ends the same go."""
+    out = table.select(*PROVENANCE, *SPAN, F.explode(F.array(*found)).alias("f"))
+    out = out.select("case_id", "f.*", "doc_id", "seq", *SPAN)
+    return out.filter("src is not null and dst is not null and src <> dst")
+
+
+def emit_all(table: DataFrame, found: Column) -> DataFrame:
+    """As :func:`emit`, of an array whose length depends on the row. An outer explode, as for a plain one Spark computes the array once more to drop empty ones first."""
+    out = table.select(*PROVENANCE, *SPAN, F.explode_outer(found).alias("f")).select("case_id", "f.*", "doc_id", "seq", *SPAN)
+    return out.filter("src is not null and dst is not null and src <> dst")
 
 
 def attrs(**values: Column) -> Column:
-    """A map of the values that are there."""
-    pairs = F.array(*(F.struct(F.lit(k).alias("key"), v.cast("string").alias("value")) for k, v in values.items()))
-    return F.map_from_entries(F.filter(pairs, lambda p: p["value"].isNotNull()))
+    """A map of the values that are there; null if none is."""
+    pairs = F.array(*(F.when(v.isNotNull(), F.struct(F.lit(k).alias("key"), v.cast("string").alias("value"))) for k, v in values.items()))
+    return F.when(reduce(lambda a, b: a | b, (v.isNotNull() for v in values.values())), F.map_from_entries(F.array_compact(pairs)))
 
 
 def union(*parts: DataFrame) -> DataFrame:
@@ -99,30 +119,38 @@ def union(*parts: DataFrame) -> DataFrame:
 
 def calls(raw: DataFrame) -> DataFrame:
     """Calls and messages, handsets, towers, subscribers."""
-    t = canonical(raw, CALL_COLUMNS)
-    message = F.coalesce(F.lower("call_type").rlike("^(?:sms|msg|text)"), F.lit(False))
-    linked = t.withColumns({"x": N.node_id("phone", "caller"), "y": N.node_id("phone", "callee")}).filter("x is not null and y is not null and x <> y")
-    caller, callee = F.col("x"), F.col("y")
-    return union(
-        facts(linked, caller, callee, F.when(message, "MESSAGED").otherwise("CALLED"), ts=F.col("ts"), duration_sec=F.col("duration"), attrs=attrs(call_type=F.col("call_type"))),
-        facts(linked, N.node_id("device", "imei"), caller, "REGISTERED_TO"),
-        facts(linked, caller, N.node_id("location", "tower"), "LOCATED_AT", confidence=TOWER, ts=F.col("ts")),
-        facts(linked, N.node_id("person", "subscriber"), caller, "OWNS"),
+    t = canonical(raw, CALL_COLUMNS).withColumns({"x": N.node_id("phone", "caller"), "y": N.node_id("phone", "callee"), "tower_id": N.node_id("location", "tower")})
+    kind = F.coalesce(F.lower("call_type"), F.lit("call"))
+    t = t.withColumns({"caller": F.when(F.col("x") != F.col("y"), F.col("x")), "kind": kind})
+    caller = F.col("caller")
+    return emit(
+        t,
+        fact(caller, F.col("y"), F.when(F.col("kind").rlike("^(?:sms|msg|text)"), "MESSAGED").otherwise("CALLED"), ts=F.col("ts"), duration_sec=F.col("duration"), attrs=attrs(call_type=F.col("kind"), tower=F.col("tower"))),
+        fact(N.node_id("device", "imei"), caller, "REGISTERED_TO", basis="cdr_handset"),
+        fact(caller, F.col("tower_id"), "LOCATED_AT", confidence=TOWER, ts=F.col("ts"), basis="cdr_tower"),
+        fact(N.node_id("person", "subscriber"), caller, "OWNS", basis="subscriber_record"),
     )
 
 
 def transfers(raw: DataFrame) -> DataFrame:
     """Transfers, and the holders both sides name."""
-    t = canonical(raw, TRANSFER_COLUMNS)
-    linked = t.withColumns({"x": N.node_id("account", "src"), "y": N.node_id("account", "dst")}).filter("x is not null and y is not null and x <> y")
-    src, dst = F.col("x"), F.col("y")
-    owners = linked.select(*PROVENANCE, F.explode(F.array(F.struct(F.col("holder").alias("name"), src.alias("account")), F.struct(F.col("payee").alias("name"), dst.alias("account")))).alias("o"))
-    return union(
-        facts(linked, src, dst, "TRANSFERRED_TO", ts=F.col("ts"), amount=F.col("amount"), attrs=attrs(mode=F.col("mode"), txn_id=F.col("txn_id"), ifsc=F.col("ifsc"))),
-        facts(owners, N.node_id("person", "o.name"), F.col("o.account"), "OWNS"),
+    t = canonical(raw, TRANSFER_COLUMNS).withColumns({"x": N.node_id("account", "src"), "y": N.node_id("account", "dst")})
+    t = t.withColumn("linked", F.coalesce(F.col("x") != F.col("y"), F.lit(False)))
+    src, dst = (F.when(F.col("linked"), F.col(c)) for c in ("x", "y"))
+    return emit(
+        t,
+        fact(src, dst, "TRANSFERRED_TO", ts=F.col("ts"), amount=F.col("amount"), attrs=attrs(mode=F.col("mode"), txn_id=F.col("txn_id"))),
+        fact(N.node_id("person", "holder"), src, "OWNS", basis="bank_record"),
+        fact(N.node_id("person", "payee"), dst, "OWNS", basis="bank_record"),
     )
 
 
+def account_attrs(raw: DataFrame) -> DataFrame:
+    """E5: the branch codes that transfers give for the accounts they go to, as (case_id, id, key, value, doc_id, seq) for the merge of node attributes."""
+    t = canonical(raw, TRANSFER_COLUMNS).select("case_id", N.node_id("account", "dst").alias("id"), F.lit("ifsc").alias("key"), F.col("ifsc").alias("value"), "doc_id", "seq")
+    return t.filter("id is not null and value is not null")
+
+
 def handle_id(platform: Column, handle: Column) -> Column:
     """Accounts of a platform, whatever the spelling of the handle."""
     name = N.slug(F.regexp_replace(F.trim(handle), "^@+", ""))
@@ -132,30 +160,43 @@ def handle_id(platform: Column, handle: Column) -> Column:
 
 def social(raw: DataFrame) -> DataFrame:
     """Interactions with each listed target, display names, geotags."""
-    t = canonical(raw, SOCIAL_COLUMNS).withColumn("me", handle_id(F.col("platform"), F.col("handle")))
-    pairs = t.withColumn("peer", F.explode(N.split_list("target"))).withColumn("peer", handle_id(F.col("platform"), F.col("peer"))).withColumn("x", N.interaction("interaction"))
-    loose = F.col("x.type") == "CO_OCCURS"
-    src = F.when(loose, F.least("me", "peer")).otherwise(F.col("me"))
-    dst = F.when(loose, F.greatest("me", "peer")).otherwise(F.col("peer"))
-    return union(
-        facts(pairs, src, dst, F.col("x.type"), weight=F.col("x.weight"), confidence=F.col("x.confidence"), ts=F.col("ts"), basis=F.col("x.basis")),
-        facts(t, N.node_id("person", "display"), F.col("me"), "OWNS", confidence=SOCIAL_OWNS, basis=F.lit("social_profile")),
-        facts(t, F.col("me"), N.node_id("location", "location"), "LOCATED_AT", confidence=GEOTAG, ts=F.col("ts")),
+    t = canonical(raw, SOCIAL_COLUMNS).withColumns({"me": handle_id(F.col("platform"), F.col("handle")), "x": N.interaction("interaction"), "site": F.coalesce(F.nullif(N.slug("platform"), F.lit("")), F.lit("social"))})
+    loose, me = F.col("x.type") == "CO_OCCURS", F.col("me")
+    told = attrs(platform=F.col("site"), interaction=F.lower("interaction"), url=F.col("url"), excerpt=F.substring("text", 1, EXCERPT))
+
+    def met(name: Column) -> Column:
+        peer = handle_id(F.col("platform"), name)
+        src, dst = F.when(loose, F.least(me, peer)).otherwise(me), F.when(loose, F.greatest(me, peer)).otherwise(peer)
+        return fact(F.when(me.isNotNull() & peer.isNotNull(), src), dst, F.col("x.type"), weight=F.col("x.weight"), confidence=F.col("x.confidence"), ts=F.col("ts"), basis=F.col("x.basis"), attrs=told)
+
+    own = F.array(
+        fact(N.node_id("person", "display"), me, "OWNS", confidence=SOCIAL_OWNS, basis="social_profile", attrs=attrs(platform=F.col("site"), display_name=F.col("display"))),
+        fact(me, N.node_id("location", "location"), "LOCATED_AT", confidence=GEOTAG, ts=F.col("ts"), basis="social_geotag"),
     )
+    return emit_all(t, F.concat(own, F.transform(N.split_list("target"), met)))
 
 
 def history(raw: DataFrame) -> DataFrame:
     """Prior cases, their stations, and those accused together."""
-    t = canonical(raw, HISTORY_COLUMNS).withColumn("who", N.node_id("person", "person")).withColumn("prior", N.node_id("event", "case_no"))
-    t = t.filter("who is not null and prior is not null")
-    others = t.withColumn("other", F.explode(N.split_list("co_accused"))).withColumn("other", N.node_id("person", "other"))
-    told = {"ts": F.col("ts"), "offence": F.col("offence"), "disposition": N.disposition("status")}
-    return union(
-        facts(t, F.col("who"), F.col("prior"), "MENTIONED_IN", basis=F.lit("criminal_history"), **told),
-        facts(t, F.col("prior"), N.node_id("location", "station"), "LOCATED_AT", basis=F.lit("criminal_history")),
-        facts(others, F.col("other"), F.col("prior"), "MENTIONED_IN", confidence=CO_ACCUSED, basis=F.lit("criminal_history"), ts=F.col("ts"), offence=F.col("offence")),
-        facts(others, F.least("who", "other"), F.greatest("who", "other"), "CO_OCCURS", confidence=CO_ACCUSED, basis=F.lit("co_accused")),
+    t = canonical(raw, HISTORY_COLUMNS).withColumns({"x": N.node_id("person", "person"), "y": N.node_id("event", "case_no"), "outcome": N.disposition("status")})
+    both = F.col("x").isNotNull() & F.col("y").isNotNull()
+    who, prior = F.when(both, F.col("x")), F.when(both, F.col("y"))
+    told = {"ts": F.col("ts"), "offence": F.col("offence")}
+
+    def beside(name: Column) -> Column:
+        other = N.node_id("person", name)
+        # least and greatest skip nulls.
+        pair = both & other.isNotNull()
+        return F.array(
+            fact(other, prior, "MENTIONED_IN", confidence=CO_ACCUSED, basis="criminal_history", **told),
+            fact(F.when(pair, F.least(F.col("x"), other)), F.when(pair, F.greatest(F.col("x"), other)), "CO_OCCURS", confidence=CO_ACCUSED, basis="co_accused"),
+        )
+
+    own = F.array(
+        fact(who, prior, "MENTIONED_IN", basis="criminal_history", disposition=F.col("outcome"), attrs=attrs(role=F.col("role"), status=F.col("status"), court=F.col("court")), **told),
+        fact(prior, N.node_id("location", "station"), "LOCATED_AT", basis="criminal_history"),
     )
+    return emit_all(t, F.concat(own, F.flatten(F.transform(N.split_list("co_accused"), beside))))
 
 
 #: The job for each kind of table.

@@ -43,22 +43,43 @@ def clean_sources(sources: Column) -> Column:
     return F.when(~F.exists(sources, lambda s: s["doc_id"].isNull()), F.array_distinct(sources))
 
 
+#: Attributes that edge facts carry beyond their own columns. Kept apart by key, since the last value of each counts.
+ATTRS = ("call_type", "tower", "mode", "txn_id", "platform", "interaction", "url", "excerpt", "display_name", "role", "status", "court")
+
+
+def last(value: Column) -> Column:
+    """An aggregate: the last non-null value by (seq, doc_id), of equals there the greatest, so that no order of arrival or partition matters."""
+    return F.max(F.when(value.isNotNull(), F.struct(F.col("seq"), F.col("doc_id"), value.alias("v"))))["v"]
+
+
 def merge_edges(facts: DataFrame) -> DataFrame:
-    """Largest weight and confidence, the last non-null value of the other fields, the set of bases, sources."""
+    """Largest weight and confidence, the last non-null value of the other fields and of each attribute, the set of bases."""
     keyed = facts.withColumn("nat_key", natural_key(facts))
-    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c)
     edges = keyed.groupBy("case_id", "nat_key").agg(
         F.first("src").alias("src"), F.first("dst").alias("dst"), F.first("type").alias("type"), F.first("ts").alias("ts"),
         F.max("weight").alias("weight"), F.max("confidence").alias("confidence"),
-        *(last(c) for c in ("amount", "duration_sec", "basis", "offence", "disposition")),
+        *(last(F.col(c)).alias(c) for c in ("amount", "duration_sec", "basis", "offence", "disposition")),
         F.array_sort(F.collect_set("basis")).alias("bases"), F.count(F.lit(1)).alias("facts"),
     )
     return edges.withColumn("id", edge_id(F.col("nat_key")))
 
 
+def edge_attrs(facts: DataFrame) -> DataFrame:
+    """(case_id, nat_key, attrs) of the edges whose facts carry attributes: the last value of each."""
+    keyed = facts.filter("attrs is not null").withColumn("nat_key", natural_key(facts))
+    lasts = keyed.groupBy("case_id", "nat_key").agg(*(last(F.col("attrs")[k]).alias(k) for k in ATTRS))
+    pairs = F.array_compact(F.array(*(F.when(F.col(k).isNotNull(), F.struct(F.lit(k).alias("key"), F.col(k).alias("value"))) for k in ATTRS)))
+    return lasts.select("case_id", "nat_key", F.map_from_entries(pairs).alias("attrs"))
+
+
 def edge_sources(facts: DataFrame) -> DataFrame:
-    refs = facts.withColumn("nat_key", natural_key(facts)).select("case_id", "nat_key", "doc_id", F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"), "seq")
-    return bounded_sources(refs, ["case_id", "nat_key"])
+    """(case_id, nat_key, sources, source_count): the documents and rows each edge rests on."""
+    return bounded_sources(facts.withColumn("nat_key", natural_key(facts)).select("case_id", "nat_key", "doc_id", "start", "end", "seq"), ["case_id", "nat_key"])
+
+
+def node_sources(facts: DataFrame) -> DataFrame:
+    """(case_id, id, sources, source_count): the documents and rows that name each end of a fact."""
+    return bounded_sources(facts.select("case_id", F.explode(F.array("src", "dst")).alias("id"), "doc_id", "start", "end", "seq"), ["case_id", "id"])
 
 
 def merge_nodes(sightings: DataFrame) -> DataFrame:
@@ -71,9 +92,9 @@ def merge_nodes(sightings: DataFrame) -> DataFrame:
 
 
 def merge_attrs(values: DataFrame) -> DataFrame:
-    """(case_id, id, key, value, seq) -> (case_id, id, attrs): the last non-empty value of each key."""
-    last = values.filter("value is not null and value <> ''").groupBy("case_id", "id", "key").agg(F.max_by("value", "seq").alias("value"))
-    return last.groupBy("case_id", "id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("attrs"))
+    """(case_id, id, key, value, doc_id, seq) -> (case_id, id, attrs): the last non-empty value of each key."""
+    lasts = values.filter("value is not null and value <> ''").groupBy("case_id", "id", "key").agg(last(F.col("value")).alias("value"))
+    return lasts.groupBy("case_id", "id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("attrs"))
 
 
 def sightings(facts: DataFrame) -> DataFrame:

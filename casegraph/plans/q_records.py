@@ -216,7 +216,7 @@ def e_facts(facts):
 def e_social(spark: SparkSession, d: str) -> DataFrame:
     """Conversations as posts: who speaks mentions the two next roles."""
     c = table(spark, d, "conversations")
-    raw = c.select(F.concat(F.lit("case_"), F.col("conv_id") % 4).alias("case_id"), F.lit("doc:posts").alias("doc_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), F.lit("Chat App").alias("network"), F.concat(F.lit("@"), F.col("role"), F.lit("."), F.col("conv_id") % 50).alias("user"), F.concat(F.lit("@peer-"), F.col("turn"), F.lit(" and peer "), F.col("conv_id") % 7).alias("mentions"), F.when(F.col("turn") % 2 == 0, "DM").otherwise("mention").alias("action"), F.concat(F.lit("Ms "), F.col("role"), F.lit(" "), F.col("conv_id") % 50).alias("display_name"))
+    raw = c.select(F.concat(F.lit("case_"), F.col("conv_id") % 4).alias("case_id"), F.lit("doc:posts").alias("doc_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), F.lit("Chat App").alias("network"), F.concat(F.lit("@"), F.col("role"), F.lit("."), F.col("conv_id") % 50).alias("user"), F.concat(F.lit("@peer-"), F.col("turn"), F.lit(" and peer "), F.col("conv_id") % 7).alias("mentions"), F.when(F.col("turn") % 2 == 0, "DM").otherwise("mention").alias("action"), F.concat(F.lit("Ms "), F.col("role"), F.lit(" "), F.col("conv_id") % 50).alias("display_name"), F.concat(F.lit("City "), F.col("conv_id") % 3).alias("checkin"))
     return edges.social(raw).select("case_id", "src", "dst", "type", "weight", "confidence", "basis", "seq")
 
 
@@ -224,7 +224,8 @@ E_SOCIAL_SQL = """
 WITH c AS (SELECT 'case_' || (conv_id % 4) AS case_id, conv_id * 1000 + turn AS seq, 'account:chat_app_' || role || '_' || (conv_id % 50) AS me, role || '_' || (conv_id % 50) AS who, turn, unnest(['account:chat_app_peer_' || turn, 'account:chat_app_peer_' || (conv_id % 7)]) AS peer FROM conversations)
 SELECT case_id, CASE WHEN turn % 2 = 0 THEN me ELSE least(me, peer) END AS src, CASE WHEN turn % 2 = 0 THEN peer ELSE greatest(me, peer) END AS dst, CASE WHEN turn % 2 = 0 THEN 'MESSAGED' ELSE 'CO_OCCURS' END AS type,
   CAST(CASE WHEN turn % 2 = 0 THEN 1.0 ELSE 0.3 END AS DOUBLE) AS weight, CAST(CASE WHEN turn % 2 = 0 THEN 0.9 ELSE 0.8 END AS DOUBLE) AS confidence, CASE WHEN turn % 2 = 0 THEN 'social_dm' ELSE 'social_mention' END AS basis, seq FROM c
-UNION ALL SELECT DISTINCT case_id, 'person:' || who, me, 'OWNS', 1.0, 0.45, 'social_profile', seq FROM c"""
+UNION ALL SELECT DISTINCT case_id, 'person:' || who, me, 'OWNS', 1.0, 0.45, 'social_profile', seq FROM c
+UNION ALL SELECT DISTINCT case_id, me, 'location:city_' || (seq // 1000 % 3), 'LOCATED_AT', 1.0, 0.7, 'social_geotag', seq FROM c"""
 
 
 def history_raw(spark: SparkSession, d: str) -> DataFrame:
@@ -402,7 +403,68 @@ WITH {CALLS_SQL}, {TRANSFERS_SQL}, all_facts AS (SELECT * FROM call_facts UNION
 found AS (SELECT * FROM spikes UNION ALL SELECT * FROM swaps UNION ALL SELECT * FROM one_way UNION ALL SELECT * FROM large UNION ALL SELECT * FROM silent)
 SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, kind, nodes, ts) AS rank, kind, nodes, ts, CAST(score AS DOUBLE) AS score FROM found"""
 
+def order_lines(spark: SparkSession, d: str) -> DataFrame:
+    """orders as one CSV export for each customer, with a blank line after the header, read with places."""
+    o = table(spark, d, "orders")
+    line = F.format_string("C-%d,\"desk, \"\"%s\"\"\",%s,%s", F.col("o_custkey"), F.col("o_orderstatus"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.col("o_orderkey").cast("string"))
+    texts = o.groupBy(F.concat(F.lit("case_"), F.col("o_custkey") % 4).alias("case_id"), F.concat(F.lit("doc:o"), F.col("o_custkey")).alias("doc_id")).agg(
+        F.concat(F.lit("from_account,to_account,date,reference\n\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", line.alias("line")))), lambda x: x["line"]), "\n")).alias("text")
+    )
+    return tables.record_lines(texts, ["from_account", "to_account", "date", "reference"])
+
+
+LINES_SQL = r'''
+ol AS (SELECT 'case_' || (o_custkey % 4) AS case_id, 'doc:o' || o_custkey AS doc_id, o_custkey, o_orderkey, CAST(o_orderdate AS DATE) AS day, o_orderstatus AS st,
+  length('C-' || o_custkey || ',"desk, ""' || o_orderstatus || '""",' || CAST(o_orderdate AS DATE) || ',' || o_orderkey) + 1 AS n, row_number() OVER w AS k, count(*) OVER (PARTITION BY o_custkey) AS c,
+  coalesce(sum(length('C-' || o_custkey || ',"desk, ""' || o_orderstatus || '""",' || CAST(o_orderdate AS DATE) || ',' || o_orderkey) + 1) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 40 AS start
+  FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+spans AS (SELECT *, CAST(k + 1 AS BIGINT) AS seq, CAST(start + n - (k = c)::INT AS INT) AS stop FROM ol)'''
+
+
+def x14_lines(spark: SparkSession, d: str) -> DataFrame:
+    return order_lines(spark, d).select("case_id", "doc_id", "seq", "start", "end", "to_account", F.col("reference").cast("long").alias("reference"))
+
+
+X14_SQL = f"""WITH {LINES_SQL} SELECT case_id, doc_id, seq, CAST(start AS INT) AS start, stop AS "end", 'desk, "' || st || '"' AS to_account, o_orderkey AS reference FROM spans"""
+
+
+def u3_cited(spark: SparkSession, d: str) -> DataFrame:
+    """Which lines each edge and each account rests on."""
+    facts = kept_facts(edges.transfers(order_lines(spark, d)))
+    first = lambda df, key: df.select("case_id", F.col(key).alias("key"), "source_count", F.size("sources").cast("long").alias("kept"), F.col("sources")[0]["doc_id"].alias("doc_id"), F.col("sources")[0]["start"].alias("start"), F.col("sources")[0]["end"].alias("end"))
+    return first(merge.edge_sources(facts), "nat_key").union(first(merge.node_sources(facts), "id"))
+
+
+def kept_facts(df: DataFrame) -> DataFrame:
+    return shared.kept(df, "facts")
+
+
+U3_CITED_SQL = f"""WITH {LINES_SQL}, f AS (SELECT case_id, 'account:c_' || o_custkey AS a, 'account:desk_' || lower(st) AS b, day, doc_id, CAST(start AS INT) AS start, stop, seq FROM spans),
+r AS (SELECT case_id, a || '|TRANSFERRED_TO|' || b || '|' || day || 'T00:00:00' AS key, doc_id, start, stop, seq FROM f UNION ALL SELECT case_id, unnest([a, b]), doc_id, start, stop, seq FROM f),
+g AS (SELECT *, row_number() OVER (PARTITION BY case_id, key, doc_id ORDER BY seq, start) AS j, row_number() OVER (PARTITION BY case_id, key ORDER BY seq, doc_id, start) AS k FROM r)
+SELECT case_id, key, count(*) AS source_count, least(60, count(*) FILTER (j <= 3)) AS kept, any_value(doc_id) FILTER (k = 1) AS doc_id, any_value(start) FILTER (k = 1) AS start, any_value(stop) FILTER (k = 1) AS "end" FROM g GROUP BY 1, 2"""
+
+
+def u2_attrs(spark: SparkSession, d: str) -> DataFrame:
+    out = merge.edge_attrs(transfer_facts(spark, d))
+    return out.select("case_id", "nat_key", F.size("attrs").cast("long").alias("n"), F.col("attrs")["mode"].alias("mode"), F.col("attrs")["txn_id"].alias("txn_id"))
+
+
+U2_ATTRS_SQL = f"WITH {TRANSFERS_SQL} SELECT case_id, src || '|TRANSFERRED_TO|' || dst || '|' || strftime(ts, '%Y-%m-%dT%H:%M:%S') AS nat_key, 2::BIGINT AS n, arg_max(mode, seq) AS mode, arg_max(l_orderkey, seq)::VARCHAR AS txn_id FROM tr GROUP BY 1, 2"
+
+
+def u1_accounts(spark: SparkSession, d: str) -> DataFrame:
+    return merge.merge_attrs(edges.account_attrs(transfers_raw(spark, d))).select("case_id", "id", F.col("attrs")["ifsc"].alias("ifsc"))
+
+
+U1_ACCOUNTS_SQL = f"WITH {TRANSFERS_SQL} SELECT case_id, dst AS id, 'BANK0' || lpad((arg_max(l_orderkey, seq) % 1000)::VARCHAR, 6, '0') AS ifsc FROM tr GROUP BY 1, 2"
+
+
 QUERIES = {
+    "x14_record_lines": (x14_lines, X14_SQL),
+    "u3_cited_lines": (u3_cited, U3_CITED_SQL),
+    "u2_edge_attrs": (u2_attrs, U2_ATTRS_SQL),
+    "u1_account_attrs": (u1_accounts, U1_ACCOUNTS_SQL),
     "x1_x6_names": (x_names, X_NAMES_SQL),
     "x3_r1_phones": (x_phones, X_PHONES_SQL),
     "x7_x10_dates_amounts": (x_dates_amounts, X_DATES_SQL),

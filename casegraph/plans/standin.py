@@ -38,6 +38,7 @@ def transfers_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("case_"), F.col("o_custkey") % 4).alias("case_id"), F.lit("doc:lineitem").alias("doc_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"),
         F.concat(F.lit(" C-"), F.lpad(F.col("o_custkey").cast("string"), 6, "0")).alias("Debit Account"), F.concat(F.lit("S "), F.lpad(F.col("l_suppkey").cast("string"), 6, "0")).alias("credit_account"),
         date.alias("value_date"), F.concat(F.lit("Rs. "), F.col("l_extendedprice").cast("string")).alias("amt"), F.concat(F.lit("Shri Customer "), F.col("o_custkey")).alias("remitter_name"), F.col("o_orderpriority").alias("channel"),
+        F.concat(F.lit("Supplier "), F.col("l_suppkey")).alias("beneficiary"), F.concat(F.lit("BANK0"), F.lpad((F.col("l_orderkey") % 1000).cast("string"), 6, "0")).alias("ifsc-code"), F.col("l_orderkey").cast("string").alias("utr"),
     )
 
 
@@ -63,11 +64,12 @@ call_facts AS (
   UNION ALL SELECT case_id, 'person:user_' || user_id, caller, 'OWNS', NULL, 0.95, NULL, seq FROM call_ends)"""
 TRANSFERS_SQL = r"""
 tr AS (SELECT 'case_' || (o_custkey % 4) AS case_id, l_orderkey * 10 + l_linenumber AS seq, 'account:c_' || lpad(o_custkey::VARCHAR, 6, '0') AS src, 'account:s_' || lpad(l_suppkey::VARCHAR, 6, '0') AS dst,
-  CASE WHEN l_linenumber % 4 = 3 THEN date_trunc('minute', CAST(l_shipdate AS TIMESTAMP)) ELSE date_trunc('day', CAST(l_shipdate AS TIMESTAMP)) END AS ts, l_extendedprice AS amount, o_custkey
+  CASE WHEN l_linenumber % 4 = 3 THEN date_trunc('minute', CAST(l_shipdate AS TIMESTAMP)) ELSE date_trunc('day', CAST(l_shipdate AS TIMESTAMP)) END AS ts, l_extendedprice AS amount, o_custkey, l_suppkey, l_orderkey, o_orderpriority AS mode
   FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
 transfer_facts AS (
   SELECT case_id, src, dst, 'TRANSFERRED_TO' AS type, ts, 0.95 AS confidence, amount, seq FROM tr
-  UNION ALL SELECT case_id, 'person:customer_' || o_custkey, src, 'OWNS', NULL, 0.95, NULL, seq FROM tr)"""
+  UNION ALL SELECT case_id, 'person:customer_' || o_custkey, src, 'OWNS', NULL, 0.95, NULL, seq FROM tr
+  UNION ALL SELECT case_id, 'person:supplier_' || l_suppkey, dst, 'OWNS', NULL, 0.95, NULL, seq FROM tr)"""
 #: Merged edges of a table of facts.
 EDGES_SQL = r"""
 edges AS (SELECT case_id, src || '|' || type || '|' || dst || '|' || coalesce(strftime(ts, '%Y-%m-%dT%H:%M:%S'), '') AS nat_key, any_value(src) AS src, any_value(dst) AS dst, any_value(type) AS type,

@@ -93,3 +93,17 @@ def case_catalogue(cases: DataFrame, counts: dict[str, DataFrame], questions: Da
         out = out.join(df.groupBy("case_id").agg(F.count(F.lit(1)).alias(name)), "case_id", "left")
     asked = questions.filter("kind = 'question' and status = 'open'").groupBy("case_id").agg(F.count(F.lit(1)).alias("open_questions"))
     return out.join(asked, "case_id", "left").na.fill(0, [*counts, "open_questions"]).orderBy(F.col("updated").desc(), "case_id")
+
+
+def record_lines(texts: DataFrame, columns: list[str]) -> DataFrame:
+    """CSV texts (case_id, doc_id, text) with these columns -> (case_id, doc_id, seq, start, end, the columns): each row with the place of its line in the text.
+
+    ``read.csv`` keeps no place, so lines are cut here and parsed one by one; a quoted value can't run over a line. The first line is the header; blank lines are no rows but count for places.
+    """
+    at = Window.partitionBy("case_id", "doc_id").orderBy("line")
+    lines = texts.select("case_id", "doc_id", F.posexplode(F.split("text", "(?<=\n)", -1)).alias("line", "raw")).filter("raw <> ''")
+    lines = lines.withColumn("end", F.sum(F.length("raw")).over(at).cast("int")).withColumn("start", (F.col("end") - F.length("raw")).cast("int"))
+    lines = lines.filter((F.col("line") > 0) & F.col("raw").rlike(r"\S")).withColumn("seq", F.col("line").cast("long"))
+    schema = ", ".join(f"`c{i}` string" for i in range(len(columns)))
+    row = F.from_csv(F.regexp_replace("raw", "[\r\n]+$", ""), schema, {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"})
+    return lines.withColumn("r", row).select("case_id", "doc_id", "seq", "start", "end", *(F.col(f"r.c{i}").alias(c) for i, c in enumerate(columns)))
