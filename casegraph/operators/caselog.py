@@ -73,6 +73,26 @@ def remember(entries: DataFrame) -> DataFrame:
     return keyed.groupBy("case_id", "id", "kind").agg(*last, F.min("at").alias("created"), F.max("at").alias("updated"))
 
 
+def conclusions(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entries (case_id, position, kind, text, status, confidence, at, actor, ts) -> what the memory keeps, and the audit rows that :func:`append` chains: each names its memory and the hash of what was said."""
+    payload = F.sha2(canonical_json(kind=F.col("kind"), text=F.col("text"), status=F.col("status"), confidence=F.col("confidence")), 256)
+    audit = entries.select("case_id", "position", "ts", "actor", F.lit("infer").alias("action"), memory_id(F.col("kind"), F.col("text")).alias("ref"), payload.alias("payload_sha256"))
+    return remember(entries), audit
+
+
+def uncleared(turns: DataFrame, cleared: DataFrame) -> DataFrame:
+    """Turns after the last clearing of their conversation; cleared (case_id, seq)."""
+    last = cleared.groupBy("case_id").agg(F.max("seq").alias("cleared"))
+    return turns.join(last, "case_id", "left").filter("cleared is null or seq > cleared").drop("cleared")
+
+
+def caveats(verified: DataFrame) -> DataFrame:
+    """Verified answers with what to warn of: unknown ids that were dropped, and nothing cited at all."""
+    dropped = F.when(F.size("unknown") > 0, F.concat(F.lit("dropped unknown ids: "), F.array_join("unknown", ", ")))
+    bare = F.when((F.size("valid") == 0) & (F.col("claim_type") != "guidance"), "cites nothing known")
+    return verified.withColumn("caveats", F.array_compact(F.array(dropped, bare)))
+
+
 def recall(memory: DataFrame, *, kind: str | None = None, status: str | None = None, text: str | None = None, limit: int = 50) -> DataFrame:
     """By kind, status and text, newest first."""
     if kind:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from casegraph.functions.normalize import plural
+from casegraph.operators.findings import REPORT_KINDS
 from casegraph.operators.graph import both_ways
 
 
@@ -55,6 +57,13 @@ def profiles(edges: DataFrame) -> DataFrame:
     return ends.groupBy("case_id", F.col("e.node").alias("node")).agg(F.count(F.lit(1)).alias("edges"), F.countDistinct("e.other").alias("neighbours"), F.array_join(F.array_sort(F.collect_set("type")), ",").alias("types"))
 
 
+def profile_documents(sources: DataFrame, documents: DataFrame) -> DataFrame:
+    """Q9: (case_id, id, place, doc_id, kind): the distinct documents among a node's sources, in the order of the sources."""
+    cited = sources.select("case_id", "id", F.posexplode("sources").alias("at", "s")).groupBy("case_id", "id", F.col("s.doc_id").alias("doc_id")).agg(F.min("at").alias("at"))
+    place = F.row_number().over(Window.partitionBy("case_id", "id").orderBy("at"))
+    return cited.join(documents.select("case_id", "doc_id", "kind"), ["case_id", "doc_id"]).withColumn("place", place).drop("at")
+
+
 def case_counts(**tables: DataFrame) -> DataFrame:
     """Q10: rows of each table by case."""
     out = None
@@ -92,8 +101,15 @@ def type_histogram(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("case_id", "type").agg(F.count(F.lit(1)).alias("n"))
 
 
+def threads(memory: DataFrame, *, limit: int = 20) -> DataFrame:
+    """Q14: the open questions and requests and the conclusions of each case, the newest ``limit`` of each kind."""
+    asked = memory.filter("kind = 'conclusion' or status = 'open'")
+    k = F.row_number().over(Window.partitionBy("case_id", "kind").orderBy(F.col("updated").desc(), "id"))
+    return asked.withColumn("place", k).filter(F.col("place") <= limit)
+
+
 def overview(counts: DataFrame, findings: DataFrame, memory: DataFrame, *, top: int = 10) -> DataFrame:
-    """Q14: a case's counts, its first findings, and the threads left open."""
+    """Q14: a case's counts, its first findings, and how many threads are left open; :func:`threads` lists them, and the document registry its documents."""
     heads = findings.filter(F.col("rank") <= top).groupBy("case_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "headline"))), lambda x: x["headline"]), "; ").alias("headlines"))
     threads = memory.filter("status = 'open'").groupBy("case_id").agg(F.count(F.lit(1)).alias("open_threads"))
     return counts.join(heads, "case_id", "left").join(threads, "case_id", "left").na.fill(0, ["open_threads"])
@@ -106,9 +122,21 @@ def influencers(metrics: DataFrame, nodes: DataFrame, metric: str, *, limit: int
     return of_type.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).withColumn("score", F.round(metric, 6))
 
 
+def papers(named: DataFrame, documents: DataFrame) -> DataFrame:
+    """Named (case_id, node, doc_id) -> (case_id, node, documents, kinds, in_report): how many documents name a node, of which kinds, and whether one is a report."""
+    told = named.distinct().join(documents.select("case_id", "doc_id", "kind"), ["case_id", "doc_id"], "left")
+    return told.groupBy("case_id", "node").agg(F.count(F.lit(1)).alias("documents"), F.array_sort(F.collect_set("kind")).alias("kinds"), F.coalesce(F.bool_or(F.col("kind").isin(*REPORT_KINDS)), F.lit(False)).alias("in_report"))
+
+
+def paper_line(documents: Column, kinds: Column, in_report: Column) -> Column:
+    """What is said of a person's documents."""
+    records = F.coalesce(F.nullif(F.array_join(kinds, ", "), F.lit("")), F.lit("records"))
+    return F.when(F.coalesce(documents, F.lit(0)) == 0, "named in no source document at all").when(~in_report, F.concat(F.lit("named in no report, appears only in "), records, F.lit(" data"))).otherwise(F.concat(F.lit("named in "), plural(documents, "document")))
+
+
 def explanations(top: DataFrame, pairs_: DataFrame, membership: DataFrame) -> DataFrame:
     """For ranked nodes, direct contacts and the groups among them, as columns and a sentence."""
     around = both_ways(pairs_).join(membership.select("case_id", F.col("node").alias("v"), "community"), ["case_id", "v"], "left")
     told = around.groupBy("case_id", F.col("u").alias("node")).agg(F.count(F.lit(1)).alias("contacts"), F.count_distinct("community").alias("groups"))
-    line = F.format_string("%s has %d direct contacts in %d groups", "label", "contacts", "groups")
+    line = F.concat("label", F.lit(" has "), plural(F.col("contacts"), "direct contact"), F.lit(" in "), plural(F.col("groups"), "group"))
     return top.join(told, ["case_id", "node"], "left").na.fill(0, ["contacts", "groups"]).withColumn("why", line)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casegraph.operators import findings, graph, iterative, merge, query
+from casegraph.operators import case, findings, graph, iterative, merge, query
 from casegraph.plans import q_records as R
 from casegraph.plans.standin import CALLS_SQL, EDGES_SQL, PAIRS_SQL, TRANSFERS_SQL, table
 from casegraph.sources.shared import kept
@@ -80,35 +82,30 @@ def order_pairs(spark: SparkSession, d: str, where: str = "true") -> DataFrame:
     return j.select(pairs_.alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).cast("double").alias("weight")).select(F.lit("case_1").alias("case_id"), "a", "b", "weight", (1 / F.col("weight")).alias("distance"))
 
 
-def month_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """The graph of the orders of one month, as in the SQL."""
-    return order_pairs(spark, d, "o_orderdate >= '1995-03-01' and o_orderdate < '1995-04-01'")
-
-
-MONTH_SQL = r"""
-month AS (SELECT 'customer:' || o_custkey AS c, 'supplier:' || l_suppkey AS s, 'nation:' || c_nationkey AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN customer ON o_custkey = c_custkey WHERE o_orderdate >= '1995-03-01' AND o_orderdate < '1995-04-01'),
-pairs AS (SELECT c AS a, s AS b, CAST(count(*) AS DOUBLE) AS weight FROM month GROUP BY 1, 2 UNION ALL SELECT c, n, CAST(count(*) AS DOUBLE) FROM month GROUP BY 1, 2),
+ORDERS_SQL = r"""
+lines AS (SELECT 'customer:' || o_custkey AS c, 'supplier:' || l_suppkey AS s, 'nation:' || c_nationkey AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN customer ON o_custkey = c_custkey),
+pairs AS (SELECT c AS a, s AS b, CAST(count(*) AS DOUBLE) AS weight FROM lines GROUP BY 1, 2 UNION ALL SELECT c, n, CAST(count(*) AS DOUBLE) FROM lines GROUP BY 1, 2),
 both_ways AS (SELECT a AS u, b AS v, weight FROM pairs UNION ALL SELECT b, a, weight FROM pairs)"""
 
 
 def q5_paths(spark: SparkSession, d: str) -> DataFrame:
-    p = kept(month_pairs(spark, d), "pairs")
+    p = kept(order_pairs(spark, d), "pairs")
     asked = p.groupBy("case_id").agg(F.min("a").alias("a"), F.max("a").alias("b"))
-    return graph.simple_paths(p, asked, max_hops=4, limit=5).select("a", "b", F.array_join("path", ">").alias("path"), "hops", "weight", "rank")
+    return graph.simple_paths(p, asked, max_hops=3, limit=5).select("a", "b", F.array_join("path", ">").alias("path"), "hops", "weight", "rank")
 
 
-Q5_SQL = f"""WITH RECURSIVE {MONTH_SQL}, q AS (SELECT min(a) AS a, max(a) AS b FROM pairs),
+Q5_SQL = f"""WITH RECURSIVE {ORDERS_SQL}, q AS (SELECT min(a) AS a, max(a) AS b FROM pairs),
 w(a, b, node, path, hops, weight) AS (SELECT a, b, a, [a], 0, CAST(0 AS DOUBLE) FROM q
-  UNION ALL SELECT w.a, w.b, v, list_append(path, v), hops + 1, w.weight + e.weight FROM w JOIN both_ways e ON w.node = e.u WHERE hops < 4 AND node <> b AND NOT list_contains(path, v)),
+  UNION ALL SELECT w.a, w.b, v, list_append(path, v), hops + 1, w.weight + e.weight FROM w JOIN both_ways e ON w.node = e.u WHERE hops < 3 AND node <> b AND NOT list_contains(path, v)),
 r AS (SELECT *, row_number() OVER (ORDER BY hops, weight DESC, array_to_string(path, '>')) AS rank FROM w WHERE node = b)
 SELECT a, b, array_to_string(path, '>') AS path, CAST(hops AS INT) AS hops, weight, CAST(rank AS INT) AS rank FROM r WHERE rank <= 5"""
 
 
 def q6_path_edges(spark: SparkSession, d: str) -> DataFrame:
     """Shortest paths from a person to a location over the merged call edges, with the edges along them."""
-    e = kept(weighted(R.call_edges(spark, d)).filter("type <> 'CALLED' and type <> 'MESSAGED'"), "edges")
+    e = kept(weighted(R.call_edges(spark, d)), "edges")
     asked = e.filter("type = 'OWNS'").groupBy("case_id").agg(F.min("src").alias("a")).withColumn("b", F.lit("location:tower_1"))
-    paths = kept(graph.simple_paths(graph.pairs(e), asked, max_hops=3, limit=1), "paths")
+    paths = kept(graph.simple_paths(graph.pairs(e), asked, max_hops=2, limit=1), "paths")
     return graph.path_edges(paths, e).select("case_id", "a", "b", F.size("edge_ids").cast("long").alias("n"), F.md5(F.array_join("edge_ids", ",")).alias("digest"))
 
 
@@ -118,11 +115,16 @@ SELECT case_id, a, 'location:tower_1' AS b, count(*) AS n, md5(string_agg(id, ',
 
 
 def g7_pagerank(spark: SparkSession, d: str) -> DataFrame:
-    return iterative.pagerank(month_pairs(spark, d), iterations=6, tolerance=0).select("node", F.round("rank", 9).alias("rank"))
+    return iterative.pagerank(order_pairs(spark, d), iterations=6, tolerance=0).select("node", F.round("rank", 9).alias("rank"))
+
+
+def g7_settled(spark: SparkSession, d: str) -> DataFrame:
+    """With the tolerance and rounds of the operator: how many rounds that takes depends on the data, so no SQL says the same."""
+    return iterative.pagerank(order_pairs(spark, d)).select("case_id", "node", F.round("rank", 9).alias("rank"))
 
 
 def _pagerank_sql(rounds: int) -> str:
-    sql = f"WITH {MONTH_SQL}, t AS (SELECT u, sum(weight) AS total FROM both_ways GROUP BY 1), sh AS (SELECT b.u, b.v, b.weight / t.total AS share FROM both_ways b JOIN t ON b.u = t.u), n AS (SELECT count(*) AS n FROM t), r0 AS (SELECT u AS node, 1.0::DOUBLE / n AS rank FROM t, n)"
+    sql = f"WITH {ORDERS_SQL}, t AS (SELECT u, sum(weight) AS total FROM both_ways GROUP BY 1), sh AS (SELECT b.u, b.v, b.weight / t.total AS share FROM both_ways b JOIN t ON b.u = t.u), n AS (SELECT count(*) AS n FROM t), r0 AS (SELECT u AS node, 1.0::DOUBLE / n AS rank FROM t, n)"
     for i in range(rounds):
         sql += f", r{i + 1} AS (SELECT v AS node, 0.15 / any_value(n) + 0.85 * sum(rank * share) AS rank FROM sh JOIN r{i} ON u = node, n GROUP BY 1)"
     return f"{sql} SELECT node, round(CAST(rank AS DOUBLE), 9) AS rank FROM r{rounds}"
@@ -215,8 +217,8 @@ SELECT case_id, id, 'bridge' AS part FROM b UNION ALL SELECT DISTINCT h.case_id,
 
 
 def g12_g13_influencers(spark: SparkSession, d: str) -> DataFrame:
-    """The suppliers of a month by weighted degree, with contacts and the nations among their customers as groups."""
-    p = kept(month_pairs(spark, d), "pairs")
+    """The suppliers by weighted degree, with contacts and the nations among their customers as groups."""
+    p = kept(order_pairs(spark, d), "pairs")
     member = p.filter("b like 'nation:%'").groupBy("case_id", F.col("a").alias("node")).agg(F.min("b").alias("community"))
     deg = graph.degrees(p.filter("b like 'supplier:%'"))
     n = deg.select("case_id", F.col("node").alias("id"), F.substring_index("node", ":", 1).alias("type"), F.upper("node").alias("label"))
@@ -224,15 +226,15 @@ def g12_g13_influencers(spark: SparkSession, d: str) -> DataFrame:
     return query.explanations(top, p, member).select("node", "score", "rank", "contacts", "groups", "why")
 
 
-G12_SQL = f"""WITH {MONTH_SQL}, m AS (SELECT a AS node, min(b) AS community FROM pairs WHERE b LIKE 'nation:%' GROUP BY 1),
+G12_SQL = f"""WITH {ORDERS_SQL}, m AS (SELECT a AS node, min(b) AS community FROM pairs WHERE b LIKE 'nation:%' GROUP BY 1),
 t AS (SELECT b AS node, sum(weight) AS score, count(*) AS contacts, count(DISTINCT community) AS groups FROM pairs JOIN m ON a = node WHERE b LIKE 'supplier:%' GROUP BY 1),
 r AS (SELECT *, row_number() OVER (ORDER BY score DESC, node) AS rank FROM t)
-SELECT node, score, CAST(rank AS INT) AS rank, contacts, groups, upper(node) || ' has ' || contacts || ' direct contacts in ' || groups || ' groups' AS why FROM r WHERE rank <= 10"""
+SELECT node, score, CAST(rank AS INT) AS rank, contacts, groups, upper(node) || ' has ' || contacts || ' direct contact' || CASE WHEN contacts = 1 THEN '' ELSE 's' END || ' in ' || groups || ' group' || CASE WHEN groups = 1 THEN '' ELSE 's' END AS why FROM r WHERE rank <= 10"""
 
 
-def month_people(spark: SparkSession, d: str):
-    """The month's customers as people, with a stand-in betweenness (weighted degree), nations as communities, and reports on every third customer."""
-    p = kept(month_pairs(spark, d).withColumn("a", F.replace("a", F.lit("customer"), F.lit("person"))), "pairs")
+def order_people(spark: SparkSession, d: str):
+    """The customers as people, with a stand-in betweenness (weighted degree), nations as communities, and reports on every third customer."""
+    p = kept(order_pairs(spark, d).withColumn("a", F.replace("a", F.lit("customer"), F.lit("person"))), "pairs")
     deg = kept(graph.degrees(p), "degrees")
     metrics = deg.select("case_id", "node", F.col("weighted").alias("betweenness"))
     member = p.filter("b like 'nation:%'").select("case_id", F.col("a").alias("node"), F.col("b").alias("community"))
@@ -242,30 +244,27 @@ def month_people(spark: SparkSession, d: str):
 
 
 def f_people(spark: SparkSession, d: str) -> DataFrame:
-    p, deg, metrics, member, named, reported = month_people(spark, d)
-    out = findings.hidden_brokers(metrics, deg, reported, most_contacts=30).union(findings.undocumented_people(named, deg, reported))
+    p, deg, metrics, member, named, reported = order_people(spark, d)
+    out = findings.hidden_brokers(metrics, deg, reported, most_contacts=60).union(findings.undocumented_people(named, deg, reported))
     return out.select("kind", "severity", F.array_join("node_ids", ",").alias("nodes"))
 
 
-F_PEOPLE_SQL = f"""WITH {MONTH_SQL}, dg AS (SELECT replace(u, 'customer', 'person') AS node, sum(weight) AS w, count(*) AS nb FROM both_ways WHERE u LIKE 'customer:%' GROUP BY 1),
+F_PEOPLE_SQL = f"""WITH {ORDERS_SQL}, dg AS (SELECT replace(u, 'customer', 'person') AS node, sum(weight) AS w, count(*) AS nb FROM both_ways WHERE u LIKE 'customer:%' GROUP BY 1),
 c AS (SELECT min(w) AS cut FROM (SELECT w FROM dg ORDER BY w DESC, node LIMIT 5)), free AS (SELECT * FROM dg WHERE CAST(split_part(node, ':', 2) AS INT) % 3 <> 0)
-(SELECT 'hidden_broker' AS kind, 'high' AS severity, node AS nodes FROM free, c WHERE w >= cut AND nb <= 30 ORDER BY w DESC, node LIMIT 3)
+(SELECT 'hidden_broker' AS kind, 'high' AS severity, node AS nodes FROM free, c WHERE w >= cut AND nb <= 60 ORDER BY w DESC, node LIMIT 3)
 UNION ALL (SELECT 'undocumented_person', 'medium', node FROM free WHERE nb >= 2 ORDER BY nb DESC, node LIMIT 5)"""
 
 
 def f3_contacts(spark: SparkSession, d: str) -> DataFrame:
-    """Customers of one nation that share a supplier with another nation's: nations joined by one or two pairs."""
-    p = kept(month_pairs(spark, d), "pairs")
-    member = p.filter("b like 'nation:%'").select("case_id", F.col("a").alias("node"), F.col("b").alias("community"))
-    s = p.filter("b like 'supplier:%'").join(member.withColumnRenamed("node", "a"), ["case_id", "a"])
-    home = s.groupBy("case_id", F.col("b").alias("node")).agg(F.min("community").alias("community"))
-    out = findings.single_contacts(p.filter("b like 'supplier:%'"), member.union(home))
+    """Customers and suppliers in 400 groups by their keys: groups that one or two orders join."""
+    p = kept(order_pairs(spark, d).filter("b like 'supplier:%'"), "pairs")
+    ends = p.select("case_id", F.explode(F.array("a", "b")).alias("node")).distinct()
+    out = findings.single_contacts(p, ends.withColumn("community", F.concat(F.lit("c"), F.substring_index("node", ":", -1).cast("int") % 400)))
     return out.select("kind", "headline", F.array_join("node_ids", ",").alias("nodes"))
 
 
-F3_SQL = f"""WITH {MONTH_SQL}, m AS (SELECT a AS node, b AS community FROM pairs WHERE b LIKE 'nation:%'), s AS (SELECT p.*, community FROM pairs p JOIN m ON a = node WHERE b LIKE 'supplier:%'),
-h AS (SELECT b AS node, min(community) AS home FROM s GROUP BY 1), x AS (SELECT s.a, s.b, least(community, home) AS x, greatest(community, home) AS y FROM s JOIN h ON s.b = h.node WHERE community <> home),
-j AS (SELECT x, y, count(*) AS links, min(struct_pack(a := a, b := b)) AS one FROM x GROUP BY 1, 2)
+F3_SQL = f"""WITH {ORDERS_SQL}, g AS (SELECT a, b, 'c' || (CAST(split_part(a, ':', 2) AS INT) % 400) AS ca, 'c' || (CAST(split_part(b, ':', 2) AS INT) % 400) AS cb FROM pairs WHERE b LIKE 'supplier:%'),
+j AS (SELECT least(ca, cb) AS x, greatest(ca, cb) AS y, count(*) AS links, min(struct_pack(a := a, b := b)) AS one FROM g WHERE ca <> cb GROUP BY 1, 2)
 SELECT 'single_point_of_contact' AS kind, 'Groups ' || x || ' and ' || y || ' meet in ' || links || ' places' AS headline, one.a || ',' || one.b AS nodes FROM j WHERE links <= 2 ORDER BY links, x, y LIMIT 2"""
 
 
@@ -314,11 +313,64 @@ def f8_edges(spark: SparkSession, d: str) -> DataFrame:
 F8_SQL = f"""{CALLS}, x AS (SELECT case_id, unnest([src, dst]) AS node, 'e_' || left(sha256(nat_key), 16) AS id FROM edges), r AS (SELECT *, row_number() OVER (PARTITION BY case_id, node ORDER BY id) AS k FROM x)
 SELECT case_id, node, count(*) AS n, md5(string_agg(id, ',' ORDER BY id)) AS digest FROM r WHERE k <= 40 GROUP BY 1, 2"""
 
+def g4_absorbed(spark: SparkSession, d: str) -> DataFrame:
+    out = graph.absorbed(graph.owners(kept(R.call_edges(spark, d), "edges"), fold_devices=True))
+    return out.select("case_id", "node", F.array_join("absorbed", ",").alias("absorbed"), "n")
+
+
+G4_ABSORBED_SQL = f"""{CALLS}, {OWNERS_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY case_id, owner ORDER BY identifier) AS k FROM owner)
+SELECT case_id, owner AS node, string_agg(identifier, ',' ORDER BY identifier) FILTER (k <= 60) AS absorbed, count(*) AS n FROM k GROUP BY 1, 2"""
+
+
+def order_papers(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Customers named in documents, one for each priority and status of their orders; the kind follows from the priority."""
+    o = table(spark, d, "orders").select(F.lit("case_1").alias("case_id"), F.concat(F.lit("person:"), "o_custkey").alias("node"), F.concat_ws("-", "o_orderpriority", "o_orderstatus").alias("doc_id"), F.col("o_orderkey").alias("seq"))
+    kind = F.when(F.col("doc_id").startswith("1"), "fir").when(F.col("doc_id").startswith("2"), "cdr").otherwise("financial")
+    return o, o.select("case_id", "doc_id").distinct().withColumn("kind", kind)
+
+
+PAPERS_SQL = "op AS (SELECT 'case_1' AS case_id, 'person:' || o_custkey AS node, o_orderpriority || '-' || o_orderstatus AS doc_id, o_orderkey AS seq FROM orders), od AS (SELECT *, CASE WHEN doc_id LIKE '1%' THEN 'fir' WHEN doc_id LIKE '2%' THEN 'cdr' ELSE 'financial' END AS kind FROM op)"
+
+
+def g13_papers(spark: SparkSession, d: str) -> DataFrame:
+    named, documents = order_papers(spark, d)
+    out = query.papers(named.select("case_id", "node", "doc_id"), documents)
+    return out.select("node", "documents", F.array_join("kinds", ",").alias("kinds"), "in_report", query.paper_line(F.col("documents"), F.col("kinds"), F.col("in_report")).alias("line"))
+
+
+G13_SQL = f"""WITH {PAPERS_SQL}, t AS (SELECT node, count(DISTINCT doc_id) AS documents, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds, bool_or(kind = 'fir') AS in_report FROM od GROUP BY 1)
+SELECT *, CASE WHEN in_report THEN 'named in ' || documents || ' document' || CASE WHEN documents = 1 THEN '' ELSE 's' END ELSE 'named in no report, appears only in ' || replace(kinds, ',', ', ') || ' data' END AS line FROM t"""
+
+
+def q9_documents(spark: SparkSession, d: str) -> DataFrame:
+    named, documents = order_papers(spark, d)
+    refs = named.select("case_id", F.col("node").alias("id"), "doc_id", F.lit(0).alias("start"), F.lit(9).alias("end"), "seq")
+    return query.profile_documents(merge.bounded_sources(refs, ["case_id", "id"]), documents).select("id", "doc_id", "kind", "place")
+
+
+Q9_DOCUMENTS_SQL = f"WITH {PAPERS_SQL} SELECT node AS id, doc_id, any_value(kind) AS kind, CAST(row_number() OVER (PARTITION BY node ORDER BY min(seq), doc_id) AS INT) AS place FROM od GROUP BY 1, 2"
+
+
+def g14_recompute(spark: SparkSession, d: str) -> DataFrame:
+    """Every result table of the call records, counted by case."""
+    e = kept(weighted(R.call_edges(spark, d)), "edges")
+    named = e.filter("src like 'person:%'").select("case_id", F.col("src").alias("node"), F.concat(F.lit("doc:"), F.length("src") % 3).alias("doc_id")).distinct()
+    documents = named.select("case_id", "doc_id").distinct().withColumn("kind", F.when(F.col("doc_id") == "doc:0", "fir").otherwise("cdr"))
+    out = case.recompute(e, named, documents, e.groupBy("case_id").agg(F.count(F.lit(1)).alias("graph_rev")))
+    counted = [df.groupBy("case_id", "graph_rev").agg(F.lit(name).alias("result"), F.count(F.lit(1)).alias("n")) for name, df in out.items()]
+    return reduce(DataFrame.union, counted)
+
+
 QUERIES = {
     "g2_pairs": (g2_pairs, G2_SQL),
     "g3_g4_projection": (g3_g4_projection, G4_SQL),
     "g5_g6_degrees": (g5_g6_degrees, G5_SQL),
     "g7_pagerank": (g7_pagerank, _pagerank_sql(6)),
+    "g14_recompute": (g14_recompute, None),
+    "g4_absorbed": (g4_absorbed, G4_ABSORBED_SQL),
+    "g13_papers": (g13_papers, G13_SQL),
+    "q9_profile_documents": (q9_documents, Q9_DOCUMENTS_SQL),
+    "g7_pagerank_settled": (g7_settled, None),
     "g8_g9_betweenness": (g8_g9_betweenness, None),
     "g10_communities": (g10_communities, None),
     "g12_g13_influencers": (g12_g13_influencers, G12_SQL),

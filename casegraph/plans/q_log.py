@@ -92,12 +92,12 @@ L7_SQL = "SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITIO
 
 
 def l8_merged(spark: SparkSession, d: str) -> DataFrame:
-    """Turns less every third, so that roles repeat."""
-    out = caselog.merged_turns(table(spark, d, "conversations").filter("turn % 3 <> 2"))
+    """All turns, every third as the user's, so that roles repeat."""
+    out = caselog.merged_turns(table(spark, d, "conversations").withColumn("role", F.when(F.col("turn") % 3 == 2, "user").otherwise(F.col("role"))))
     return out.select("conv_id", "run", "role", F.md5("text").alias("digest"), "turns")
 
 
-L8_SQL = r"""WITH t AS (SELECT * FROM conversations WHERE turn % 3 <> 2 AND trim(coalesce(text, '')) <> ''),
+L8_SQL = r"""WITH t AS (SELECT * REPLACE (CASE WHEN turn % 3 = 2 THEN 'user' ELSE role END AS role) FROM conversations WHERE trim(coalesce(text, '')) <> ''),
 o AS (SELECT *, max(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS opened FROM t),
 c AS (SELECT *, CASE WHEN lag(role) OVER (PARTITION BY conv_id ORDER BY turn) = role THEN 0 ELSE 1 END AS change FROM o WHERE opened = 1),
 r AS (SELECT *, sum(change) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM c)

@@ -229,7 +229,7 @@ UNION ALL SELECT DISTINCT case_id, me, 'location:city_' || (seq // 1000 % 3), 'L
 
 
 def history_raw(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders")
+    o = tables.spread(table(spark, d, "orders"))
     return o.select(
         F.concat(F.lit("case_"), F.col("o_custkey") % 4).alias("case_id"), F.lit("doc:register").alias("doc_id"), F.col("o_orderkey").alias("seq"), F.concat(F.lit("Late Shri Person "), F.col("o_custkey")).alias("Accused Name"), F.concat(F.lit("C/"), F.col("o_orderkey") % 5000).alias("fir-no"),
         F.col("o_orderpriority").alias("under_section"), F.date_format("o_orderdate", "dd-MM-yyyy").alias("fir_date"), F.concat(F.lit("PS "), F.col("o_orderkey") % 20).alias("police_station"),
@@ -453,6 +453,17 @@ def u2_attrs(spark: SparkSession, d: str) -> DataFrame:
 U2_ATTRS_SQL = f"WITH {TRANSFERS_SQL} SELECT case_id, src || '|TRANSFERRED_TO|' || dst || '|' || strftime(ts, '%Y-%m-%dT%H:%M:%S') AS nat_key, 2::BIGINT AS n, arg_max(mode, seq) AS mode, arg_max(l_orderkey, seq)::VARCHAR AS txn_id FROM tr GROUP BY 1, 2"
 
 
+def u4_sources(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of an order as its sources, some twice, and some orders with one that lacks a document."""
+    li = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.when((F.col("l_orderkey") % 5 > 0) | (F.col("l_linenumber") > 1), F.concat(F.lit("doc:"), F.col("l_linenumber") % 3)))).alias("docs"), F.bool_or((F.col("l_orderkey") % 5 == 0) & (F.col("l_linenumber") == 1)).alias("lacks"))
+    docs = F.when(F.col("lacks"), F.concat("docs", F.array(F.lit(None).cast("string")))).otherwise(F.col("docs"))
+    clean = merge.clean_sources(F.transform(docs, lambda x: F.struct(x.alias("doc_id"), F.lit(0).alias("start"), F.lit(5).alias("end"))))
+    return li.select("l_orderkey", F.array_join(F.transform(clean, lambda s: s["doc_id"]), ",").alias("sources"))
+
+
+U4_SQL = "SELECT l_orderkey, CASE WHEN NOT bool_or(l_orderkey % 5 = 0 AND l_linenumber = 1) THEN string_agg(DISTINCT 'doc:' || (l_linenumber % 3), ',' ORDER BY 'doc:' || (l_linenumber % 3)) END AS sources FROM lineitem GROUP BY 1"
+
+
 def u1_accounts(spark: SparkSession, d: str) -> DataFrame:
     return merge.merge_attrs(edges.account_attrs(transfers_raw(spark, d))).select("case_id", "id", F.col("attrs")["ifsc"].alias("ifsc"))
 
@@ -464,6 +475,7 @@ QUERIES = {
     "x14_record_lines": (x14_lines, X14_SQL),
     "u3_cited_lines": (u3_cited, U3_CITED_SQL),
     "u2_edge_attrs": (u2_attrs, U2_ATTRS_SQL),
+    "u4_clean_sources": (u4_sources, U4_SQL),
     "u1_account_attrs": (u1_accounts, U1_ACCOUNTS_SQL),
     "x1_x6_names": (x_names, X_NAMES_SQL),
     "x3_r1_phones": (x_phones, X_PHONES_SQL),

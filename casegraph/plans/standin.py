@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from casegraph.sources.tables import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -12,7 +14,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def calls_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as call records: the user calls number k on handset k / 2 over tower k % 10."""
-    e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    e = spread(table(spark, sf_dir, "events")).withColumn("k", F.get_json_object("props", "$.k").cast("int"))
     number = F.concat(F.lit("98"), F.lpad(F.col("user_id").cast("string"), 8, "0"))
     spelled = (
         F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("+91 "), F.substring(number, 1, 5), F.lit(" "), F.substring(number, 6, 5)))
@@ -31,7 +33,7 @@ def calls_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def transfers_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """orders and lineitem as transfers from the customer to the supplier."""
-    j = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    j = spread(table(spark, sf_dir, "lineitem")).join(table(spark, sf_dir, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
     shape = lambda fmt: F.date_format("l_shipdate", fmt)
     date = F.when(F.col("l_linenumber") % 4 == 0, shape("yyyy-MM-dd")).when(F.col("l_linenumber") % 4 == 1, shape("dd/MM/yyyy")).when(F.col("l_linenumber") % 4 == 2, shape("d-MMM-yyyy")).otherwise(shape("dd-MM-yyyy HH:mm"))
     return j.select(
@@ -50,7 +52,7 @@ def prose(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("FIR No: "), k, F.lit("/2024. Accused "), name(k), F.lit(" (mob. 98"), F.lpad(k.cast("string"), 8, "0"), F.lit(") was seen on "), F.lit("2024-03-05 at 10:30 with Shri "), name(k + 1),
         F.lit(", vehicle PB 10 AB "), F.lpad((k % 10000).cast("string"), 4, "0"), F.lit(". A/C No. 1"), F.lpad(k.cast("string"), 11, "0"), F.lit(" at Punjab Trading Bank, 7/3/24; write to u"), k, F.lit("@example.com."),
     )
-    return table(spark, sf_dir, "customer").select(F.concat(F.lit("case_"), k % 4).alias("case_id"), F.concat(F.lit("doc:r"), k).alias("doc_id"), F.lit("fir").alias("kind"), text.alias("text"))
+    return spread(table(spark, sf_dir, "customer")).select(F.concat(F.lit("case_"), k % 4).alias("case_id"), F.concat(F.lit("doc:r"), k).alias("doc_id"), F.lit("fir").alias("kind"), text.alias("text"))
 
 
 #: The same records as canonical facts, for the SQL side.

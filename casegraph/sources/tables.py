@@ -17,6 +17,12 @@ def read_records(spark: SparkSession, path: str, *, sep: str = ",") -> DataFrame
     return raw.select(*(F.coalesce(F.trim(F.col(f"`{c}`")), F.lit("")).alias(c.lstrip("﻿").strip()) for c in raw.columns))
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan of fewer partitions than the cluster has cores (a file or two), dealt out over them before costly work on each row; a larger one as it is."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """(path, text), one row for each file."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))

@@ -45,16 +45,17 @@ def brute_betweenness(edges):
     return {k: v * 2 / ((n - 1) * (n - 2)) for k, v in score.items()}
 
 
-def test_betweenness_of_several_cases_at_once(spark):
+@pytest.mark.parametrize("limit", [10**6, 0])
+def test_betweenness_of_several_cases_at_once(spark, limit):
     graphs = {"path": PATH, "star": STAR, "barbell": BARBELL, "triangle": TRIANGLE}
     rows = reduce(DataFrame.union, [graph_of(spark, edges, case) for case, edges in graphs.items()])
-    got = {(r.case_id, r.node): r.betweenness for r in iterative.betweenness(rows).collect()}
+    got = {(r.case_id, r.node): r.betweenness for r in iterative.betweenness(rows, broadcast_pairs=limit).collect()}
     assert got == pytest.approx({(case, n): v for case, edges in graphs.items() for n, v in brute_betweenness(edges).items()})
 
 
 def test_unfinished_distances_are_an_error(spark):
     with pytest.raises(RuntimeError):
-        iterative.betweenness(graph_of(spark, PATH), max_rounds=2)
+        iterative.betweenness(graph_of(spark, PATH), max_rounds=2, broadcast_pairs=0)
 
 
 def test_sampled_betweenness_is_flagged(spark):
@@ -69,6 +70,44 @@ def test_pagerank_sums_to_one_by_case(spark):
     assert got.filter("case_id = 'd'").orderBy(F.desc("rank")).first().node == "hub"
 
 
+def test_a_case_that_does_not_settle_leaves_the_others_alone(spark):
+    alone = {r.node: r["rank"] for r in iterative.pagerank(graph_of(spark, BARBELL), iterations=30).collect()}
+    both = iterative.pagerank(graph_of(spark, BARBELL).union(graph_of(spark, STAR, "d")), iterations=30).collect()
+    assert {r.node: r["rank"] for r in both if r.case_id == "c"} == pytest.approx(alone) and len(set(alone.values())) > 1
+    assert {r["rank"] for r in both if r.case_id == "d"} == {1 / 6}
+
+
+def test_sampled_betweenness_ranks_like_the_exact(spark):
+    rng = random.Random(8)
+    edges = {tuple(sorted((f"n{i}", f"n{int(i * rng.random() ** 2)}"))) for i in range(1, 700) for _ in range(3)}
+    pairs = graph_of(spark, [(a, b, rng.randint(1, 4)) for a, b in edges if a != b])
+    exact = {r.node: r.betweenness for r in iterative.betweenness(pairs, exact_to=10**6).collect()}
+    drawn = {r.node: (r.betweenness, r.estimated) for r in iterative.betweenness(pairs).collect()}
+    assert all(e for _, e in drawn.values()) and exact.keys() == drawn.keys()
+    rank = lambda score: {n: i for i, n in enumerate(sorted(score, key=lambda n: (score[n], n)))}
+    x, y, n = rank(exact), rank({k: v for k, (v, _) in drawn.items()}), len(exact)
+    assert 1 - 6 * sum((x[k] - y[k]) ** 2 for k in x) / (n * (n * n - 1)) > 0.9
+    top = sorted(exact, key=exact.get)[-20:]
+    assert len(set(top) & set(sorted(drawn, key=lambda k: drawn[k][0])[-20:])) >= 15
+
+
+def modularity(edges, of):
+    total, inside, strength = sum(w for *_, w in edges), 0.0, {}
+    for a, b, w in edges:
+        inside += w * (of[a] == of[b])
+        for n in (a, b):
+            strength[of[n]] = strength.get(of[n], 0) + w
+    return inside / total - sum((s / (2 * total)) ** 2 for s in strength.values())
+
+
+def test_communities_reach_the_planted_modularity(spark):
+    rng = random.Random(9)
+    edges = [(f"{min(i, j):03d}", f"{max(i, j):03d}", 1) for i in range(120) for j in range(i) if rng.random() < (0.4 if i % 6 == j % 6 else 0.01)]
+    got = {r.node: r.community for r in iterative.communities(graph_of(spark, edges)).collect()}
+    planted = {n: int(n) % 6 for n in got}
+    assert modularity(edges, got) > 0.97 * modularity(edges, planted) > 0.6
+
+
 def test_communities_find_cliques(spark):
     got = {r.node: r.community for r in iterative.communities(graph_of(spark, BARBELL)).collect()}
     assert len(got) == 8 and len({got[x] for x in ("a1", "a2", "a3", "a4")}) == 1 and len({got[x] for x in ("b1", "b2", "b3", "b4")}) == 1 and got["a1"] != got["b1"]
