@@ -40,6 +40,8 @@ RANK, OVERSAMPLE, BLOCK_ITEMS = 96, 8, 1000
 MIN_COSINE, MIN_LCS, MIN_LCS_ANSWER = 0.25, 0.8, 0.6
 #: How rarely a passage should hold the words asked for by chance.
 RARE = 1e-4
+#: The most frequent columns, taken as a dense product.
+DENSE = 256
 CHUNK_PASSAGES = 512
 HALF = PASSAGE // 2
 FOUND = "doc_id long, text_hash long, item_id long, lcs_share double, cosine double, has_answer boolean"
@@ -55,7 +57,7 @@ class _Ids(dict):
     """word -> 32-bit hash, kept while it is small."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1 << 18:
+        if len(self) > 1 << 19:
             self.clear()
         self[word] = h = xxhash.xxh32_intdigest(word, 10)
         return h
@@ -142,6 +144,21 @@ def _add_sums(key: np.ndarray, rows: np.ndarray, out: np.ndarray) -> np.ndarray:
     return out
 
 
+def _project(passage: np.ndarray, column: np.ndarray, w: np.ndarray, n: int, matrix: np.ndarray, add_to: np.ndarray | None = None) -> np.ndarray:
+    """X @ matrix, with X the ``n`` passages' weights by column; adds X^T (X @ matrix) to ``add_to``. The first ``DENSE`` columns are most entries and go as a dense product."""
+    often = column < DENSE
+    x = np.zeros((n, min(DENSE, len(matrix))), np.float32)
+    x[passage[often], column[often]] = w[often]
+    y = x @ matrix[:DENSE]
+    passage, column, w = passage[~often], column[~often], w[~often]
+    _add_sums(passage, matrix[column] * w[:, None], y)
+    if add_to is not None:
+        add_to[:DENSE] += x.T @ y
+        order = np.argsort(column)
+        _add_sums(column[order], y[passage[order]] * w[order, None], add_to)
+    return y
+
+
 def passage_frequencies(words: DataFrame) -> tuple[np.ndarray, int]:
     """How many passages hold each term, and the number of passages, over all documents."""
 
@@ -182,9 +199,7 @@ def latent_space(words: DataFrame, items: np.ndarray, vocabulary: np.ndarray, id
                 use = np.flatnonzero(column >= 0)
                 passage, column, w = passage[use], column[use], w[use]
                 energy += float(w @ w)
-                y = _add_sums(passage, g[column] * w[:, None], np.zeros((len(where), width), np.float32))
-                order = np.argsort(column)
-                _add_sums(column[order], y[passage[order]] * w[order, None], z)
+                _project(passage, column, w, len(where), g, z)
         at = np.flatnonzero(z.any(axis=1))
         parts = [np.float64(energy).tobytes(), *(z[i].tobytes() for i in at)]
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at].astype(np.int32)), pa.array(parts, pa.binary())], ["row", "part"])
@@ -268,52 +283,66 @@ def required_terms(words: list[np.ndarray], share: np.ndarray, least: float) ->
 
 
 def _holding(texts: list[np.ndarray], required: tuple) -> dict[tuple[int, int], list[int]]:
-    """(text, first word) of each passage around which enough of an item's words are -> the items."""
-    column, levels, needs, reach = required
-    halo, out = int(reach.max()) + 2, {}
-    groups = [(int(h), np.flatnonzero(reach == h)) for h in np.unique(reach)]
+    """(text, first word) of each passage around which enough of an item's words are -> the items.
 
-    def look(grids: list[np.ndarray], spans: list[tuple[int, int, int, int, int, int]]) -> None:
-        grid = np.sort(np.concatenate(grids), axis=1)
+    Half passages are rows, with blank rows between texts, and items are columns in order of their reach. What a region holds is a difference of running sums
+    (modulo 2**16, which differences under it don't feel).
+    """
+    column, levels, needs, reach = required
+    order = np.argsort(reach, kind="stable")
+    needs, reach = needs[order], reach[order]
+    # Eight items are summed in one long, each in a byte: a half passage holds no more than HALF words of an item.
+    wide = -(-len(order) // 8) * 8
+    levels = [np.hstack([x[:, order], np.zeros((len(x), wide - len(order)), np.uint8)]).view(np.uint64) for x in levels]
+    halo, out = int(reach.max()), {}
+    blank = np.full((halo + 1, HALF), -1, np.int32)
+    cuts = [*np.flatnonzero(np.r_[True, reach[1:] != reach[:-1]]).tolist(), len(reach)]
+
+    def look(grids: list[np.ndarray], where: list[tuple[int, tuple[int, int, int]]]) -> None:
+        grid = np.sort(np.concatenate([blank, *grids, blank]), axis=1)
+        text, place = np.full(len(grid), -1), np.zeros(len(grid), np.int64)
+        for row, (t, first, n) in where:
+            text[row : row + n], place[row : row + n] = t, np.arange(first, first + n)
         new = grid >= 0
         new[:, 1:] &= grid[:, 1:] != grid[:, :-1]
         at = np.flatnonzero(new.ravel())
         half = at // HALF
         tf = np.minimum(np.r_[at[1:], grid.size], (half + 1) * HALF) - at
         col = column[grid.ravel()[at]]
-        held = np.zeros((len(grid) + 1, len(needs)), np.int32)
+        held = np.zeros((len(grid) + 1, wide), np.uint16)
         for level, wanted in enumerate(levels, 1):
             use = np.flatnonzero((col >= 0) & (tf >= level))
             if not len(use):
                 break
             rows = half[use]
             first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-            held[rows[first] + 1] += np.add.reduceat(wanted[col[use]], first, axis=0, dtype=np.uint8)
+            held[rows[first] + 1] += np.add.reduceat(wanted[col[use]], first, axis=0).view(np.uint8)
         np.cumsum(held, axis=0, out=held)
-        text, start, lo, end, place = (np.concatenate(x) for x in zip(*((np.full(b - a, t), np.full(b - a, s), np.arange(a, b), np.full(b - a, e), np.arange(a - s, b - s) + p) for t, s, a, b, e, p in spans), strict=True))
-        for h, items in groups:
-            upper, lower = np.minimum(lo + 2 + h, end), np.maximum(lo - h, start)
-            enough = held[:, items] if len(groups) > 1 else held
-            for i, q in zip(*np.nonzero(enough[upper] - enough[lower] >= needs[items]), strict=True):
-                out.setdefault((int(text[i]), int(place[i]) * HALF), []).append(int(items[q]))
-
-    grids, spans, n = [], [], 0
-    for row, words in enumerate(texts):
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            h = int(reach[lo])
+            region = held[2 + 2 * h :, lo:hi] - held[: -2 - 2 * h, lo:hi]
+            for x in np.flatnonzero(region >= needs[lo:hi].astype(np.uint16)).tolist():
+                row, q = divmod(x, hi - lo)
+                if (t := int(text[row + h])) >= 0:
+                    out.setdefault((t, int(place[row + h]) * HALF), []).append(int(order[lo + q]))
+
+    grids, where, n = [], [], halo + 1
+    for t, words in enumerate(texts):
         if not len(words):
             continue
         terms = _halves(terms_of(words))
         last = max(1, len(terms) - 1)
-        for a in range(0, last, CHUNK_PASSAGES):
-            b = min(a + CHUNK_PASSAGES, last)
-            lo, hi = max(0, a - halo), min(len(terms), b + halo)
-            grids.append(terms[lo:hi])
-            spans.append((row, n, n + a - lo, n + b - lo, n + hi - lo, lo))
-            n += hi - lo
-            if n >= 2 * CHUNK_PASSAGES:
-                look(grids, spans)
-                grids, spans, n = [], [], 0
-    if n:
-        look(grids, spans)
+        for a in range(0, last, 2 * CHUNK_PASSAGES):
+            b = min(a + 2 * CHUNK_PASSAGES, last)
+            lo, hi = max(0, a - halo), min(len(terms), b + halo + 1)
+            grids += [terms[lo:hi], blank]
+            where.append((n + a - lo, (t, a, b - a)))
+            n += hi - lo + len(blank)
+            if n >= 4 * CHUNK_PASSAGES:
+                look(grids, where)
+                grids, where, n = [], [], halo + 1
+    if where:
+        look(grids, where)
     return out
 
 
@@ -327,6 +356,7 @@ def _halves(terms: np.ndarray) -> np.ndarray:
 def _search(words: DataFrame, block: list[tuple], idf: np.ndarray, rarity: np.ndarray, options: dict) -> DataFrame:
     item_words = [word_hashes(t.encode()) for _, t in block]
     terms = np.unique(terms_of(np.concatenate(item_words)))
+    terms = terms[np.argsort(-rarity[terms], kind="stable")]
     vocabulary = np.full(1 << TERM_BITS, -1, np.int32)
     vocabulary[terms] = np.arange(len(terms))
     items = np.zeros((len(block), len(terms)), np.float32)
@@ -356,8 +386,7 @@ def _search(words: DataFrame, block: list[tuple], idf: np.ndarray, rarity: np.nd
                 left = np.flatnonzero(rich)
                 use &= rich[passage]
                 rows = np.searchsorted(left, passage[use])
-                y = _add_sums(rows, space[column[use]] * w[use][:, None], np.zeros((len(left), space.shape[1]), np.float32))
-                near = y @ queries.T
+                near = _project(rows, column[use], w[use], len(left), space) @ queries.T
                 p, q = np.nonzero(near >= low)
                 wanted = dict(zip(zip(left[p].tolist(), q.tolist(), strict=True), near[p, q].tolist(), strict=True))
                 if holding:
@@ -369,6 +398,8 @@ def _search(words: DataFrame, block: list[tuple], idf: np.ndarray, rarity: np.nd
                     row, at = where[i]
                     n = len(item_words[q])
                     region = texts[row][max(0, at - n) : at + PASSAGE + n].tolist()
+                    if sum(map(masks[q].__contains__, region)) < n * options["min_lcs_with_answer"] - 1e-9:
+                        continue
                     lcs = common_subsequence(masks[q], n, region) / n
                     if lcs < options["min_lcs_with_answer"]:
                         continue

@@ -177,3 +177,20 @@ def test_licenses_against_brute_force(spark, documents):
     for i, text, _ in rows:
         assert got.get(i, set()) == brute_licenses(text, license_scan.TEMPLATES, 0.8), (i, text)
     assert license_scan.scan(documents([])).count() == 0
+
+
+def test_the_latent_space_alone_finds_nine_in_ten(spark, documents):
+    rng = random.Random(31)
+    vocabulary = ["".join(rng.choice("abcdefghijklm") for _ in range(5)) for _ in range(3000)]
+    text = lambda n: [rng.choice(vocabulary[: rng.choice([10, 100, 3000])]) for _ in range(n)]
+    items = [(i, text(rng.randint(20, 55))) for i in range(150)]
+    rows = [(i, " ".join(text(rng.randint(20, 300))), "s") for i in range(200)]
+    for i, words in items:
+        own = [w if rng.random() < 0.75 or at >= len(words) - 8 else rng.choice(vocabulary) for at, w in enumerate(words)]
+        around = text(100)
+        rows.append((1000 + i, " ".join(around[:60] + own + around[60:]), "s"))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    found = lambda **o: {(r.doc_id, r.item_id) for r in decontamination.contaminated(documents(rows), bench, **o).collect()}
+    whole, latent = found(), found(guarantee=False)
+    assert latent <= whole and len(whole) > 120 and len(latent) >= 0.9 * len(whole)
+    assert len(found(guarantee=False, rank=4)) < len(latent)
