@@ -373,10 +373,13 @@ def _search(words: DataFrame, block: list[tuple], idf: np.ndarray, rarity: np.nd
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, idf, space, queries, ids, item_words, required = shared.value
         masks, answers = [bit_masks(w) for w in item_words], [bit_masks(w[-ANSWER:]) for w in item_words]
+        counts = [{w: m.bit_count() for w, m in mask.items()} for mask in masks]
+        needed = [len(w) * options["min_lcs_with_answer"] - 1e-9 for w in item_words]
         for batch in batches:
             texts, out = _words(batch), {}
             doc_ids, hashes = batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist()
             holding = _holding(texts, required) if required else {}
+            lists: dict[int, list[int]] = {}
             for sorted_terms, where in _chunks(iter(texts), HALF):
                 passage, term, tf = _entries(sorted_terms)
                 w, _ = _weights(passage, term, tf, idf, len(where))
@@ -389,20 +392,26 @@ def _search(words: DataFrame, block: list[tuple], idf: np.ndarray, rarity: np.nd
                 near = _project(rows, column[use], w[use], len(left), space) @ queries.T
                 p, q = np.nonzero(near >= low)
                 wanted = dict(zip(zip(left[p].tolist(), q.tolist(), strict=True), near[p, q].tolist(), strict=True))
+                place = np.full(len(where), -1)
+                place[left] = np.arange(len(left))
                 if holding:
                     for i, at in enumerate(where):
                         for q in holding.get(at, ()):
-                            k = np.searchsorted(left, i)
-                            wanted.setdefault((i, q), float(near[k, q]) if rich[i] else 0.0)
+                            wanted.setdefault((i, q), None)
                 for (i, q), cosine in wanted.items():
                     row, at = where[i]
                     n = len(item_words[q])
-                    region = texts[row][max(0, at - n) : at + PASSAGE + n].tolist()
-                    if sum(map(masks[q].__contains__, region)) < n * options["min_lcs_with_answer"] - 1e-9:
+                    if (region := lists.get(row)) is None:
+                        region = lists[row] = texts[row].tolist()
+                    region = region[max(0, at - n) : at + PASSAGE + n]
+                    # A subsequence holds no more than the item's words that are here at all.
+                    if sum(map(counts[q].__getitem__, counts[q].keys() & region)) < needed[q]:
                         continue
                     lcs = common_subsequence(masks[q], n, region) / n
                     if lcs < options["min_lcs_with_answer"]:
                         continue
+                    if cosine is None:
+                        cosine = float(near[place[i], q]) if place[i] >= 0 else 0.0
                     answer = common_subsequence(answers[q], min(n, ANSWER), region) == min(n, ANSWER)
                     if lcs >= options["min_lcs"] or answer:
                         key = (row, q)
