@@ -388,12 +388,12 @@ def _search(words: DataFrame, block: list[tuple], idf: np.ndarray, rarity: np.nd
                 rich = np.bincount(passage[use], w[use].astype(np.float64) ** 2, len(where)) >= low * low
                 left = np.flatnonzero(rich)
                 use &= rich[passage]
-                rows = np.searchsorted(left, passage[use])
+                place = np.full(len(where), -1)
+                place[left] = np.arange(len(left))
+                rows = place[passage[use]]
                 near = _project(rows, column[use], w[use], len(left), space) @ queries.T
                 p, q = np.nonzero(near >= low)
                 wanted = dict(zip(zip(left[p].tolist(), q.tolist(), strict=True), near[p, q].tolist(), strict=True))
-                place = np.full(len(where), -1)
-                place[left] = np.arange(len(left))
                 if holding:
                     for i, at in enumerate(where):
                         for q in holding.get(at, ()):

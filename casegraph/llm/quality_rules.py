@@ -11,7 +11,7 @@ are pre-aggregated on the map side, and only frequent lines are joined back.
 
 Defined results: null text has no words and fails the base rules; lines without a word are ignored; a null host is a
 host of its own; a repeated row counts as a document of its own; an empty table gives an empty result. Columns other
-than doc_id, text and the host column are ignored.
+than doc_id, text and the host column are ignored by ``line_rules`` and kept by ``remove_frequent_lines``, which returns the texts.
 """
 
 from __future__ import annotations
@@ -38,11 +38,13 @@ def normal_line(line: Column) -> Column:
     return F.trim(F.regexp_replace(line, f"{SPACE}+", " "))
 
 
-def describe(docs: DataFrame, host: str) -> DataFrame:
-    """A narrow row per document: the base counts, and its distinct normalised lines as (hash, words in all such lines)."""
+def describe(docs: DataFrame, host: str, *, hashed: bool = False) -> DataFrame:
+    """A narrow row per document: the base counts, and its normalised lines as (hash, words); with ``hashed`` a hash of its text."""
     text = F.coalesce("text", F.lit(""))
+    key = ["__hash"] if hashed else []
+    docs = docs.withColumn("__hash", F.xxhash64(text)) if hashed else docs
     base = docs.select(
-        "doc_id",
+        "doc_id", *key,
         F.col(host).alias("__host"),
         words_of(text).alias("__words"),
         F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD)).alias("__lines"),
@@ -54,7 +56,7 @@ def describe(docs: DataFrame, host: str) -> DataFrame:
         lambda w, i: F.xxhash64(w, F.get(F.col("__words"), i + 1), F.get(F.col("__words"), i + 2)),
     )
     base = base.select(
-        "doc_id", "__host", "word_chars", "n_symbols",
+        "doc_id", *key, "__host", "word_chars", "n_symbols",
         F.size("__words").cast("long").alias("n_words"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
         F.when(F.size("__words") >= 3, F.slice(windows, F.lit(1), F.size("__words") - 2)).otherwise(F.array().cast("array<bigint>")).alias("__windows"),
@@ -70,25 +72,30 @@ def describe(docs: DataFrame, host: str) -> DataFrame:
     )
     covered = F.array_distinct(F.flatten(F.transform(found, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2))))
     return base.select(
-        "doc_id", "__host", "n_words", "word_chars", "n_symbols", "n_dup_lines",
+        "doc_id", *key, "__host", "n_words", "word_chars", "n_symbols", "n_dup_lines",
         F.coalesce(F.when(F.col("__sorted").isNotNull(), F.size(covered)), F.lit(0)).cast("long").alias("n_repeat_words"),
         "__lines",
     )
 
 
-def line_rules(
-    docs: DataFrame, *, host: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT
-) -> DataFrame:
-    """One row per document: the counts, base_failed, n_removed_words (words in frequent lines) and kept."""
-    told = stash(describe(docs, host).withColumn("__row", F.monotonically_increasing_id()), "line-rules")
-    lines = told.select("__row", "__host", F.explode("__lines").alias("x")).select("__row", "__host", F.col("x.h").alias("h"), F.col("x.w").alias("w"))
+def frequent_lines(told: DataFrame, min_docs: int, max_share: float) -> DataFrame:
+    """(fh, fl): host and hash of the lines above the limits, of documents as :func:`describe` tells them."""
     once = told.select("__host", F.explode(F.array_distinct(F.transform("__lines", lambda x: x["h"]))).alias("h"))
     hosts = told.groupBy("__host").agg(F.greatest(F.lit(float(min_docs)), F.count(F.lit(1)) * F.lit(max_share)).alias("limit"))
     counts = once.groupBy("__host", "h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > min_docs)
-    frequent = (
+    return (
         counts.alias("c").join(hosts.alias("g"), F.col("c.__host").eqNullSafe(F.col("g.__host")))
         .filter(F.col("n") > F.col("limit")).select(F.col("c.__host").alias("fh"), F.col("h").alias("fl"))
     )
+
+
+def line_rules(
+    docs: DataFrame, *, host: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT
+) -> DataFrame:
+    """One row per document: the counts, base_failed, n_removed_words (words in frequent lines) and kept."""
+    told = stash(describe(docs, host).withColumn("__row", F.monotonically_increasing_id()), "line-rules")
+    lines = told.select("__row", "__host", F.explode("__lines").alias("x")).select("__row", "__host", F.col("x.h").alias("h"), F.col("x.w").alias("w"))
+    frequent = frequent_lines(told, min_docs, max_share)
     removed = (
         lines.join(frequent, F.col("__host").eqNullSafe(F.col("fh")) & (F.col("h") == F.col("fl")))
         .groupBy("__row").agg(F.sum("w").alias("n_removed_words"))
@@ -103,6 +110,30 @@ def line_rules(
     )
 
 
+def remove_frequent_lines(
+    docs: DataFrame, *, host: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT
+) -> DataFrame:
+    """``docs`` without the frequent lines of their texts, and without the documents that ``line_rules`` rejects; all columns kept.
+
+    A row is told by (doc_id, host, text). Lines without a word stay where they are.
+    """
+    told = stash(describe(docs.select("doc_id", host, "text"), host, hashed=True), "line-rules-texts")
+    rejected = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
+    frequent = frequent_lines(told, min_docs, max_share)
+    lines = told.select("doc_id", "__host", "__hash", F.explode("__lines").alias("x")).join(frequent, F.col("__host").eqNullSafe(F.col("fh")) & (F.col("x.h") == F.col("fl")))
+    # Rows that repeat each other's key hold the same lines: the lengths of one of them are told by the distinct places.
+    gone = lines.groupBy("doc_id", "__host", "__hash").agg(F.collect_set("x.h").alias("__gone"))
+    base = told.select("doc_id", "__host", "__hash", "n_words", rejected.alias("__rejected"), "__lines").dropDuplicates(["doc_id", "__host", "__hash"])
+    k = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & F.col(f"{a}.__host").eqNullSafe(F.col(f"{b}.__host")) & (F.col(f"{a}.__hash") == F.col(f"{b}.__hash"))
+    cut = base.alias("b").join(gone.alias("g"), k("b", "g"), "left").select("b.doc_id", "b.__host", "b.__hash", "n_words", "__rejected", "__lines", F.coalesce("__gone", F.array().cast("array<bigint>")).alias("__gone"))
+    lost = F.aggregate("__lines", F.lit(0).cast("long"), lambda n, x: n + F.when(F.array_contains("__gone", x["h"]), x["w"]).otherwise(F.lit(0)))
+    kept = cut.filter(~F.col("__rejected") & (F.col("n_words") - lost >= F.col("n_words") * F.lit(min_left))).select("doc_id", "__host", "__hash", "__gone")
+    keyed = docs.withColumns({"__hash": F.xxhash64(F.coalesce("text", F.lit(""))), "__host": F.col(host)})
+    out = keyed.alias("d").join(kept.alias("t"), k("d", "t"))
+    text = F.array_join(F.filter(F.split(F.col("d.text"), "\n", -1), lambda x: ~(x.rlike(WORD) & F.array_contains(F.col("t.__gone"), F.xxhash64(normal_line(x))))), "\n")
+    return out.select(*(text.alias(c) if c == "text" else F.col(f"d.`{c}`") for c in docs.columns))
+
+
 def op5_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words"

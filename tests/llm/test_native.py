@@ -70,3 +70,19 @@ def test_lines_are_removed_and_depleted_documents_rejected(spark, documents):
     rows = [(i, f"{notice}\n{own(i)}", "h") for i in range(10)] + [(50, own(50), "h")]
     got = {r.doc_id: (r.kept, r.n_removed_words) for r in quality_rules.line_rules(documents(rows), min_docs=5).collect()}
     assert got[50] == (True, 0) and all(got[i] == (False, 400) for i in range(10))
+
+
+def test_frequent_lines_leave_the_texts(spark, documents):
+    spelled = lambda n: "".join(chr(97 + n // 26**k % 26) for k in range(4))  # noqa: E731  (digits would all be one)
+    body = lambda i: " ".join(spelled(100 * i + j) for j in range(60))
+    menu = "Home About  Contact"
+    rows = [(i, f"{menu}\n{body(i)}\n\nhome ABOUT contact", "a") for i in range(30)]
+    rows += [(100 + i, f"{menu}\n{body(100 + i)}", "b") for i in range(3)]
+    rows += [(200 + i, "\n".join([" ".join(spelled(90_000 + 30 * k + j) for j in range(30)) for k in range(3)]), "a") for i in range(25)]  # copies: nothing of them is left
+    rows += [(None, f"{menu}\n{body(7)}", None), (300, None, "a"), (301, "", "a"), rows[0]]
+    got = quality_rules.remove_frequent_lines(documents(rows), min_docs=20, max_share=0.01)
+    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "size"]
+    want = [(i, f"{body(i)}\n", "a") for i in [*range(30), 0]] + [(100 + i, f"{menu}\n{body(100 + i)}", "b") for i in range(3)] + [(None, f"{menu}\n{body(7)}", None)]
+    assert sorted(((r.doc_id, r.text, r.source) for r in got.collect()), key=repr) == sorted(want, key=repr)
+    assert {r.doc_id for r in quality_rules.line_rules(documents(rows), min_docs=20).filter("kept").collect()} == {w[0] for w in want}
+    assert quality_rules.remove_frequent_lines(documents([])).count() == 0
