@@ -194,3 +194,17 @@ def test_the_latent_space_alone_finds_nine_in_ten(spark, documents):
     whole, latent = found(), found(guarantee=False)
     assert latent <= whole and len(whole) > 120 and len(latent) >= 0.9 * len(whole)
     assert len(found(guarantee=False, rank=4)) < len(latent)
+
+
+def test_words_hash_alike_in_any_company():
+    rng = random.Random(29)
+    word = lambda: bytes(rng.choice(b"abcdexyz_\xc3\xa9") for _ in range(rng.choice([1, 3, 7, 8, 9, 16, 17, 63, 64, 65, 300])))
+    texts = [b"", b" ", b"a", b"\ta\n\x0bb ", *(b" ".join(word() for _ in range(rng.randint(0, 40))) + rng.choice([b"", b"  "]) for _ in range(60))]
+    hashes, together = {}, decontamination._hash_words(texts)
+    for text, got in zip(texts, together, strict=True):
+        assert decontamination._hash_words([text])[0].tolist() == got.tolist()
+        for w, h in zip(text.split(), got.tolist(), strict=True):
+            assert hashes.setdefault(w, h) == h
+    assert len(set(hashes.values())) == len(hashes)
+    assert decontamination.word_hashes(None).size == 0
+    assert decontamination.word_hashes(b"Don't STOP.").tolist() == decontamination.word_hashes(b"dont stop").tolist()
