@@ -47,6 +47,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(docs: DataFrame) -> DataFrame:
+    """A scan of fewer partitions than the cluster has cores, dealt out before costly work on each row; a larger one as it is."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def words_of(text: Column | str) -> Column:
     """The words of a text as an array; none for null."""
     return F.coalesce(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)), F.array().cast("array<string>"))

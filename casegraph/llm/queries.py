@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from casegraph.llm import decontamination, html_text, importance, license_scan, mixing, quality_rules, simhash, substring_dedup, suffix_array, toxicity
+from casegraph.llm import decontamination, html_text, importance, license_scan, mixing, quality_rules, secrets, simhash, substring_dedup, suffix_array, toxicity
 
 QUERIES = {
     "op9_html_text": html_text.op9_html_text,
@@ -15,10 +15,12 @@ QUERIES = {
     "op6_license_scan": license_scan.op6_license_scan,
     "op7_simhash": simhash.op7_simhash,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op11_secrets": secrets.op11_secrets,
 }
 ORACLES = {
     "op2_substring_dedup": substring_dedup.OP2_SQL,
     "op4_suffix_array": suffix_array.OP4_SQL,
     "op3_mixing": mixing.OP3_SQL,
     "op5_line_rules": quality_rules.OP5_SQL,
+    "op11_secrets": secrets.OP11_SQL,
 }
