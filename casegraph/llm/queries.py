@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from casegraph.llm import decontamination, html_text, importance, license_scan, mixing, quality_rules, secrets, simhash, substring_dedup, suffix_array, toxicity
+from casegraph.llm import decontamination, html_text, importance, license_scan, mixing, quality_rules, secrets, simhash, substring_dedup, suffix_array, token_alignment, toxicity
 
 QUERIES = {
     "op9_html_text": html_text.op9_html_text,
@@ -16,6 +16,7 @@ QUERIES = {
     "op7_simhash": simhash.op7_simhash,
     "op8_toxicity": toxicity.op8_toxicity,
     "op11_secrets": secrets.op11_secrets,
+    "op12_token_alignment": token_alignment.op12_token_alignment,
 }
 ORACLES = {
     "op2_substring_dedup": substring_dedup.OP2_SQL,
