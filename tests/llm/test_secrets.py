@@ -9,7 +9,7 @@ from casegraph.llm.automaton import compile_rules, run
 
 BITS = (
     "token|secret|PassWord|passwd|api_key|apikey|=|:| |\"|'|abc|0123456789abcdef|AKIA|ABCDEFGH12345678|deadbeef|eyJ|.|ghp_|" + "x" * 40
-    + "|-----BEGIN |RSA |PRIVATE KEY-----|\n|AIza|xoxb-|sk_live_|1234567890|é|漢|ſecret|toKen=abcdefg"
+    + "|-----BEGIN |RSA |PRIVATE KEY-----|\n|AIza|xoxb-|sk_live_|1234567890|é|漢|\u017fecret|to\u212aen=abcdefg"
 ).split("|")
 
 
@@ -31,17 +31,16 @@ def brute(t):
 
 def test_spans_are_those_of_each_rule_alone(spark, documents, tmp_path):
     rng = random.Random(5)
-    # Letters beyond ASCII are in no pattern, whatever their case.
-    rows = [(i, text(rng).replace("ſ", "s"), "s") for i in range(400)]
+    rows = [(i, text(rng), "s") for i in range(400)]
     rows += [(None, rows[0][1], None), rows[1], rows[1], (401, None, None), (402, "", "s"), (403, "ab" * 400_000 + " token=" + "q" * 300_000, "s"), (404, "token " * 50_000, "s")]
     documents(rows).write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted(map(tuple, secrets.op11_secrets(spark, str(tmp_path)).collect()), key=str)
     assert got == sorted(((i, *brute(t or "")) for i, t, _ in rows), key=str)
-    assert sum(x[1] for x in got) > 50 and sum(x[2] for x in got) > 10 and sum(x[3] for x in got) > 50
+    assert sum(x[1] for x in got) > 50 and sum(x[2] for x in got) > 5 and sum(x[3] for x in got) > 50
 
 
 def test_letters_beyond_ascii_are_not_folded(documents):
-    found = secrets.find(documents([(1, "ſecret=abcdefgh toKen=abcdefgh", "s")])).first()
+    found = secrets.find(documents([(1, "\u017fecret=abcdefgh to\u212aen=abcdefgh", "s")])).first()
     assert list(found.kinds) == []
 
 
