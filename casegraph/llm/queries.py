@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from casegraph.llm import decontamination, html_text, importance, license_scan, mixing, quality_rules, secrets, simhash, substring_dedup, suffix_array, token_alignment, toxicity
+from casegraph.llm import decontamination, html_text, importance, license_scan, mixing, phrases, quality_rules, secrets, simhash, substring_dedup, suffix_array, token_alignment, toxicity
 
 QUERIES = {
     "op9_html_text": html_text.op9_html_text,
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op11_secrets": secrets.op11_secrets,
     "op12_token_alignment": token_alignment.op12_token_alignment,
+    "op13_phrases": phrases.op13_phrases,
 }
 ORACLES = {
     "op2_substring_dedup": substring_dedup.OP2_SQL,
@@ -24,4 +25,5 @@ ORACLES = {
     "op3_mixing": mixing.OP3_SQL,
     "op5_line_rules": quality_rules.OP5_SQL,
     "op11_secrets": secrets.OP11_SQL,
+    "op13_phrases": phrases.OP13_SQL,
 }
