@@ -8,8 +8,8 @@ hash of seed and doc_id) and taking the k largest draws k documents without repl
 k is ``keep_share`` of the documents, by default the share of good rows among the labels. The k-th largest key is found exactly by counting
 16 bits of it at a time, so no document list reaches the driver; rows tied with the k-th are all kept.
 
-Defined results: null and empty texts have weight 0 and take part; without labels everything is kept; repeated rows share their key, hence
-their fate; an empty table gives an empty result; other columns are carried by ``resample``, ignored by ``weigh``.
+Defined results: null and empty texts have weight 0 and take part; without labels everything is kept; rows equal in id and text share
+their key, hence their fate, and rows of one id (or none) with different texts are drawn each by its own key; an empty table gives an empty result; other columns are carried by ``keep_good``, ignored by ``weigh``.
 """
 
 from __future__ import annotations
@@ -65,7 +65,7 @@ def model(texts: DataFrame) -> np.ndarray:
 
 
 def weigh(docs: DataFrame, good: DataFrame, *, seed: int = SEED) -> DataFrame:
-    """(doc_id, log_weight, key): key is log_weight with Gumbel noise as a long in the same order."""
+    """(doc_id, text_hash, log_weight, key): key is log_weight with Gumbel noise as a long in the same order."""
     target, raw = model(good) + 1.0, model(docs) + 1.0
     shared = docs.sparkSession.sparkContext.broadcast(np.log(target / target.sum()) - np.log(raw / raw.sum()))
 
@@ -78,9 +78,9 @@ def weigh(docs: DataFrame, good: DataFrame, *, seed: int = SEED) -> DataFrame:
             noisy = weight - np.log(-np.log((u + 0.5) / 2**53))
             bits = noisy.view(np.int64)
             key = np.where(bits < 0, bits ^ np.int64(0x7FFFFFFFFFFFFFFF), bits)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(weight), pa.array(key)], ["doc_id", "log_weight", "key"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(weight), pa.array(key)], ["doc_id", "text_hash", "log_weight", "key"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, log_weight double, key long")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, log_weight double, key long")
 
 
 def kth_largest(df: DataFrame, column: str, k: int) -> int | None:
@@ -105,21 +105,21 @@ def good_sample(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
 
 
 def resampled(docs: DataFrame, labels: DataFrame, *, keep_share: float | None = None, sample: int = SAMPLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, log_weight, kept) per row."""
+    """(doc_id, text_hash, log_weight, kept) per row."""
     weighed = stash(weigh(docs, good_sample(docs, labels, sample), seed=seed), "importance")
     if keep_share is None:
         keep_share = labels.agg(F.avg((F.col("quality") == 1).cast("double"))).first()[0]
     k = weighed.count() if keep_share is None else round(keep_share * weighed.count())
     cut = kth_largest(weighed, "key", k) if k else None
     kept = F.lit(k > 0) if cut is None else F.col("key") >= cut
-    return weighed.select("doc_id", "log_weight", kept.alias("kept"))
+    return weighed.select("doc_id", "text_hash", "log_weight", kept.alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that the resampling draws."""
-    kept = resampled(docs, labels, **options).filter("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"]), "left_semi")
+    """The rows of ``docs`` that the resampling draws. A row is told by (doc_id, text), as ids may repeat or be null."""
+    kept = resampled(docs, labels, **options).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["__id"]) & (F.xxhash64(docs["text"]) == kept["__hash"]), "left_semi")
 
 
 def op1_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_hash")

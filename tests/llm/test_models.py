@@ -94,3 +94,14 @@ def test_kth_largest(spark, k):
     values = [random.Random(k).randint(-(2**62), 2**62) for _ in range(99)] + [-5]
     df = spark.createDataFrame([(v,) for v in values], "v long")
     assert importance.kth_largest(df, "v", k) == sorted(values, reverse=True)[k - 1]
+
+
+def test_rows_without_an_id_are_drawn_each_by_its_own_key(corpus, documents):
+    docs, labels, _ = corpus
+    good, junk = docs.filter("doc_id = 2").first().text, " ".join(["ZZZQ!!"] * 200)
+    more = docs.unionByName(documents([(None, good, "a"), (None, junk, "b"), (700, good, "a"), (700, junk, "b"), (700, good, "c")]))
+    told = {(r.doc_id, r.text_hash): r.kept for r in importance.resampled(more, labels).collect()}
+    kept = [(r.doc_id, r.text) for r in importance.keep_good(more, labels).collect()]
+    for i in (None, 700):
+        assert (i, junk) not in kept and kept.count((i, good)) == (2 if i else 1)
+    assert len(kept) == sum(told[r.doc_id, r.text_hash] for r in importance.resampled(more, labels).collect())

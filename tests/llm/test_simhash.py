@@ -131,3 +131,62 @@ def test_long_texts_have_one_fingerprint(spark, documents):
     got = near_copies.keep_one(documents([(2, text, "s"), (1, text + " more", "s"), (3, "other words stand here alone", "s")])).collect()
     assert sorted(r.doc_id for r in got) == [1, 3]
     assert {r.component_id for r in simhash.groups(documents([(2, text, "s"), (1, text, "s")])).collect()} == {1}
+
+
+def nodes_of(spark, prints):
+    rows = [(i, p.tobytes(), near_copies.pieces(p).tolist()) for i, p in enumerate(prints)]
+    return spark.createDataFrame(rows, "node long, fp binary, pieces array<long>").repartition(3)
+
+
+def reached(links, n):
+    root = list(range(n))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in links:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    return [find(i) for i in range(n)]
+
+
+def flipped(p, bits):
+    p = p.copy()
+    for b in bits:
+        p[b // 64] ^= np.uint64(1 << (b % 64))
+    return p
+
+
+@pytest.mark.parametrize(("limit", "hot"), [(4096, 4096), (6, 4096), (4, 4096), (1, 4096), (4, 5)])
+def test_parts_of_a_bucket_meet_even_if_nothing_links_inside_one(spark, monkeypatch, limit, hot):
+    """Pairs 35 bits apart that share one piece only, and no link within any part."""
+    monkeypatch.setattr(near_copies, "HOT_ROWS", hot)
+    monkeypatch.setattr(near_copies, "HOT_GROUPS", 10**9)
+    rng, width = np.random.default_rng(3), near_copies.WIDTH
+    prints, shared = [], rng.integers(0, 1 << 62, 4, np.uint64) & np.array([(1 << width) - 1, 0, 0, 0], np.uint64)
+    for _ in range(6):
+        p = (rng.integers(0, 1 << 62, 4, np.uint64) & ~np.array([(1 << width) - 1, 0, 0, 0], np.uint64)) | shared
+        prints.append(p)
+    prints += [flipped(p, [s * width + 5 * k for s in range(1, 8) for k in range(5)]) for p in prints[:6]]
+    got = reached([tuple(r) for r in near_copies.links(nodes_of(spark, prints), bucket_limit=limit).collect()], 12)
+    assert got == [*range(6), *range(6)] == brute_groups(prints, near_copies.RADIUS)
+
+
+@pytest.mark.parametrize("limit", [3, 5])
+def test_groups_of_several_parts_are_joined_by_members_that_are_not_heads(spark, limit):
+    """Chains through one bucket: neighbours are near, their ends are far, so heads of parts don't meet."""
+    rng, width = np.random.default_rng(8), near_copies.WIDTH
+    far = [s * width + k for s in range(1, 8) for k in range(width)]
+    prints = []
+    for _ in range(2):
+        p = (rng.integers(0, 1 << 62, 4, np.uint64) >> np.uint64(width)) << np.uint64(width)
+        chain = [p]
+        for step in range(9):
+            chain.append(flipped(chain[-1], far[step::10][:19] if step % 2 else far[step::9][:20]))
+        prints += chain
+    order = np.random.default_rng(1).permutation(len(prints))
+    prints = [prints[i] for i in order]
+    got = reached([tuple(r) for r in near_copies.links(nodes_of(spark, prints), bucket_limit=limit).collect()], len(prints))
+    assert got == brute_groups(prints, near_copies.RADIUS)
