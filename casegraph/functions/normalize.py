@@ -143,7 +143,7 @@ def interaction(kind: Column | str) -> Column:
 def best_label(type_: Column | str, label: Column | str, seq: Column | str) -> Column:
     """X13, an aggregate: identifiers with the least punctuation, then the longest; names the longest; ties the earliest."""
     label = col(label)
-    noise = F.length(F.regexp_replace(label, "[A-Za-z0-9]", ""))
+    noise = F.length(F.regexp_replace(label, r"[\p{L}\p{N}]", ""))
     plain = F.when(col(type_).isin("phone", "account", "vehicle", "device"), noise).otherwise(F.lit(0))
     return F.min_by(label, F.struct(plain.alias("p"), (-F.length(label)).alias("l"), col(seq).alias("s")))
 

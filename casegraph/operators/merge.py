@@ -43,10 +43,6 @@ def clean_sources(sources: Column) -> Column:
     return F.when(~F.exists(sources, lambda s: s["doc_id"].isNull()), F.array_distinct(sources))
 
 
-#: Attributes that edge facts carry beyond their own columns. Kept apart by key, since the last value of each counts.
-ATTRS = ("call_type", "tower", "mode", "txn_id", "platform", "interaction", "url", "excerpt", "display_name", "role", "status", "court")
-
-
 def last(value: Column) -> Column:
     """An aggregate: the last non-null value by (seq, doc_id), of equals there the greatest, so that no order of arrival or partition matters."""
     return F.max(F.when(value.isNotNull(), F.struct(F.col("seq"), F.col("doc_id"), value.alias("v"))))["v"]
@@ -66,10 +62,9 @@ def merge_edges(facts: DataFrame) -> DataFrame:
 
 def edge_attrs(facts: DataFrame) -> DataFrame:
     """(case_id, nat_key, attrs) of the edges whose facts carry attributes: the last value of each."""
-    keyed = facts.filter("attrs is not null").withColumn("nat_key", natural_key(facts))
-    lasts = keyed.groupBy("case_id", "nat_key").agg(*(last(F.col("attrs")[k]).alias(k) for k in ATTRS))
-    pairs = F.array_compact(F.array(*(F.when(F.col(k).isNotNull(), F.struct(F.lit(k).alias("key"), F.col(k).alias("value"))) for k in ATTRS)))
-    return lasts.select("case_id", "nat_key", F.map_from_entries(pairs).alias("attrs"))
+    keyed = facts.filter("attrs is not null").select("case_id", natural_key(facts).alias("nat_key"), "doc_id", "seq", F.explode("attrs"))
+    lasts = keyed.groupBy("case_id", "nat_key", "key").agg(last(F.col("value")).alias("value")).filter("value is not null")
+    return lasts.groupBy("case_id", "nat_key").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("attrs"))
 
 
 def edge_sources(facts: DataFrame) -> DataFrame:
@@ -124,3 +119,93 @@ def ingest_summary(new_nodes: DataFrame, old_nodes: DataFrame, new_edges: DataFr
     n = new_nodes.join(old_nodes, ["case_id", "id"], "left_anti").groupBy("case_id").agg(F.count(F.lit(1)).alias("nodes_new"))
     e = new_edges.join(old_edges, ["case_id", "nat_key"], "left_anti").groupBy("case_id").agg(F.count(F.lit(1)).alias("edges_new"))
     return n.join(e, "case_id", "full").na.fill(0)
+
+
+#: What orders the rows that name a node or an edge: arrival, document, place in the row.
+ORDER = ("seq", "doc_id", "place")
+
+
+def _spots(found: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, spots, spot_count): the first distinct places of each document and how many there are. ``keys`` end with doc_id."""
+    once = found.groupBy(*keys, "start", "end").agg(F.min("seq").alias("seq"))
+    first = once.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("seq", "start", "end"))).filter(F.col("k") <= PER_DOCUMENT)
+    first = first.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("seq", "start", "end"))).alias("spots"))
+    return once.groupBy(*keys).agg(F.count(F.lit(1)).alias("spot_count")).join(first, keys)
+
+
+def _attr_parts(found: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, attrs): the last value of each key in each document, with what orders it."""
+    each = found.filter("attrs is not null").select(*keys, "seq", "place", F.explode("attrs")).filter("value is not null and value <> ''")
+    lasts = each.groupBy(*keys, "key").agg(F.max(F.struct("seq", "place", "value")).alias("v"))
+    return lasts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("key", "v.seq", "v.place", "v.value"))).alias("attrs"))
+
+
+def node_parts(sightings: DataFrame) -> DataFrame:
+    """Sightings (case_id, src, label, attrs, first_seen, last_seen, prose, doc_id, seq, place, start, end) -> what each document says of each node: a form that documents can be added to or taken from."""
+    keys = ["case_id", "id", "doc_id"]
+    s = sightings.withColumnRenamed("src", "id")
+    noise = F.when(N.type_of("id").isin("phone", "account", "vehicle", "device"), F.length(F.regexp_replace("label", r"[\p{L}\p{N}]", ""))).otherwise(F.lit(0))
+    spelled = s.groupBy(*keys, "label").agg(
+        F.min(F.struct("seq", "place")).alias("at"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.count_if("prose").alias("mentions")
+    )
+    best = F.min(F.struct(noise.alias("noise"), (-F.length("label")).alias("short"), F.col("at.seq").alias("seq"), "doc_id", F.col("at.place").alias("place"), "label"))
+    parts = spelled.groupBy(*keys).agg(
+        best.alias("best"), F.array_sort(F.collect_list("label")).alias("spellings"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("mentions").alias("mentions")
+    )
+    return parts.join(_spots(s, keys), keys).join(_attr_parts(s, keys), keys, "left")
+
+
+def edge_parts(facts: DataFrame) -> DataFrame:
+    """The same for edges: what each document says of each edge."""
+    keys = ["case_id", "nat_key", "doc_id"]
+    f = facts.withColumn("nat_key", natural_key(facts))
+    at = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct(F.col("seq"), F.col("place"), F.col(c).alias("v")))).alias(c)
+    parts = f.groupBy(*keys).agg(
+        *(F.first(c).alias(c) for c in ("src", "dst", "type", "ts")), F.max("weight").alias("weight"), F.max("confidence").alias("confidence"),
+        *(at(c) for c in LASTS), F.array_sort(F.collect_set("basis")).alias("bases"), F.count(F.lit(1)).alias("facts"),
+    )
+    return parts.join(_spots(f, keys), keys).join(_attr_parts(f, keys), keys, "left")
+
+
+#: Fields of an edge of which the last value counts.
+LASTS = ("amount", "duration_sec", "basis", "offence", "disposition")
+
+
+def _sources(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, sources): the first so many places over all documents."""
+    each = parts.select(*keys, "doc_id", F.explode("spots").alias("s"))
+    first = each.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("s.seq", "doc_id", "s.start", "s.end"))).filter(F.col("k") <= IN_TOTAL)
+    lists = first.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("k", F.struct("doc_id", "s.start", "s.end").alias("s")))).alias("l"))
+    return lists.select(*keys, F.transform("l", lambda x: x["s"]).alias("sources"))
+
+
+def _attrs(parts: DataFrame, keys: list[str]) -> DataFrame:
+    each = parts.select(*keys, "doc_id", F.explode("attrs").alias("a"))
+    lasts = each.groupBy(*keys, F.col("a.key").alias("key")).agg(F.max(F.struct("a.seq", "doc_id", "a.place", "a.value"))["value"].alias("value"))
+    return lasts.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("attrs"))
+
+
+def nodes_of_parts(parts: DataFrame) -> DataFrame:
+    """One node an id: best label, all spellings, the last value of each attribute, widest window, mentions in prose, bounded sources."""
+    keys = ["case_id", "id"]
+    spelled = parts.select(*keys, F.explode("spellings").alias("x")).distinct().groupBy(*keys).agg(F.array_sort(F.collect_list("x")).alias("aliases"))
+    nodes = parts.groupBy(*keys).agg(
+        F.min("best")["label"].alias("label"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
+        F.sum("mentions").alias("prose_mentions"), F.count_if(F.col("mentions") > 0).alias("prose_documents"), F.sum("spot_count").alias("source_count"),
+    )
+    out = nodes.join(spelled, keys).join(_sources(parts, keys), keys).join(_attrs(parts, keys), keys, "left")
+    # A document names itself, which is no spelling of it.
+    aliases = F.when(N.type_of("id") == "document", F.array().cast("array<string>")).otherwise(F.col("aliases"))
+    return out.select(*keys, N.type_of("id").alias("type"), "label", aliases.alias("aliases"), "attrs", "first_seen", "last_seen", "prose_mentions", "prose_documents", "sources", "source_count")
+
+
+def edges_of_parts(parts: DataFrame) -> DataFrame:
+    """One edge a natural key."""
+    keys = ["case_id", "nat_key"]
+    last_of = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct(F.col(f"{c}.seq"), F.col("doc_id"), F.col(f"{c}.place"), F.col(f"{c}.v"))))["v"].alias(c)
+    edges = parts.groupBy(*keys).agg(
+        *(F.first(c).alias(c) for c in ("src", "dst", "type", "ts")), F.max("weight").alias("weight"), F.max("confidence").alias("confidence"),
+        *(last_of(c) for c in LASTS), F.array_sort(F.array_distinct(F.flatten(F.collect_set("bases")))).alias("bases"), F.sum("facts").alias("facts"), F.sum("spot_count").alias("source_count"),
+    )
+    out = edges.withColumn("id", edge_id(F.col("nat_key")))
+    return out.join(_sources(parts, keys), keys).join(_attrs(parts, keys), keys, "left")

@@ -25,4 +25,13 @@ def kept(df: DataFrame, label: str = "table") -> DataFrame:
     """``df`` written and read again: cuts the lineage, and survives the loss of executors."""
     path = fresh(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.kept_path = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete the files of a kept table that nothing reads any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.kept_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
