@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from casegraph.operators.ranks import kth_smallest, numbered
+from casegraph.sources.shared import kept
+
 CONTACTS = ("CALLED", "MESSAGED")
 TEMPORAL = ("CALLED", "MESSAGED", "TRANSFERRED_TO", "LOCATED_AT")
 COLUMNS = ("case_id", "kind", "node_ids", "ts", "score", "n")
@@ -50,7 +53,11 @@ def one_way_accounts(edges: DataFrame) -> DataFrame:
 def large_transfers(edges: DataFrame) -> DataFrame:
     """A4: amounts of 5 medians, and of the median and two deviations, or more; in cases with five amounts or more."""
     sums = edges.filter("type = 'TRANSFERRED_TO' and amount is not null")
-    stats = sums.groupBy("case_id").agg(F.percentile("amount", 0.5).alias("median"), F.stddev_pop("amount").alias("sd"), F.count(F.lit(1)).alias("amounts")).filter("amounts >= 5")
+    stats = kept(sums.groupBy("case_id").agg(F.stddev_pop("amount").alias("sd"), F.count(F.lit(1)).alias("amounts")).filter("amounts >= 5"), "amounts")
+    # The median of an even number is the mean of the two in the middle.
+    middle = stats.select("case_id", F.explode(F.array(F.floor((F.col("amounts") - 1) / 2), F.floor(F.col("amounts") / 2))).alias("k"))
+    medians = kth_smallest(sums.join(stats, "case_id", "left_semi"), middle, ["case_id"], "amount").groupBy("case_id").agg(F.avg("amount").alias("median"))
+    stats = stats.join(medians, "case_id")
     limit = F.greatest(F.col("median") * 5, F.col("median") + 2 * F.coalesce(F.nullif("sd", F.lit(0.0)), F.lit(1.0)))
     found = sums.join(stats, "case_id").filter(F.col("amount") >= limit)
     return _told(found, "large_transfer", F.array("src", "dst"), F.col("ts"), F.round(F.col("amount") / F.greatest("median", F.lit(1.0)), 2), F.col("amounts"))
@@ -73,5 +80,4 @@ def anomalies(edges: DataFrame, *, bucket_hours: int = 1) -> DataFrame:
 
 def ranked(found: DataFrame) -> DataFrame:
     """By score, then kind; the rank is by case."""
-    order = Window.partitionBy("case_id").orderBy(F.col("score").desc(), "kind", F.array_join("node_ids", ","), "ts")
-    return found.withColumn("rank", F.row_number().over(order))
+    return numbered(found, ["case_id"], [F.col("score").desc(), F.col("kind").asc(), F.array_join("node_ids", ",").asc(), F.col("ts").asc()])

@@ -47,13 +47,27 @@ def append(new: DataFrame, tails: DataFrame) -> DataFrame:
 
 
 def verify(chain: DataFrame) -> DataFrame:
-    """L2: (case_id, entries, ok, broken_at, reason): the first gap, broken link or altered entry. Every entry is checked on its own."""
-    order = Window.partitionBy("case_id").orderBy("seq")
-    told = chain.withColumn("before", F.coalesce(F.lag("hash").over(order), F.lit(GENESIS))).withColumn("place", F.row_number().over(order))
-    reason = F.when(F.col("seq") != F.col("place"), "sequence gap").when(F.col("prev_hash") != F.col("before"), "broken link").when(F.col("hash") != entry_hash(F.col("prev_hash")), "altered content")
-    told = told.withColumn("reason", reason)
-    first = F.min(F.when(F.col("reason").isNotNull(), F.struct("place", "reason")))
-    return told.groupBy("case_id").agg(F.count(F.lit(1)).alias("entries"), first.alias("x")).select("case_id", "entries", F.col("x").isNull().alias("ok"), F.col("x.place").alias("broken_at"), F.col("x.reason").alias("reason"))
+    """L2: (case_id, entries, ok, broken_at, reason): the first gap, broken link or altered entry, by place in the chain.
+
+    Entries are hashed where they are read; then each meets the one before it by (case, seq), so a case's entries are spread over all tasks. As places count from 1, the first gap shows as an entry
+    without a successor (but for the last), a number twice, or a first number that is not 1; until then place and number are one.
+    """
+    told = chain.select("case_id", "seq", "hash", "prev_hash", (F.col("hash") == entry_hash(F.col("prev_hash"))).alias("good"))
+    one = told.groupBy("case_id", "seq").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("good", "prev_hash", "hash")).alias("e"))
+    after = one.select("case_id", (F.col("seq") + 1).alias("seq"), F.col("e.hash").alias("before"))
+    met = one.join(after, ["case_id", "seq"], "full")
+    here, at = F.col("times").isNotNull(), F.col("seq")
+    known = F.coalesce("before", F.when(at == 1, F.lit(GENESIS)))
+    broken = F.when(here & (F.col("e.prev_hash") != known), F.struct(at.alias("place"), F.lit(1).alias("kind"))).when(here & ~F.coalesce(F.col("e.good"), F.lit(False)), F.struct(at.alias("place"), F.lit(2).alias("kind")))
+    by_case = met.groupBy("case_id").agg(
+        F.sum("times").alias("entries"), F.min(broken).alias("broken"), F.min(F.when(F.col("times") > 1, at + 1)).alias("twice"),
+        F.min(F.when(~here, at)).alias("missing"), F.min(F.when(here, at)).alias("first"), F.max(F.when(here, at)).alias("last"),
+    )
+    gap = F.least(F.when(F.col("first") != 1, F.lit(1).cast("long")), F.col("twice"), F.when(F.col("missing") <= F.col("last"), F.col("missing")))
+    worst = F.least(F.when(gap.isNotNull(), F.struct(gap.alias("place"), F.lit(0).alias("kind"))), F.col("broken"))
+    reason = F.element_at(F.array(*map(F.lit, ("sequence gap", "broken link", "altered content"))), F.col("x.kind") + 1)
+    out = by_case.select("case_id", "entries", worst.alias("x"))
+    return out.select("case_id", "entries", F.col("x").isNull().alias("ok"), F.col("x.place").cast("int").alias("broken_at"), F.when(F.col("x").isNotNull(), reason).alias("reason"))
 
 
 def latest(log: DataFrame, n: int, *, key: str = "case_id", order: str = "seq") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from casegraph.functions.normalize import plural
 from casegraph.operators.findings import REPORT_KINDS
 from casegraph.operators.graph import both_ways
+from casegraph.operators.ranks import numbered
 
 
 def nodes_of_type(nodes: DataFrame, type_: str | None = None) -> DataFrame:
@@ -77,8 +78,7 @@ def people_first(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Q11: nodes by degree, people and organisations before the rest."""
     degree = edges.select("case_id", F.explode(F.array("src", "dst")).alias("id")).groupBy("case_id", "id").agg(F.count(F.lit(1)).alias("degree"))
     out = nodes.join(degree, ["case_id", "id"], "left").na.fill(0, ["degree"]).withColumn("who", F.col("type").isin("person", "organization"))
-    order = Window.partitionBy("case_id").orderBy(F.col("who").desc(), F.col("degree").desc(), "id")
-    return out.withColumn("rank", F.row_number().over(order))
+    return numbered(out, ["case_id"], [F.col("who").desc(), F.col("degree").desc(), F.col("id").asc()])
 
 
 def opening(nodes: DataFrame, pairs_: DataFrame, *, size: int = 26, people: float = 0.55) -> DataFrame:

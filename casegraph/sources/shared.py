@@ -35,3 +35,23 @@ def dropped(df: DataFrame) -> None:
     spark = df.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(df.kept_path)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def bucketed(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` written in as many sorted buckets of ``keys`` as a shuffle has partitions: joins on them shuffle the other side only. Its files lie in the shared folder."""
+    spark, name = df.sparkSession, f"bucketed_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys).option("path", fresh(spark, name)).format("parquet")
+    writer.saveAsTable(name)
+    out = spark.table(name)
+    out.bucketed_name = name
+    return out
+
+
+def unbucketed(df: DataFrame) -> None:
+    """Forget such a table and delete its files."""
+    spark = df.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0]).getParent() if df.inputFiles() else None
+    spark.sql(f"DROP TABLE IF EXISTS {df.bucketed_name}")
+    if where is not None:
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

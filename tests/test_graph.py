@@ -49,13 +49,13 @@ def brute_betweenness(edges):
 def test_betweenness_of_several_cases_at_once(spark, limit):
     graphs = {"path": PATH, "star": STAR, "barbell": BARBELL, "triangle": TRIANGLE}
     rows = reduce(DataFrame.union, [graph_of(spark, edges, case) for case, edges in graphs.items()])
-    got = {(r.case_id, r.node): r.betweenness for r in iterative.betweenness(rows, broadcast_pairs=limit).collect()}
+    got = {(r.case_id, r.node): r.betweenness for r in iterative.betweenness(rows, case_pairs=limit).collect()}
     assert got == pytest.approx({(case, n): v for case, edges in graphs.items() for n, v in brute_betweenness(edges).items()})
 
 
 def test_unfinished_distances_are_an_error(spark):
     with pytest.raises(RuntimeError):
-        iterative.betweenness(graph_of(spark, PATH), max_rounds=2, broadcast_pairs=0)
+        iterative.betweenness(graph_of(spark, PATH), max_rounds=2, case_pairs=0)
 
 
 def test_sampled_betweenness_is_flagged(spark):
@@ -100,19 +100,78 @@ def modularity(edges, of):
     return inside / total - sum((s / (2 * total)) ** 2 for s in strength.values())
 
 
-def test_communities_reach_the_planted_modularity(spark):
+@pytest.mark.parametrize("limit", [10**6, 0])
+def test_communities_reach_the_planted_modularity(spark, limit):
     rng = random.Random(9)
     edges = [(f"{min(i, j):03d}", f"{max(i, j):03d}", 1) for i in range(120) for j in range(i) if rng.random() < (0.4 if i % 6 == j % 6 else 0.01)]
-    got = {r.node: r.community for r in iterative.communities(graph_of(spark, edges)).collect()}
+    got = {r.node: r.community for r in iterative.communities(graph_of(spark, edges), case_pairs=limit).collect()}
     planted = {n: int(n) % 6 for n in got}
     assert modularity(edges, got) > 0.97 * modularity(edges, planted) > 0.6
 
 
-def test_communities_find_cliques(spark):
-    got = {r.node: r.community for r in iterative.communities(graph_of(spark, BARBELL)).collect()}
+@pytest.mark.parametrize("limit", [10**6, 0])
+def test_communities_find_cliques(spark, limit):
+    got = {r.node: r.community for r in iterative.communities(graph_of(spark, BARBELL), case_pairs=limit).collect()}
     assert len(got) == 8 and len({got[x] for x in ("a1", "a2", "a3", "a4")}) == 1 and len({got[x] for x in ("b1", "b2", "b3", "b4")}) == 1 and got["a1"] != got["b1"]
 
 
+def plain_louvain(edges):
+    """Nodes in turn move to the community that raises modularity most, computed anew each time; then communities become nodes."""
+    of = {n: n for e in edges for n in e[:2]}
+    while True:
+        level = {}
+        for a, b, w in edges:
+            key = tuple(sorted((of[a], of[b])))
+            level[key] = level.get(key, 0) + w
+        level, names = [(a, b, w) for (a, b), w in level.items()], sorted(set(of.values()))
+        at, moved, going = {n: n for n in names}, False, True
+        while going:
+            going = False
+            for n in names:
+                near = {at[b if a == n else a] for a, b, _ in level if n in (a, b)} | {at[n]}
+                best = max(sorted(near), key=lambda c: (round(modularity(level, {**at, n: c}), 12), c == at[n]))
+                if best != at[n]:
+                    at[n], moved, going = best, True, True
+        if not moved:
+            return of
+        of = {n: at[c] for n, c in of.items()}
+
+
+@pytest.mark.parametrize("limit", [10**6, 0])
+@pytest.mark.parametrize("kind", ["groups", "weights", "tree"])
+def test_communities_are_as_good_as_plain_louvain(spark, kind, limit):
+    rng = random.Random(kind)
+    if kind == "groups":
+        edges = [(f"{j:02d}", f"{i:02d}", 1) for i in range(40) for j in range(i) if rng.random() < (0.5 if i % 4 == j % 4 else 0.03)]
+    elif kind == "weights":
+        edges = [(f"{j:02d}", f"{i:02d}", rng.randint(1, 9)) for i in range(30) for j in range(i) if rng.random() < 0.15]
+    else:
+        edges = [(f"{i // 2:02d}", f"{i:02d}", 1) for i in range(2, 50)]
+    got = {r.node: r.community for r in iterative.communities(graph_of(spark, edges), case_pairs=limit).collect()}
+    assert modularity(edges, got) >= 0.99 * modularity(edges, plain_louvain(edges)) > 0.2
+
+
+def test_a_huge_case_beside_many_small_ones(spark):
+    """Only the case over the limit leaves the fast path; all have the same results as alone."""
+    many = graph_of(spark, BARBELL).drop("case_id").crossJoin(spark.range(300).select(F.concat(F.lit("s"), "id").alias("case_id")))
+    rng = random.Random(5)
+    big = graph_of(spark, sorted({(f"n{int(i * rng.random()):02d}", f"n{i:02d}", 1) for i in range(1, 40) for _ in range(2)}), "big")
+    both = many.select(*big.columns).union(big)
+    assert big.count() > 20
+    got = {(r.case_id, r.node): r.betweenness for r in iterative.betweenness(both, case_pairs=20).collect()}
+    want = {(r.case_id, r.node): r.betweenness for r in iterative.betweenness(both).collect()}
+    assert got == pytest.approx(want) and len(got) == 300 * 8 + len({n for c, n in got if c == "big"})
+    named = iterative.communities(both, case_pairs=20).filter("case_id <> 'big'").groupBy("case_id").agg(F.count_distinct("community").alias("n"))
+    assert {r.n for r in named.collect()} == {2} and named.count() == 300
+
+
+def test_long_chains_are_followed_pivot_by_pivot(spark):
+    """More steps than rounds: the exact betweenness of a path's i-th node of n is 2 i (n - 1 - i) / ((n - 1) (n - 2))."""
+    n = 150
+    got = {int(r.node): r.betweenness for r in iterative.betweenness(graph_of(spark, [(f"{i:03d}", f"{i + 1:03d}", 1) for i in range(n - 1)])).collect()}
+    assert got == pytest.approx({i: 2 * i * (n - 1 - i) / ((n - 1) * (n - 2)) for i in range(n)})
+
+
 def test_empty_graph(spark):
     none = graph_of(spark, PATH).filter("false")
     assert iterative.pagerank(none).count() == iterative.betweenness(none).count() == iterative.communities(none).count() == 0
