@@ -59,9 +59,10 @@ def single_contacts(pairs_: DataFrame, membership: DataFrame, *, most_links: int
     """communities that one or two pairs join."""
     ma, mb = membership.select("case_id", F.col("node").alias("a"), F.col("community").alias("ca")), membership.select("case_id", F.col("node").alias("b"), F.col("community").alias("cb"))
     across = pairs_.join(ma, ["case_id", "a"]).join(mb, ["case_id", "b"]).filter("ca <> cb")
-    joins = across.groupBy("case_id", F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(F.count(F.lit(1)).alias("links"), F.min(F.struct("a", "b")).alias("one"))
+    joins = across.groupBy("case_id", F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(F.count(F.lit(1)).alias("links"), F.min(F.struct("a", "b")).alias("one"), F.max(F.struct("a", "b")).alias("two"))
+    # Of two links the least and the largest are both; with more the pair is passed over.
     found = _top(joins.filter(F.col("links") <= most_links), limit, "links", "x", "y")
-    return _told(found, "single_point_of_contact", F.lit("medium"), F.format_string("Groups %s and %s meet in %d places", "x", "y", "links"), F.array("one.a", "one.b"))
+    return _told(found, "single_point_of_contact", F.lit("high"), F.format_string("Groups %s and %s meet in %d places", "x", "y", "links"), F.array_sort(F.array_distinct(F.array("one.a", "one.b", "two.a", "two.b"))))
 
 
 def repeat_offenders(facts: DataFrame, *, least_cases: int = 3, limit: int = 5) -> DataFrame:
@@ -95,6 +96,7 @@ def promoted(anomalies: DataFrame, *, limit: int = 12) -> DataFrame:
 def ranked(*parts: DataFrame) -> DataFrame:
     """all findings, the serious first, numbered f1, f2, ..."""
     severity = F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity"))
+    # Every part is limited by case, so a case's findings are few.
     order = Window.partitionBy("case_id").orderBy(severity, "kind", "headline", F.array_join("node_ids", ","), "ts")
     return reduce(DataFrame.union, parts).withColumn("rank", F.row_number().over(order)).withColumn("id", F.concat(F.lit("f"), "rank"))
 

@@ -47,11 +47,13 @@ def project(pairs_: DataFrame, owner: DataFrame) -> DataFrame:
     return out.withColumn("distance", 1 / F.greatest("weight", F.lit(1e-6)))
 
 
-def absorbed(owner: DataFrame) -> DataFrame:
-    """(case_id, node, absorbed, n): the identifiers folded into each owner, the first 60 by id, and how many they are."""
-    k = F.row_number().over(Window.partitionBy("case_id", "owner").orderBy("identifier"))
-    told = owner.withColumn("k", k).groupBy("case_id", F.col("owner").alias("node"))
-    return told.agg(F.array_sort(F.collect_list(F.when(F.col("k") <= 60, F.col("identifier")))).alias("absorbed"), F.count(F.lit(1)).alias("n"))
+def absorbed(owner: DataFrame, *, limit: int | None = None) -> DataFrame:
+    """(case_id, node, absorbed, n): the identifiers folded into each owner, all or the first ``limit`` by id, and how many they are. ``owner`` itself has them as rows."""
+    listed = owner
+    if limit is not None:
+        listed = owner.withColumn("k", F.row_number().over(Window.partitionBy("case_id", "owner").orderBy("identifier"))).filter(F.col("k") <= limit)
+    lists = listed.groupBy("case_id", F.col("owner").alias("node")).agg(F.array_sort(F.collect_list("identifier")).alias("absorbed"))
+    return lists.join(owner.groupBy("case_id", F.col("owner").alias("node")).agg(F.count(F.lit(1)).alias("n")), ["case_id", "node"])
 
 
 def both_ways(pairs_: DataFrame, *columns: str) -> DataFrame:

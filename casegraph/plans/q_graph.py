@@ -264,8 +264,8 @@ def f3_contacts(spark: SparkSession, d: str) -> DataFrame:
 
 
 F3_SQL = f"""WITH {ORDERS_SQL}, g AS (SELECT a, b, 'c' || (CAST(split_part(a, ':', 2) AS INT) % 400) AS ca, 'c' || (CAST(split_part(b, ':', 2) AS INT) % 400) AS cb FROM pairs WHERE b LIKE 'supplier:%'),
-j AS (SELECT least(ca, cb) AS x, greatest(ca, cb) AS y, count(*) AS links, min(struct_pack(a := a, b := b)) AS one FROM g WHERE ca <> cb GROUP BY 1, 2)
-SELECT 'single_point_of_contact' AS kind, 'Groups ' || x || ' and ' || y || ' meet in ' || links || ' places' AS headline, one.a || ',' || one.b AS nodes FROM j WHERE links <= 2 ORDER BY links, x, y LIMIT 2"""
+j AS (SELECT least(ca, cb) AS x, greatest(ca, cb) AS y, count(*) AS links, min(struct_pack(a := a, b := b)) AS one, max(struct_pack(a := a, b := b)) AS two FROM g WHERE ca <> cb GROUP BY 1, 2)
+SELECT 'single_point_of_contact' AS kind, 'Groups ' || x || ' and ' || y || ' meet in ' || links || ' places' AS headline, array_to_string(list_sort(list_distinct([one.a, one.b, two.a, two.b])), ',') AS nodes FROM j WHERE links <= 2 ORDER BY links, x, y LIMIT 2"""
 
 
 def f4_f5_priors(spark: SparkSession, d: str) -> DataFrame:
@@ -318,8 +318,7 @@ def g4_absorbed(spark: SparkSession, d: str) -> DataFrame:
     return out.select("case_id", "node", F.array_join("absorbed", ",").alias("absorbed"), "n")
 
 
-G4_ABSORBED_SQL = f"""{CALLS}, {OWNERS_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY case_id, owner ORDER BY identifier) AS k FROM owner)
-SELECT case_id, owner AS node, string_agg(identifier, ',' ORDER BY identifier) FILTER (k <= 60) AS absorbed, count(*) AS n FROM k GROUP BY 1, 2"""
+G4_ABSORBED_SQL = f"""{CALLS}, {OWNERS_SQL} SELECT case_id, owner AS node, string_agg(identifier, ',' ORDER BY identifier) AS absorbed, count(*) AS n FROM owner GROUP BY 1, 2"""
 
 
 def order_papers(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -352,13 +351,17 @@ Q9_DOCUMENTS_SQL = f"WITH {PAPERS_SQL} SELECT node AS id, doc_id, any_value(kind
 
 
 def g14_recompute(spark: SparkSession, d: str) -> DataFrame:
-    """Every result table of the call records, counted by case."""
+    """Every result of the call records, row by row: (case_id, graph_rev, result, item, value)."""
     e = kept(weighted(R.call_edges(spark, d)), "edges")
     named = e.filter("src like 'person:%'").select("case_id", F.col("src").alias("node"), F.concat(F.lit("doc:"), F.length("src") % 3).alias("doc_id")).distinct()
     documents = named.select("case_id", "doc_id").distinct().withColumn("kind", F.when(F.col("doc_id") == "doc:0", "fir").otherwise("cdr"))
     out = case.recompute(e, named, documents, e.groupBy("case_id").agg(F.count(F.lit(1)).alias("graph_rev")))
-    counted = [df.groupBy("case_id", "graph_rev").agg(F.lit(name).alias("result"), F.count(F.lit(1)).alias("n")) for name, df in out.items()]
-    return reduce(DataFrame.union, counted)
+    told = {
+        "metrics": ("node", F.format_string("%.6f %.6f %.3f %d", "betweenness", "rank", "weighted", "neighbours")), "communities": ("node", F.col("community")),
+        "anomalies": (F.concat_ws(" ", "kind", F.array_join("node_ids", ","), "ts"), F.format_string("%d %.3f", "rank", "score")), "findings": (F.col("id"), F.concat_ws(": ", "severity", "headline")),
+    }
+    rows = [out[name].select("case_id", "graph_rev", F.lit(name).alias("result"), (F.col(item) if isinstance(item, str) else item).alias("item"), value.alias("value")) for name, (item, value) in told.items()]
+    return reduce(DataFrame.union, rows)
 
 
 QUERIES = {

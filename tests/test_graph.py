@@ -63,16 +63,18 @@ def test_sampled_betweenness_is_flagged(spark):
     assert all(r.estimated for r in got) and len(got) == 8
 
 
-def test_pagerank_sums_to_one_by_case(spark):
+@pytest.mark.parametrize("limit", [10**6, 0])
+def test_pagerank_sums_to_one_by_case(spark, limit):
     both = graph_of(spark, BARBELL).union(graph_of(spark, STAR, "d"))
-    got = iterative.pagerank(both)
+    got = iterative.pagerank(both, case_pairs=limit)
     assert [round(r.s, 6) for r in got.groupBy("case_id").agg(F.sum("rank").alias("s")).collect()] == [1.0, 1.0]
     assert got.filter("case_id = 'd'").orderBy(F.desc("rank")).first().node == "hub"
 
 
-def test_a_case_that_does_not_settle_leaves_the_others_alone(spark):
+@pytest.mark.parametrize("limit", [10**6, 0])
+def test_a_case_that_does_not_settle_leaves_the_others_alone(spark, limit):
     alone = {r.node: r["rank"] for r in iterative.pagerank(graph_of(spark, BARBELL), iterations=30).collect()}
-    both = iterative.pagerank(graph_of(spark, BARBELL).union(graph_of(spark, STAR, "d")), iterations=30).collect()
+    both = iterative.pagerank(graph_of(spark, BARBELL).union(graph_of(spark, STAR, "d")), iterations=30, case_pairs=limit).collect()
     assert {r.node: r["rank"] for r in both if r.case_id == "c"} == pytest.approx(alone) and len(set(alone.values())) > 1
     assert {r["rank"] for r in both if r.case_id == "d"} == {1 / 6}
 
