@@ -100,13 +100,6 @@ def uncleared(turns: DataFrame, cleared: DataFrame) -> DataFrame:
     return turns.join(last, "case_id", "left").filter("cleared is null or seq > cleared").drop("cleared")
 
 
-def caveats(verified: DataFrame) -> DataFrame:
-    """Verified answers with what to warn of: unknown ids that were dropped, and nothing cited at all."""
-    dropped = F.when(F.size("unknown") > 0, F.concat(F.lit("dropped unknown ids: "), F.array_join("unknown", ", ")))
-    bare = F.when((F.size("valid") == 0) & (F.col("claim_type") != "guidance"), "cites nothing known")
-    return verified.withColumn("caveats", F.array_compact(F.array(dropped, bare)))
-
-
 def recall(memory: DataFrame, *, kind: str | None = None, status: str | None = None, text: str | None = None, limit: int = 50) -> DataFrame:
     """By kind, status and text, newest first."""
     if kind:
@@ -146,16 +139,48 @@ def fresh_findings(findings: DataFrame, briefed: DataFrame, *, limit: int = 8) -
     return new.withColumn("k", F.row_number().over(Window.partitionBy("case_id").orderBy("rank"))).filter(F.col("k") <= limit)
 
 
-def verify_citations(answers: DataFrame, known: DataFrame) -> DataFrame:
-    """Answers (answer_id, claim_type, confidence, cited array) against known (id): unknown ids are dropped and listed, and lower the confidence."""
-    cited = answers.select("answer_id", F.explode_outer(F.array_distinct("cited")).alias("id"))
-    found = cited.join(known.select("id", F.lit(True).alias("known")), "id", "left")
-    lists = found.groupBy("answer_id").agg(
-        F.array_sort(F.collect_list(F.when(F.col("known"), F.col("id")))).alias("valid"), F.array_sort(F.collect_list(F.when(F.col("known").isNull(), F.col("id")))).alias("unknown")
+#: The kind of claim that has to rest on the case; an answer that doesn't say is one.
+EVIDENCE = "evidence"
+
+
+def verify_citations(answers: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Answers (case_id, answer_id, claim_type, confidence, cited_nodes, cited_edges, highlight_path) against the nodes (case_id, id) and edges (case_id, id) of their cases.
+
+    Ids that are not there leave their list, in place, and are told as dropped_nodes and dropped_edges; a path only loses them. An answer is ok if nothing was dropped and a node is left: of evidence
+    only a node will do, other kinds of claim need none. One that is not ok has low confidence; caveats say why.
+    """
+    slots = {"cited_nodes": "node", "cited_edges": "edge", "highlight_path": "node"}
+    keys = ["case_id", "answer_id"]
+
+    def placed(slot: str, kind: str) -> Column:
+        ids = F.coalesce(slot, F.array().cast("array<string>"))
+        return F.transform(ids, lambda x, i: F.struct(F.lit(slot).alias("slot"), F.lit(kind).alias("kind"), i.alias("place"), x.alias("id")))
+
+    each = F.flatten(F.array(*(placed(slot, kind) for slot, kind in slots.items())))
+    cited = answers.select(*keys, F.explode(each).alias("x")).select(*keys, "x.*")
+    known = nodes.select("case_id", F.lit("node").alias("kind"), "id").union(edges.select("case_id", F.lit("edge").alias("kind"), "id")).distinct().withColumn("known", F.lit(True))
+    met = cited.join(known, ["case_id", "kind", "id"], "left")
+    listed = lambda slot, good: F.transform(
+        F.array_sort(F.collect_list(F.when((F.col("slot") == slot) & (F.col("known").isNotNull() if good else F.col("known").isNull()), F.struct("place", "id")))), lambda x: x["id"]
     )
-    out = answers.drop("cited").join(lists, "answer_id")
-    ok = (F.size("unknown") == 0) & ((F.size("valid") > 0) | (F.col("claim_type") == "guidance"))
-    return out.withColumn("ok", ok).withColumn("confidence", F.when(ok, F.col("confidence")).otherwise("low"))
+    lists = met.groupBy(*keys).agg(
+        listed("cited_nodes", True).alias("cited_nodes"), listed("cited_edges", True).alias("cited_edges"), listed("highlight_path", True).alias("highlight_path"),
+        listed("cited_nodes", False).alias("dropped_nodes"), listed("cited_edges", False).alias("dropped_edges"),
+    )
+    out = answers.drop(*slots).join(lists, keys, "left")
+    none = F.array().cast("array<string>")
+    out = out.withColumns({c: F.coalesce(c, none) for c in (*slots, "dropped_nodes", "dropped_edges")}).withColumn("claim_type", F.coalesce("claim_type", F.lit(EVIDENCE)))
+    dropped, bare = F.size("dropped_nodes") + F.size("dropped_edges") > 0, (F.size("cited_nodes") == 0) & (F.col("claim_type") == EVIDENCE)
+    return out.withColumn("ok", ~dropped & ~bare).withColumn("confidence", F.when(F.col("ok"), F.col("confidence")).otherwise("low"))
+
+
+def caveats(verified: DataFrame) -> DataFrame:
+    """Verified answers with what to warn of: ids that were dropped, nodes first, and evidence without a node; after the answer's own."""
+    ids = F.concat("dropped_nodes", "dropped_edges")
+    dropped = F.when(F.size(ids) > 0, F.concat(F.lit("dropped unknown ids: "), F.array_join(ids, ", ")))
+    bare = F.when((F.size("cited_nodes") == 0) & (F.col("claim_type") == EVIDENCE), "cites nothing known")
+    own = F.coalesce("caveats", F.array().cast("array<string>")) if "caveats" in verified.columns else F.array().cast("array<string>")
+    return verified.withColumn("caveats", F.concat(own, F.array_compact(F.array(dropped, bare))))
 
 
 def bounded(lists: DataFrame, column: str, *, limit: int = 40) -> DataFrame:

@@ -115,6 +115,23 @@ def overview(counts: DataFrame, findings: DataFrame, memory: DataFrame, *, top:
     return counts.join(heads, "case_id", "left").join(threads, "case_id", "left").na.fill(0, ["open_threads"])
 
 
+def report(counts: DataFrame, documents: DataFrame, findings: DataFrame, memory: DataFrame, *, top: int = 10, limit: int = 20) -> DataFrame:
+    """Q14: all of a case's overview in one table (case_id, section, place, item, note): counts, every document with its kind, the first findings with their severity, and its threads by kind with their status.
+
+    counts has a column for each thing counted; documents (case_id, doc_id, kind, filename); findings (case_id, rank, headline, severity).
+    """
+    row = lambda df, section, place, item, note: df.select("case_id", section.alias("section"), place.cast("int").alias("place"), item.alias("item"), note.cast("string").alias("note"))
+    names = [c for c in counts.columns if c != "case_id"]
+    each = counts.select("case_id", F.posexplode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("n")) for c in names))).alias("i", "x"))
+    papers_ = numbered(documents, ["case_id"], [F.col("doc_id").asc()], "place")
+    return (
+        row(each, F.lit("counts"), F.col("i") + 1, F.col("x.name"), F.col("x.n"))
+        .union(row(papers_, F.lit("documents"), F.col("place"), F.concat_ws(" ", "doc_id", "filename"), F.col("kind")))
+        .union(row(findings.filter(F.col("rank") <= top), F.lit("findings"), F.col("rank"), F.col("headline"), F.col("severity")))
+        .union(row(threads(memory, limit=limit), F.col("kind"), F.col("place"), F.col("text"), F.col("status")))
+    )
+
+
 def influencers(metrics: DataFrame, nodes: DataFrame, metric: str, *, limit: int = 10, node_types: tuple[str, ...] = ("person",)) -> DataFrame:
     """The top nodes of some types by a metric, scores at six digits."""
     of_type = metrics.join(nodes.filter(F.col("type").isin(*node_types)).select("case_id", F.col("id").alias("node"), "label"), ["case_id", "node"])

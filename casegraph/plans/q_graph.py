@@ -73,6 +73,17 @@ h2 AS (SELECT DISTINCT h.case_id, seed, v AS node, 2 AS hop FROM h1 h JOIN both_
 SELECT case_id, seed, node, min(hop) AS hop FROM (SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2) GROUP BY 1, 2, 3"""
 
 
+def q4_edges(spark: SparkSession, d: str) -> DataFrame:
+    """The call edges among what each case's first handset reaches in two steps."""
+    e = kept(weighted(R.call_edges(spark, d)), "edges")
+    p = kept(graph.pairs(e), "pairs")
+    reached = kept(graph.hops(p, p.filter("a like 'device:%'").groupBy("case_id").agg(F.min("a").alias("seed")), 2), "reached")
+    return graph.neighbourhood_edges(e, reached)
+
+
+Q4_EDGES_SQL = f"{Q4_SQL.rsplit('SELECT case_id, seed, node, min(hop)', 1)[0].rstrip()}, r AS (SELECT DISTINCT case_id, seed, node FROM (SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2)) SELECT DISTINCT e.case_id, x.seed, 'e_' || left(sha256(nat_key), 16) AS id FROM edges e JOIN r x ON e.case_id = x.case_id AND e.src = x.node JOIN r y ON e.case_id = y.case_id AND e.dst = y.node AND x.seed = y.seed"
+
+
 def order_pairs(spark: SparkSession, d: str, where: str = "true") -> DataFrame:
     """The customer-supplier-nation graph of the orders."""
     o = table(spark, d, "orders").filter(where)
@@ -381,6 +392,7 @@ QUERIES = {
     "q2_search": (q2_search, Q2_SQL),
     "q3_edges": (q3_edges, Q3_SQL),
     "q4_hops": (q4_hops, Q4_SQL),
+    "q4_neighbourhood_edges": (q4_edges, Q4_EDGES_SQL),
     "q5_paths": (q5_paths, Q5_SQL),
     "q6_path_edges": (q6_path_edges, Q6_SQL),
     "q7_timeline": (q7_timeline, Q7_SQL),

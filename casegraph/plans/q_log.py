@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casegraph.operators import caselog, query
+from casegraph.operators.ranks import numbered
 from casegraph.plans.standin import table
 from casegraph.sources.shared import kept
 
@@ -125,15 +126,65 @@ def l10_fresh(spark: SparkSession, d: str) -> DataFrame:
 L10_SQL = "SELECT case_id, headline, CAST(k AS INT) AS k FROM (SELECT 'c' || (o_custkey % 100) AS case_id, 'order ' || o_orderkey AS headline, row_number() OVER (PARTITION BY o_custkey % 100 ORDER BY o_orderkey) AS k FROM orders WHERE o_orderstatus <> 'F') WHERE k <= 8"
 
 
+def _answers(spark: SparkSession, d: str) -> DataFrame:
+    """Answers about a nation's customers: some cite nations, some edges (regions) only, some ids that don't exist or are of the other kind, some nothing; of all kinds of claims."""
+    c, k, n = table(spark, d, "customer"), F.col("c_custkey"), F.col("c_nationkey")
+    node = lambda x: F.concat(F.lit("nation:"), x)
+    none = F.array().cast("array<string>")
+    return c.select(
+        F.lit("c").alias("case_id"), k.alias("answer_id"), F.when(k % 7 == 0, "guidance").when(k % 7 != 1, "evidence").alias("claim_type"), F.lit("high").alias("confidence"),
+        F.when(k % 3 == 0, none).when(k % 5 == 0, F.array(node(n + 50), node(n))).when(k % 11 == 0, F.array(F.lit("e:1"), node(n))).otherwise(F.array(node(n), node((n + 3) % 25))).alias("cited_nodes"),
+        F.when(k % 2 == 0, F.array(F.concat(F.lit("e:"), k % 8))).otherwise(none).alias("cited_edges"),
+        F.when(k % 4 > 0, F.array(node(n), node(n + 25), node((n + 1) % 25))).alias("highlight_path"), F.when(k % 13 == 0, F.array(F.lit("from a draft"))).alias("caveats"),
+    )
+
+
 def l11_citations(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "customer")
-    answers = c.select(F.col("c_custkey").alias("answer_id"), F.when(F.col("c_custkey") % 7 == 0, "guidance").otherwise("fact").alias("claim_type"), F.lit("high").alias("confidence"), F.when(F.col("c_custkey") % 3 == 0, F.array().cast("array<int>")).otherwise(F.array("c_nationkey", F.col("c_nationkey") + F.when(F.col("c_custkey") % 5 == 0, 50).otherwise(0))).alias("cited"))
-    out = caselog.verify_citations(answers, table(spark, d, "nation").select(F.col("n_nationkey").alias("id")))
-    return out.select("answer_id", "ok", "confidence", F.array_join(F.col("valid").cast("array<string>"), ",").alias("valid"), F.array_join(F.array_compact(F.col("unknown")).cast("array<string>"), ",").alias("unknown"))
+    nodes = table(spark, d, "nation").select(F.lit("c").alias("case_id"), F.concat(F.lit("nation:"), "n_nationkey").alias("id"))
+    edges = table(spark, d, "region").select(F.lit("c").alias("case_id"), F.concat(F.lit("e:"), "r_regionkey").alias("id"))
+    out = caselog.caveats(caselog.verify_citations(_answers(spark, d), nodes, edges))
+    text = lambda c, sep=",": F.array_join(c, sep).alias(c)
+    return out.select("answer_id", "claim_type", "ok", "confidence", text("cited_nodes"), text("cited_edges"), text("highlight_path"), text("dropped_nodes"), text("dropped_edges"), text("caveats", "; "))
+
+
+#: From the rule: cited ids are looked up, those not found are taken out and listed; ok needs a node (for evidence) and nothing taken out.
+L11_SQL = """WITH a AS (SELECT c_custkey AS answer_id, CASE WHEN k7 = 0 THEN 'guidance' ELSE 'evidence' END AS claim_type,
+  CASE WHEN c_custkey % 3 = 0 THEN [] WHEN c_custkey % 5 = 0 THEN ['nation:' || (n + 50), 'nation:' || n] WHEN c_custkey % 11 = 0 THEN ['e:1', 'nation:' || n] ELSE ['nation:' || n, 'nation:' || ((n + 3) % 25)] END AS cn,
+  CASE WHEN c_custkey % 2 = 0 THEN ['e:' || (c_custkey % 8)] ELSE [] END AS ce, CASE WHEN c_custkey % 4 > 0 THEN ['nation:' || n, 'nation:' || (n + 25), 'nation:' || ((n + 1) % 25)] ELSE [] END AS hp,
+  CASE WHEN c_custkey % 13 = 0 THEN ['from a draft'] ELSE [] END AS own FROM (SELECT *, c_nationkey AS n, c_custkey % 7 AS k7 FROM customer)),
+known AS (SELECT list('nation:' || n_nationkey) AS ns, (SELECT list('e:' || r_regionkey) FROM region) AS es FROM nation),
+v AS (SELECT answer_id, claim_type, own, list_filter(cn, lambda x: list_contains(ns, x)) AS kn, list_filter(cn, lambda x: NOT list_contains(ns, x)) AS dn, list_filter(ce, lambda x: list_contains(es, x)) AS ke, list_filter(ce, lambda x: NOT list_contains(es, x)) AS de,
+  list_filter(hp, lambda x: list_contains(ns, x)) AS path FROM a, known),
+w AS (SELECT *, len(dn) + len(de) > 0 AS dropped, len(kn) = 0 AND claim_type = 'evidence' AS bare FROM v)
+SELECT answer_id, claim_type, NOT dropped AND NOT bare AS ok, CASE WHEN dropped OR bare THEN 'low' ELSE 'high' END AS confidence, coalesce(array_to_string(kn, ','), '') AS cited_nodes, coalesce(array_to_string(ke, ','), '') AS cited_edges,
+  coalesce(array_to_string(path, ','), '') AS highlight_path, coalesce(array_to_string(dn, ','), '') AS dropped_nodes, coalesce(array_to_string(de, ','), '') AS dropped_edges,
+  coalesce(array_to_string(own || CASE WHEN dropped THEN ['dropped unknown ids: ' || array_to_string(dn || de, ', ')] ELSE [] END || CASE WHEN bare THEN ['cites nothing known'] ELSE [] END, '; '), '') AS caveats FROM w"""
 
 
-L11_SQL = """WITH a AS (SELECT c_custkey AS answer_id, c_custkey % 3 = 0 AS none, c_custkey % 5 = 0 AS made_up, c_custkey % 7 = 0 AS guidance, c_nationkey AS n FROM customer), b AS (SELECT *, CASE WHEN none THEN guidance ELSE NOT made_up END AS ok FROM a)
-SELECT answer_id, ok, CASE WHEN ok THEN 'high' ELSE 'low' END AS confidence, CASE WHEN none THEN '' ELSE n::VARCHAR END AS valid, CASE WHEN none OR NOT made_up THEN '' ELSE (n + 50)::VARCHAR END AS unknown FROM b"""
+def l7_uncleared(spark: SparkSession, d: str) -> DataFrame:
+    """The turns after the last clearing of each conversation, one at every fifth turn of every second conversation."""
+    t = table(spark, d, "conversations").select(F.col("conv_id").alias("case_id"), F.col("turn").alias("seq"), "role")
+    return caselog.uncleared(t, t.filter("case_id % 2 = 0 and seq % 5 = 1").select("case_id", "seq"))
+
+
+L7_UNCLEARED_SQL = """SELECT conv_id AS case_id, turn AS seq, role FROM conversations c WHERE NOT EXISTS (SELECT 1 FROM conversations x WHERE x.conv_id = c.conv_id AND x.conv_id % 2 = 0 AND x.turn % 5 = 1 AND x.turn >= c.turn)"""
+
+
+def l13_conclusions(spark: SparkSession, d: str) -> DataFrame:
+    """What orders conclude, as memories and as entries of each customer's audit chain: every entry names its memory and the hash of what was said."""
+    o = table(spark, d, "orders")
+    said = o.select(
+        F.concat(F.lit("c"), "o_custkey").alias("case_id"), F.col("o_orderkey").alias("position"), F.lit("conclusion").alias("kind"), F.concat(F.lit("Priority "), "o_orderpriority").alias("text"), F.lit("open").alias("status"),
+        F.lit("medium").alias("confidence"), F.col("o_orderkey").alias("at"), F.lit("agent").alias("actor"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("ts"),
+    )
+    memories, audit = caselog.conclusions(said)
+    chained = caselog.append(audit, spark.createDataFrame([], "case_id string, seq long, hash string"))
+    known = memories.select("case_id", F.col("id").alias("ref"), F.col("text").alias("memory"), "updated")
+    return chained.join(known, ["case_id", "ref"], "left").select("case_id", "seq", "action", "actor", "ref", "payload_sha256", "memory", "updated", F.length("hash").alias("hash_length"))
+
+
+L13_SQL = """WITH s AS (SELECT 'c' || o_custkey AS case_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS seq, 'Priority ' || o_orderpriority AS text, o_orderkey AS at, max(o_orderkey) OVER (PARTITION BY o_custkey, o_orderpriority) AS updated FROM orders)
+SELECT case_id, seq, 'infer' AS action, 'agent' AS actor, sha256('conclusion' || lower(text)) AS ref, sha256('{"confidence":"medium","kind":"conclusion","status":"open","text":"' || text || '"}') AS payload_sha256, text AS memory, updated, 64::INT AS hash_length FROM s"""
 
 
 def l12_bounded(spark: SparkSession, d: str) -> DataFrame:
@@ -157,7 +208,28 @@ Q14_SQL = f"""WITH {MEMORY_SQL}, h AS (SELECT 'case_' || (user_id % 4) AS case_i
 t AS (SELECT case_id, count(*) AS open_threads FROM m WHERE status = 'open' GROUP BY 1)
 SELECT h.case_id, CAST(sum(n) AS BIGINT) AS events, string_agg(headline, '; ' ORDER BY rank) FILTER (rank <= 5) AS headlines, any_value(open_threads) AS open_threads FROM h JOIN t ON h.case_id = t.case_id GROUP BY 1"""
 
+
+
+def q14_report(spark: SparkSession, d: str) -> DataFrame:
+    """The whole overview of each case: counts, documents (one for each user and type of event), the first findings, threads."""
+    e = table(spark, d, "events").withColumn("case_id", F.concat(F.lit("case_"), F.col("user_id") % 4))
+    heads = e.groupBy("case_id", F.concat(F.lit("user "), "user_id").alias("headline")).agg(F.sum("value").alias("v"))
+    found = numbered(heads, ["case_id"], [F.desc("v"), F.asc("headline")]).withColumn("severity", F.lit("high"))
+    papers = e.select("case_id", F.concat_ws("-", F.lit("doc:u"), "user_id", "event_type").alias("doc_id"), F.col("event_type").alias("kind"), F.concat("event_type", F.lit(".csv")).alias("filename")).distinct()
+    return query.report(query.case_counts(events=e, documents=papers), papers, found, memory(spark, d), limit=3)
+
+
+Q14_REPORT_SQL = f"""WITH {MEMORY_SQL}, h AS (SELECT 'case_' || (user_id % 4) AS case_id, 'user ' || user_id AS headline, row_number() OVER (PARTITION BY user_id % 4 ORDER BY sum(value) DESC, 'user ' || user_id) AS rank, count(*) AS n FROM events GROUP BY user_id),
+p AS (SELECT DISTINCT 'case_' || (user_id % 4) AS case_id, 'doc:u-' || user_id || '-' || event_type AS doc_id, event_type AS kind FROM events),
+t AS (SELECT *, row_number() OVER (PARTITION BY case_id, kind ORDER BY updated DESC, id) AS k FROM m WHERE kind = 'conclusion' OR status = 'open')
+SELECT case_id, 'counts' AS section, 1::INT AS place, 'events' AS item, sum(n)::VARCHAR AS note FROM h GROUP BY 1 UNION ALL SELECT case_id, 'counts', 2, 'documents', count(*)::VARCHAR FROM p GROUP BY 1
+UNION ALL SELECT case_id, 'documents', CAST(row_number() OVER (PARTITION BY case_id ORDER BY doc_id) AS INT), doc_id || ' ' || kind || '.csv', kind FROM p
+UNION ALL SELECT case_id, 'findings', CAST(rank AS INT), headline, 'high' FROM h WHERE rank <= 10 UNION ALL SELECT case_id, kind, CAST(k AS INT), text, status FROM t WHERE k <= 3"""
+
 QUERIES = {
+    "l7_uncleared": (l7_uncleared, L7_UNCLEARED_SQL),
+    "l13_conclusions": (l13_conclusions, L13_SQL),
+    "q14_report": (q14_report, Q14_REPORT_SQL),
     "l1_append": (l1_append, L1_SQL),
     "l2_verify": (l2_verify, L2_SQL),
     "l3_tail": (l3_tail, L3_SQL),
