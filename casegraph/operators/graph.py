@@ -88,30 +88,44 @@ def neighbourhood_edges(edges: DataFrame, reached: DataFrame) -> DataFrame:
 def simple_paths(pairs_: DataFrame, asked: DataFrame, *, max_hops: int = 6, limit: int = 5, through: str = "not node like 'doc:%'") -> DataFrame:
     """Q5: asked (case_id, a, b) -> (case_id, a, b, path, hops, weight, rank): the ``limit`` shortest simple paths, then the heaviest.
 
-    A path is only grown while its end can still reach the target in the hops left (distances from the target are found
-    first), and an asked pair stops at the level that completes enough paths: what is shorter is complete by then.
+    Paths of h hops are halves of h / 2 hops from both ends that meet in a node and share no other, so partial paths have half the length (three hops of six). A half is only grown while its end can
+    still reach the other side in the hops left, and an asked pair stops at the length that completes enough paths: what is shorter is complete by then. Of each length only the best ``limit`` are kept.
     """
     steps = kept(both_ways(pairs_, "weight"), "steps")
-    ends = asked.select("case_id", F.col("a").alias("from"), F.col("b").alias("to")).distinct()
-    away = hops(pairs_, ends.select("case_id", F.col("to").alias("seed")).distinct(), max_hops).select("case_id", F.col("seed").alias("to"), F.col("node").alias("v"), F.col("hop").alias("left"))
-    away = kept(away, "away")
-    grown = ends.select("case_id", "from", "to", F.array("from").alias("path"), F.lit(0.0).alias("weight"), F.col("from").alias("node"))
-    done = None
-    for hop in range(1, max_hops + 1):
-        out = grown.join(steps, (grown["case_id"] == steps["case_id"]) & (grown["node"] == steps["u"])).select(
-            grown["case_id"], "from", "to", "path", (grown["weight"] + steps["weight"]).alias("weight"), F.col("v")
-        )
-        out = out.filter(~F.array_contains("path", F.col("v"))).filter((F.col("v") == F.col("to")) | F.expr(through.replace("node", "v")))
-        out = out.join(away, ["case_id", "to", "v"]).filter(F.col("left") <= max_hops - hop)
-        out = kept(out.select("case_id", "from", "to", F.concat("path", F.array("v")).alias("path"), "weight", F.col("v").alias("node")), "paths")
-        level = out.filter(F.col("node") == F.col("to")).select("case_id", "from", "to", "path", "weight", F.lit(hop).alias("hops"))
+    ends = kept(asked.select("case_id", F.col("a").alias("from"), F.col("b").alias("to")).distinct(), "asked")
+    pair, sides = ["case_id", "from", "to"], {"from": "to", "to": "from"}
+    # How far each node is from the other side.
+    away = {side: kept(hops(pairs_, ends.select("case_id", F.col(other).alias("seed")).distinct(), max_hops).select("case_id", F.col("seed").alias(other), F.col("node").alias("v"), F.col("hop").alias("left")), "away") for side, other in sides.items()}
+    halves = {side: [ends.select(*pair, F.array(side).alias("path"), F.lit(0.0).alias("weight"), F.col(side).alias("node"))] for side in sides}
+    open_pairs, done = ends, None
+
+    def grow(side: str) -> None:
+        other, last = sides[side], halves[side][-1]
+        n = len(halves[side])
+        at = last.filter(F.col("node") != F.col(other)).join(open_pairs, pair, "left_semi")
+        out = at.join(steps, (at["case_id"] == steps["case_id"]) & (at["node"] == steps["u"])).select(at["case_id"], "from", "to", "path", (at["weight"] + steps["weight"]).alias("weight"), "v")
+        out = out.filter(~F.array_contains("path", F.col("v"))).filter((F.col("v") == F.col(other)) | F.expr(through.replace("node", "v")))
+        out = out.join(away[side], ["case_id", other, "v"]).filter(F.col("left") <= max_hops - n)
+        halves[side].append(kept(out.select(*pair, F.concat("path", F.array("v")).alias("path"), "weight", F.col("v").alias("node")), "halves"))
+
+    order = lambda *first: Window.partitionBy(*pair).orderBy(*first, F.col("weight").desc(), F.array_join("path", ">"))
+    for h in range(1, max_hops + 1):
+        there, back = h - h // 2, h // 2
+        for side, n in (("from", there), ("to", back)):
+            if len(halves[side]) <= n:
+                grow(side)
+        x = halves["from"][there].join(open_pairs, pair, "left_semi")
+        y = halves["to"][back].select(*pair, F.col("path").alias("rest"), F.col("weight").alias("more"), "node")
+        met = x.join(y, [*pair, "node"]).filter(F.size(F.array_intersect("path", "rest")) == 1)
+        whole = F.concat("path", F.reverse(F.slice("rest", F.lit(1), F.size("rest") - 1)))
+        level = met.select(*pair, whole.alias("path"), (F.col("weight") + F.col("more")).alias("weight"), F.lit(h).alias("hops"))
+        level = kept(level.withColumn("k", F.row_number().over(order())).filter(F.col("k") <= limit).drop("k"), "paths")
         done = level if done is None else done.union(level)
-        full = done.groupBy("case_id", "from", "to").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= limit)
-        grown = out.filter(F.col("node") != F.col("to")).join(full, ["case_id", "from", "to"], "left_anti")
-        if grown.isEmpty():
+        full = done.groupBy(*pair).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= limit)
+        open_pairs = kept(ends.join(full, pair, "left_anti"), "open")
+        if open_pairs.isEmpty():
             break
-    order = Window.partitionBy("case_id", "from", "to").orderBy("hops", F.col("weight").desc(), F.array_join("path", ">"))
-    ranked = done.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+    ranked = done.withColumn("rank", F.row_number().over(order("hops"))).filter(F.col("rank") <= limit)
     return ranked.select("case_id", F.col("from").alias("a"), F.col("to").alias("b"), "path", "hops", "weight", "rank")
 
 

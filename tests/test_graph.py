@@ -205,6 +205,17 @@ def test_simple_paths_are_the_shortest(spark):
     assert got == sorted(want)[:4]
 
 
+def test_paths_past_hubs(spark):
+    """Two hubs of 20,000 leaves each between the asked nodes: halves stay as many as edges, and a path through a hub twice is none."""
+    leaves = spark.range(20_000).select(F.concat(F.lit("leaf"), "id").alias("b"))
+    hubs = [leaves.select(F.lit("c").alias("case_id"), F.lit(h).alias("a"), "b", F.lit(1.0).alias("weight"), F.lit(1.0).alias("distance")) for h in ("hub1", "hub2")]
+    few = graph_of(spark, [("a", "hub1", 2), ("hub2", "z", 3)])
+    pairs = few.select("case_id", "a", "b", "weight", "distance").union(hubs[0]).union(hubs[1])
+    asked = spark.createDataFrame([("c", "a", "z")], "case_id string, a string, b string")
+    got = graph.simple_paths(pairs, asked, max_hops=6, limit=3).orderBy("rank").collect()
+    assert [(r.hops, r.weight, r.path[2]) for r in got] == [(4, 7.0, "leaf0"), (4, 7.0, "leaf10000"), (4, 7.0, "leaf10001")]
+
+
 def test_hops_and_document_nodes(spark):
     p = graph_of(spark, [*PATH, ("a", "doc:x", 1), ("doc:x", "e", 1)])
     seeds = spark.createDataFrame([("c", "a")], "case_id string, seed string")
