@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from casegraph.functions import normalize as N
 from casegraph.operators import anomalies, edges, merge
 from casegraph.plans.standin import CALLS_SQL, EDGES_SQL, TRANSFERS_SQL, calls_raw, table, transfers_raw
-from casegraph.sources import classify, shared, tables
+from casegraph.sources import classify, shared, spans, tables
 
 NTZ = "timestamp_ntz"
 
@@ -428,6 +428,27 @@ def x14_lines(spark: SparkSession, d: str) -> DataFrame:
 X14_SQL = f"""WITH {LINES_SQL} SELECT case_id, doc_id, seq, CAST(start AS INT) AS start, stop AS "end", 'desk, "' || st || '"' AS to_account, o_orderkey AS reference FROM spans"""
 
 
+def x14_file(spark: SparkSession, d: str) -> DataFrame:
+    """All orders as one CSV file, every third with a quoted line break, read in splits of 64 KB: each row and its place."""
+    o = table(spark, d, "orders")
+    note = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit('"two\n'), "o_orderpriority", F.lit('"'))).otherwise(F.col("o_orderpriority"))
+    line = F.concat_ws(",", F.concat(F.lit("C-"), "o_custkey"), note, "o_orderstatus", F.col("o_orderkey").cast("string"))
+    path = shared.fresh(spark, "export")
+    rows = o.select(F.col("o_orderkey").alias("k"), line.alias("value")).union(spark.createDataFrame([(-1, "account,priority,status,key")], "k long, value string"))
+    rows.coalesce(1).sortWithinPartitions("k").select("value").write.text(path)
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        return spans.record_spans(spark, path).select("seq", "start", "end", "account", F.replace("priority", F.lit("\n"), F.lit("/")).alias("priority"), "status", F.col("key").cast("long").alias("key"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+
+
+X14_FILE_SQL = r"""WITH l AS (SELECT *, o_orderkey % 3 = 0 AS two, length('C-' || o_custkey || ',' || o_orderpriority || ',' || o_orderstatus || ',' || o_orderkey) + 1 + CASE WHEN o_orderkey % 3 = 0 THEN 6 ELSE 0 END AS n FROM orders),
+p AS (SELECT *, 28 + coalesce(sum(n) OVER w, 0) AS start, 1 + coalesce(sum(1 + two::INT) OVER w, 0) AS seq FROM l WINDOW w AS (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT CAST(seq AS BIGINT) AS seq, CAST(start AS BIGINT) AS start, CAST(start + n AS BIGINT) AS "end", 'C-' || o_custkey AS account, CASE WHEN two THEN 'two/' || o_orderpriority ELSE o_orderpriority END AS priority, o_orderstatus AS status, o_orderkey AS key FROM p"""
+
+
 def u3_cited(spark: SparkSession, d: str) -> DataFrame:
     """Which lines each edge and each account rests on."""
     facts = kept_facts(edges.transfers(order_lines(spark, d)))
@@ -473,6 +494,7 @@ U1_ACCOUNTS_SQL = f"WITH {TRANSFERS_SQL} SELECT case_id, dst AS id, 'BANK0' || l
 
 QUERIES = {
     "x14_record_lines": (x14_lines, X14_SQL),
+    "x14_file_spans": (x14_file, X14_FILE_SQL),
     "u3_cited_lines": (u3_cited, U3_CITED_SQL),
     "u2_edge_attrs": (u2_attrs, U2_ATTRS_SQL),
     "u4_clean_sources": (u4_sources, U4_SQL),
