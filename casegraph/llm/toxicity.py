@@ -5,8 +5,8 @@ present in a text or not. On the labelled sample each feature's log-count ratio
 with p and q its counts in toxic and other texts. Features scaled by r enter a logistic regression with an L2 penalty. Features with
 |r| under ``min_ratio`` or in under ``min_docs`` texts are left out: scaled, they would hardly count.
 
-Labels are learned from a bounded sample: the ``sample`` labelled rows of the training folds with the least hash of their doc_id. What
-reaches the driver is bounded by that and by the number of features. Scores cover every character of every document.
+Labels are learned from a bounded sample: the ``sample`` labelled rows of the training folds with the least hash of their doc_id. Of their features those with the largest |r|
+are fitted, as many as have ``entries`` entries together, which bounds what reaches the driver however long the texts are. Scores cover every character of every document.
 
 Defined results: null and empty texts get the score of a text without features; without labels of both kinds every score is the smoothed share of
 toxic labels (0.5 for none); labels that are null are ignored and a doc_id labelled twice counts twice; a null doc_id is not held out; repeated rows each get their row.
@@ -27,6 +27,8 @@ ORDERS = (3, 4, 5)
 BITS = 20
 SAMPLE = 20_000
 MIN_RATIO, MIN_DOCS = 1.0, 3
+#: Entries (features of texts) of the sample that are fitted at most: four bytes each on the driver.
+ENTRIES = 1 << 24
 THRESHOLD = 0.7
 
 
@@ -89,7 +91,7 @@ def fit(x_rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, penalty: flo
     return w * ratio, float(b)
 
 
-def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", sample: int = SAMPLE) -> tuple[np.ndarray, float]:
+def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", sample: int = SAMPLE, entries: int = ENTRIES) -> tuple[np.ndarray, float]:
     """(weights of all features, intercept)."""
     rows = stash(training_rows(docs, labels, label, sample), "toxicity-sample")
     total, toxic = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("y")), F.lit(0))).first()
@@ -100,7 +102,9 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", sample: i
     counted = stash(counted, "toxicity-counts")
     all_p, all_q = counted.agg(F.sum("p"), F.sum("q")).first()
     ratio = F.log((F.col("p") + 1) / F.lit(float(all_p))) - F.log((F.col("q") + 1) / F.lit(float(all_q)))
-    chosen = counted.filter(F.col("p") + F.col("q") >= MIN_DOCS).withColumn("r", ratio).filter(F.abs("r") >= MIN_RATIO).orderBy("f").toPandas()
+    chosen = counted.filter(F.col("p") + F.col("q") >= MIN_DOCS).withColumn("r", ratio).filter(F.abs("r") >= MIN_RATIO).toPandas()
+    first = chosen.assign(size=chosen["r"].abs(), n=chosen["p"] + chosen["q"]).sort_values(["size", "f"], ascending=[False, True])
+    chosen = first[first["n"].cumsum() <= entries].sort_values("f")
     place = np.full(1 << BITS, -1, np.int64)
     place[chosen["f"].to_numpy()] = np.arange(len(chosen))
     shared = docs.sparkSession.sparkContext.broadcast(place)
@@ -108,10 +112,10 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", sample: i
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.unique(x[x >= 0]) for x in (shared.value[grams(t)] for t in batch.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int64())), batch.column("y")], ["x", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.int32) for x in found], pa.list_(pa.int32())), batch.column("y")], ["x", "y"])
 
-    got = rows.mapInArrow(features, "x array<long>, y int").toPandas()
-    w, b = fit([np.asarray(x, np.int64) for x in got["x"]], (got["y"].to_numpy() > 0).astype(float), chosen["r"].to_numpy())
+    got = rows.mapInArrow(features, "x array<int>, y int").toPandas()
+    w, b = fit([np.asarray(x, np.int32) for x in got["x"]], (got["y"].to_numpy() > 0).astype(float), chosen["r"].to_numpy())
     weights[chosen["f"].to_numpy()] = w
     return weights, b
 

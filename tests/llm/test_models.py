@@ -105,3 +105,52 @@ def test_rows_without_an_id_are_drawn_each_by_its_own_key(corpus, documents):
     for i in (None, 700):
         assert (i, junk) not in kept and kept.count((i, good)) == (2 if i else 1)
     assert len(kept) == sum(told[r.doc_id, r.text_hash] for r in importance.resampled(more, labels).collect())
+
+
+@pytest.mark.parametrize("entries", [toxicity.ENTRIES, 400])
+def test_toxicity_against_a_plain_computation(spark, documents, entries):
+    """Ratios, fit and scores with dictionaries and dense rows, from the definition in the docstring."""
+    import math
+    import zlib
+
+    rows, labels = texts(90, seed=4)
+    rows += [(1000, None, None), (1001, "", None), (1002, "Vequor  \t ÄBC", "s")]
+    docs, label_rows = documents(rows), spark.createDataFrame([*labels, (1000, 0, 0), (5, None, None), (None, 1, 1)], LABELS)
+    text, known = {i: t for i, t, _ in rows}, [(i, y) for i, _, y in [*labels, (1000, 0, 0)] if zlib.crc32(str(i).encode()) % 3 != 1]
+    present = {i: set(toxicity.grams(t).tolist()) for i, t in text.items()}
+    p, q = {}, {}
+    for i, y in known:
+        for f in present[i]:
+            side = p if y else q
+            side[f] = side.get(f, 0) + 1
+    all_p, all_q = sum(p.values()), sum(q.values())
+    ratio = {f: math.log((p.get(f, 0) + 1) / all_p) - math.log((q.get(f, 0) + 1) / all_q) for f in set(p) | set(q) if p.get(f, 0) + q.get(f, 0) >= toxicity.MIN_DOCS}
+    order, total, chosen = sorted((f for f in ratio if abs(ratio[f]) >= toxicity.MIN_RATIO), key=lambda f: (-abs(ratio[f]), f)), 0, []
+    for f in order:
+        total += p.get(f, 0) + q.get(f, 0)
+        if total > entries:
+            break
+        chosen.append(f)
+    assert chosen and (len(chosen) < len(order)) == (entries == 400)
+    x = np.array([[ratio[f] * (f in present[i]) for f in chosen] for i, _ in known])
+    y, w, b = np.array([float(y > 0) for _, y in known]), np.zeros(len(chosen)), 0.0
+    m = v = np.zeros(len(chosen) + 1)
+    for t in range(1, 401):
+        error = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))) - y
+        grad = np.append(x.T @ error + w, error.sum()) / len(y)
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
+        step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
+        w, b = w - step[:-1], b - step[-1]
+    want = {i: 1 / (1 + math.exp(-(b + sum(w[k] * ratio[f] for k, f in enumerate(chosen) if f in found)))) for i, found in present.items()}
+    weights, intercept = toxicity.train(docs, label_rows, entries=entries)
+    got = {r.doc_id: r.score for r in toxicity.score(docs, weights, intercept).collect()}
+    assert got == pytest.approx(want, rel=1e-6)
+    assert max(want.values()) > 0.7 > 0.3 > min(want.values())
+
+
+def test_very_long_texts_and_labels_given_twice(spark, documents):
+    rows, labels = texts(60, seed=6)
+    docs = documents([*rows, (2000, "vequor und " * 200_000, "s"), (2001, "vequor und " * 4, "s")])
+    got = {r.doc_id: r for r in toxicity.toxicity(docs, spark.createDataFrame([*labels, *labels[:5], (0, None, None)], LABELS)).collect()}
+    # Features are there or not, so four rounds say what 200,000 do.
+    assert len(got) == 62 and got[2000].score == got[2001].score

@@ -208,3 +208,73 @@ def test_words_hash_alike_in_any_company():
     assert len(set(hashes.values())) == len(hashes)
     assert decontamination.word_hashes(None).size == 0
     assert decontamination.word_hashes(b"Don't STOP.").tolist() == decontamination.word_hashes(b"dont stop").tolist()
+
+
+def test_main_text_against_brute_force(spark):
+    """Contents by host in the order of their first path; neighbours aligned by a plain table; what a content shares with a neighbour leaves its plain blocks."""
+    rng = random.Random(11)
+    host = lambda url: (url or "").split("/")[2].lower() if url and "://" in url else ""
+    path = lambda url: None if url is None else "/" + url.split("://", 1)[1].partition("/")[2] if "/" in url.split("://", 1)[1] else ""
+    rows, words = [], "alpha beta gamma delta epsilon zeta eta theta".split()
+    template = {h: [f"site {h} line {k}" for k in range(4)] for h in "abc"}
+    for i in range(60):
+        h = rng.choice("aabc")
+        lines = template[h][: rng.randint(1, 4)] + [" ".join(rng.choice(words) for _ in range(3)) for _ in range(rng.randint(0, 4))] + template[h][-rng.randint(0, 2) :]
+        body = "".join(f"<p>{x}</p>" for x in lines) + ("<nav><p>menu</p></nav>" if i % 3 else "") + ("<article><p>own words</p></article>" if i % 7 == 0 else "")
+        rows.append((i, f"http://{h.upper() if i % 2 else h}.example/{rng.randint(0, 40):02d}/x?q={i}", f"<body>{body}</body>", "x"))
+    rows += [(100, None, "<p>alone</p>", "x"), (101, None, "<p>alone</p><p>more</p>", "x"), (102, rows[0][1], rows[0][2], "y"), (103, rows[0][1], None, "y")]
+    groups = {}
+    for page, url, html, _ in rows:
+        lines = tuple(html_text.main_lines(html))
+        key = (None if url is None else host(url), lines)
+        groups.setdefault(key, []).append((path(url), page))
+    order = {}
+    for (h, lines), members in groups.items():
+        order.setdefault(h, []).append((min((p is not None, p or "") for p, _ in members), html_text.content_key(h, html_text.marked(list(lines))), lines))
+    gone = {}
+    for h, found in order.items():
+        found.sort(key=lambda x: x[:2])
+        for (_, _, x), (_, _, y) in zip(found, found[1:]):
+            a, b = ([t for t, where in z if where == html_text.PLAIN] for z in (x, y))
+            best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+            for i in range(len(a)):
+                for j in range(len(b)):
+                    best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
+            # Of several longest ones: for each line of the first content, from its end, the earliest place in the second.
+            j, common = len(b), set()
+            for i in range(len(a), 0, -1):
+                while j and best[i][j] == best[i][j - 1]:
+                    j -= 1
+                if j and best[i][j] > best[i - 1][j]:
+                    common.add(a[i - 1])
+                    j -= 1
+            for z in (x, y):
+                gone.setdefault((h, z), set()).update(common)
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, PAGES).repartition(3)).collect()}
+    want = {}
+    for page, url, html, _ in rows:
+        h, lines = None if url is None else host(url), tuple(html_text.main_lines(html))
+        want[page] = "\n\n".join(t for t, where in lines if where == html_text.ARTICLE or t not in gone.get((h, lines), ()))
+    assert got == want and sum("site" not in t for t in want.values()) > 30
+
+
+def test_alignment_of_long_pages_is_small_and_longest():
+    import tracemalloc
+
+    rng = random.Random(3)
+    a = [rng.randrange(1 << 40) for _ in range(12_000)]
+    b = [x if rng.random() < 0.7 else rng.randrange(1 << 40) for x in a if rng.random() < 0.9]
+    tracemalloc.start()
+    got = html_text.shared_lines(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12e6 and all(a[i] == b[j] for i, j in got) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(got, got[1:]))
+    # Values are all different, so a longest common subsequence is a longest rising one of places.
+    import bisect
+
+    place, tails = {x: i for i, x in enumerate(a)}, []
+    for x in b:
+        if x in place:
+            k = bisect.bisect_left(tails, place[x])
+            tails[k : k + 1] = [place[x]]
+    assert len(got) == len(tails)
