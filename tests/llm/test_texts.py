@@ -214,7 +214,7 @@ def test_main_text_against_brute_force(spark):
     """Contents by host in the order of their first path; neighbours aligned by a plain table; what a content shares with a neighbour leaves its plain blocks."""
     rng = random.Random(11)
     host = lambda url: (url or "").split("/")[2].lower() if url and "://" in url else ""
-    path = lambda url: None if url is None else "/" + url.split("://", 1)[1].partition("/")[2] if "/" in url.split("://", 1)[1] else ""
+    path = lambda url: None if url is None else "/" + url.split("?")[0].split("://", 1)[1].partition("/")[2]
     rows, words = [], "alpha beta gamma delta epsilon zeta eta theta".split()
     template = {h: [f"site {h} line {k}" for k in range(4)] for h in "abc"}
     for i in range(60):
