@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -73,6 +74,8 @@ TEMPLATES = [
         "copyright notice and this permission notice appear in all copies.",
     ),
 ]
+#: Characters of templates that are sent to the tasks at once.
+BLOCK_CHARS = 1 << 22
 
 
 class _Words(dict):
@@ -144,11 +147,26 @@ class Index:
         return found
 
 
+def blocks(templates: list[tuple[str, str]], limit: int = BLOCK_CHARS) -> list[list[tuple[str, str]]]:
+    """The templates in runs of ``limit`` characters at most (or one template): each is scanned for in a pass of its own."""
+    out, size = [[]], 0
+    for name, text in templates:
+        if out[-1] and size + len(text) > limit:
+            out.append([])
+            size = 0
+        out[-1].append((name, text))
+        size += len(text)
+    return out
+
+
 def scan(docs: DataFrame, *, templates: list[tuple[str, str]] = TEMPLATES, min_containment: float = MIN_CONTAINMENT) -> DataFrame:
     """(doc_id, license, containment, first_word): the licenses each document names, with the best template's containment."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, known = Index(templates), _Words()
+    def part(block: list[tuple[str, str]]) -> DataFrame:
+        return narrow.mapInArrow(lambda batches: run(batches, block), "doc_id long, license string, containment double, first_word long")
+
+    def run(batches: Iterator[pa.RecordBatch], block: list[tuple[str, str]]) -> Iterator[pa.RecordBatch]:
+        index, known = Index(block), _Words()
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -157,7 +175,8 @@ def scan(docs: DataFrame, *, templates: list[tuple[str, str]] = TEMPLATES, min_c
                 kinds = [pa.int64(), pa.string(), pa.float64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "license", "containment", "first_word"])
 
-    found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, license string, containment double, first_word long")
+    narrow = docs.select(F.col("doc_id").cast("long"), "text")
+    found = reduce(DataFrame.unionByName, [part(block) for block in blocks(templates)])
     best = F.max(F.struct("containment", (-F.col("first_word")).alias("at"))).alias("b")
     return found.groupBy("doc_id", "license").agg(best).select("doc_id", "license", F.col("b.containment").alias("containment"), (-F.col("b.at")).alias("first_word"))
 

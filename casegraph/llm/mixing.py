@@ -14,7 +14,7 @@ holds a third of the corpus never meets in one task.
 
 Defined results: null text has size 0; a null source is a source of its own and sorts last;
 an empty table gives an empty result; sources of size 0 have target 0. Repeated rows are
-documents of their own. Columns beyond those named are ignored or, in the
+documents of their own; rows that share an id stand in the order of size and text, rows without one are spread by their texts. Columns beyond those named are ignored or, in the
 ``keep`` list, carried.
 """
 
@@ -64,9 +64,11 @@ def mix(
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, taken, repeats (double) and ``keep``."""
-    order: Column = F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("doc_id").cast("string")))
+    # Rows without an id are told apart by their texts, else they would all stand at one place.
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text-"), F.md5(F.col("text").cast("binary"))))
+    order: Column = F.md5(F.concat_ws("-", F.lit(str(seed)), name))
     sized = stash(
-        docs.select("doc_id", "source", n_words("text").alias("size"), order.alias("__order"), *keep)
+        docs.select("doc_id", "source", n_words("text").alias("size"), order.alias("__order"), F.xxhash64("text").alias("__text"), *keep)
         .withColumn("__bucket", F.substring("__order", 1, BUCKET_DIGITS)),
         "mix-sizes",
     )
@@ -75,7 +77,7 @@ def mix(
     targets = water_fill(cycled_weights(sizes, weights), budget_ratio, max_epochs).drop("weight")
     running = Window.partitionBy("source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = buckets.select("source", "__bucket", F.coalesce(F.sum("__bucket_size").over(running), F.lit(0)).alias("__before"))
-    inside = Window.partitionBy("source", "__bucket").orderBy("__order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "__bucket").orderBy("__order", "doc_id", "size", "__text").rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("__inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     o, t = offsets.alias("o"), targets.alias("t")
     joined = (

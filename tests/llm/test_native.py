@@ -86,3 +86,14 @@ def test_frequent_lines_leave_the_texts(spark, documents):
     assert sorted(((r.doc_id, r.text, r.source) for r in got.collect()), key=repr) == sorted(want, key=repr)
     assert {r.doc_id for r in quality_rules.line_rules(documents(rows), min_docs=20).filter("kept").collect()} == {w[0] for w in want}
     assert quality_rules.remove_frequent_lines(documents([])).count() == 0
+
+
+def test_rows_without_an_id_are_spread_and_reruns_agree(spark, documents):
+    rows = [(None, f"word{i} " * (i % 7 + 1), "s") for i in range(200)] + [(5, f"other{i} " * (i % 3 + 1), "t") for i in range(50)]
+    runs = []
+    for n in (1, 6):
+        out = mixing.mix(documents(rows).repartition(n), keep=("text",))
+        runs.append(sorted(((r.text, r.size, r.taken) for r in out.collect()), key=str))
+    assert runs[0] == runs[1]
+    whole = sum(x[1] for x in runs[0])
+    assert abs(sum(x[2] for x in runs[0]) - 1.5 * whole) <= 2 and all(x[2] <= 2 * x[1] for x in runs[0])

@@ -278,3 +278,15 @@ def test_alignment_of_long_pages_is_small_and_longest():
             k = bisect.bisect_left(tails, place[x])
             tails[k : k + 1] = [place[x]]
     assert len(got) == len(tails)
+
+
+def test_templates_in_blocks_find_the_same(spark, documents, monkeypatch):
+    rows = [(i, "some words before " + text + " and some after", "s") for i, (_, text) in enumerate(license_scan.TEMPLATES)]
+    whole = sorted(map(tuple, license_scan.scan(documents(rows)).collect()))
+    monkeypatch.setattr(license_scan, "blocks", lambda templates, limit=0: [[t] for t in templates])
+    assert sorted(map(tuple, license_scan.scan(documents(rows)).collect())) == whole and len(whole) >= len(rows)
+
+
+def test_blocks_hold_their_limit():
+    got = license_scan.blocks([("a", "x" * 10), ("b", "x" * 5), ("c", "x" * 30), ("d", "x")], limit=15)
+    assert [[n for n, _ in b] for b in got] == [["a", "b"], ["c"], ["d"]]
