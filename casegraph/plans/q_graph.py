@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from casegraph.operators import case, findings, graph, iterative, merge, query
@@ -145,6 +145,36 @@ def g8_g9_betweenness(spark: SparkSession, d: str) -> DataFrame:
     return iterative.betweenness(order_pairs(spark, d)).select("case_id", "node", F.round("betweenness", 9).alias("betweenness"), "estimated")
 
 
+def g8_chains(spark: SparkSession, d: str) -> DataFrame:
+    """Each customer's orders in a row, a case for each customer: exact betweenness, and PageRank's sum, of very many small cases."""
+    o = table(spark, d, "orders")
+    after = F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    links = o.select(F.concat(F.lit("c"), "o_custkey").alias("case_id"), F.col("o_orderkey").alias("x"), after.alias("y"), (F.col("o_orderkey") % 5 + 1).cast("double").alias("weight")).filter("y is not null")
+    p = kept(links.select("case_id", F.concat(F.lit("o"), "x").alias("a"), F.concat(F.lit("o"), "y").alias("b"), "weight", (1 / F.col("weight")).alias("distance")), "chains")
+    out = iterative.betweenness(p).select("case_id", "node", F.round("betweenness", 9).alias("betweenness"), "estimated")
+    sums = iterative.pagerank(p).groupBy("case_id").agg(F.round(F.sum("rank"), 6).alias("ranks"))
+    return out.join(sums, "case_id")
+
+
+G8_CHAINS_SQL = """WITH o AS (SELECT 'c' || o_custkey AS case_id, 'o' || o_orderkey AS node, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS DOUBLE) AS i, CAST(count(*) OVER (PARTITION BY o_custkey) AS DOUBLE) AS n FROM orders)
+SELECT case_id, node, round(CASE WHEN n > 2 THEN 2 * i * (n - 1 - i) / ((n - 1) * (n - 2)) ELSE 0 END, 9) AS betweenness, false AS estimated, 1.0::DOUBLE AS ranks FROM o WHERE n > 1"""
+
+
+def g10_cliques(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of each order, all linked with each other, a case for each customer: groups that never touch are the communities."""
+    li = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.concat(F.lit("c"), "o_custkey").alias("case_id"), "l_orderkey", "l_linenumber")
+    other = li.select("l_orderkey", F.col("l_linenumber").alias("more"))
+    node = lambda c: F.concat_ws("-", F.lit("line"), F.lpad(F.col("l_orderkey").cast("string"), 8, "0"), c)
+    p = li.join(other, "l_orderkey").filter("l_linenumber < more").select("case_id", node("l_linenumber").alias("a"), node("more").alias("b"), F.lit(1.0).alias("weight")).distinct()
+    return iterative.communities(p)
+
+
+G10_CLIQUES_SQL = """WITH n AS (SELECT DISTINCT 'c' || o_custkey AS case_id, l_orderkey, 'line-' || lpad(l_orderkey::VARCHAR, 8, '0') || '-' || l_linenumber AS node FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+g AS (SELECT case_id, l_orderkey, count(*) AS size, min(node) AS least FROM n GROUP BY 1, 2 HAVING count(*) > 1),
+r AS (SELECT *, 'c' || row_number() OVER (PARTITION BY case_id ORDER BY size DESC, least) AS community FROM g)
+SELECT n.case_id, node, community FROM n JOIN r ON n.case_id = r.case_id AND n.l_orderkey = r.l_orderkey"""
+
+
 def g10_communities(spark: SparkSession, d: str) -> DataFrame:
     return iterative.communities(order_pairs(spark, d))
 
@@ -386,6 +416,8 @@ QUERIES = {
     "q9_profile_documents": (q9_documents, Q9_DOCUMENTS_SQL),
     "g7_pagerank_settled": (g7_settled, None),
     "g8_g9_betweenness": (g8_g9_betweenness, None),
+    "g8_exact_chains": (g8_chains, G8_CHAINS_SQL),
+    "g10_cliques": (g10_cliques, G10_CLIQUES_SQL),
     "g10_communities": (g10_communities, None),
     "g12_g13_influencers": (g12_g13_influencers, G12_SQL),
     "q1_q13_types": (q1_q13_types, Q13_SQL),

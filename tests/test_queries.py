@@ -11,6 +11,7 @@ from casegraph import plans
 NAMES = [
     "x7_x10_dates_amounts", "s1_csv_scan", "s9_s10_document_ids", "e1_e4_calls", "e11_e13_history", "u2_merge_transfer_edges", "u3_bounded_sources", "a2_handset_swaps",
     "g3_g4_projection", "q4_hops", "m1_m2_identifiers", "e15_e17_prose_links", "l2_verify", "l8_merged_turns", "l11_citations",
+    "r1_u1_case_nodes", "r1_spellings", "e18_u8_second_batch", "x14_file_spans", "a4_large_transfers", "q5_paths", "q11_ranking", "q14_report", "l13_conclusions", "g8_exact_chains", "g10_cliques",
 ]
 
 
