@@ -230,16 +230,16 @@ def _history(raw: DataFrame) -> tuple[DataFrame, Column, Column]:
 
     def beside(name: Column) -> Column:
         other = N.node_id("person", name)
-        # least and greatest skip nulls.
-        pair = both & other.isNotNull()
+        # Null, as a fact without an end, where there is no other; least and greatest skip nulls.
+        met = F.when(both & (other != F.col("x")), other)
         return F.array(
-            fact(other, prior, "MENTIONED_IN", confidence=CO_ACCUSED, basis="criminal_history", **told),
-            fact(F.when(pair, F.least(F.col("x"), other)), F.when(pair, F.greatest(F.col("x"), other)), "CO_OCCURS", confidence=CO_ACCUSED, basis="co_accused"),
+            fact(met, prior, "MENTIONED_IN", basis="criminal_history", disposition=F.col("outcome"), attrs=attrs(role=F.lit("co-accused"), status=F.col("status")), **told),
+            fact(F.when(met.isNotNull(), F.least(F.col("x"), other)), F.when(met.isNotNull(), F.greatest(F.col("x"), other)), "CO_OCCURS", confidence=CO_ACCUSED, basis="co_accused", attrs=attrs(case=prior, status=F.col("status")), **told),
         )
 
     own = F.array(
         fact(who, prior, "MENTIONED_IN", basis="criminal_history", disposition=F.col("outcome"), attrs=attrs(role=F.col("role"), status=F.col("status"), court=F.col("court")), **told),
-        fact(prior, F.col("where"), "LOCATED_AT", basis="criminal_history"),
+        fact(prior, F.col("where"), "LOCATED_AT", basis="case_jurisdiction", ts=F.col("ts")),
     )
     number = F.when(F.col("case_no").rlike("^[0-9]"), F.concat(F.lit("Case "), F.col("case_no"))).otherwise(F.col("case_no"))
     seen = F.array(

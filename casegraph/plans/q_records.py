@@ -243,9 +243,9 @@ h AS (SELECT 'case_' || (o_custkey % 4) AS case_id, 'person:person_' || o_custke
 o AS (SELECT *, unnest(['person:person_' || ((o_custkey * 7) % 1000), 'person:person_' || ((o_custkey * 3) % 1000)]) AS other FROM h),
 history_facts AS (
   SELECT case_id, who AS src, prior AS dst, 'MENTIONED_IN' AS type, ts, 0.95 AS confidence, 'criminal_history' AS basis, disposition, seq FROM h
-  UNION ALL SELECT case_id, prior, station, 'LOCATED_AT', NULL, 0.95, 'criminal_history', NULL, seq FROM h
-  UNION ALL SELECT case_id, other, prior, 'MENTIONED_IN', ts, 0.85, 'criminal_history', NULL, seq FROM o
-  UNION ALL SELECT case_id, least(who, other), greatest(who, other), 'CO_OCCURS', NULL, 0.85, 'co_accused', NULL, seq FROM o WHERE who <> other)"""
+  UNION ALL SELECT case_id, prior, station, 'LOCATED_AT', ts, 0.95, 'case_jurisdiction', NULL, seq FROM h
+  UNION ALL SELECT case_id, other, prior, 'MENTIONED_IN', ts, 0.95, 'criminal_history', disposition, seq FROM o WHERE who <> other
+  UNION ALL SELECT case_id, least(who, other), greatest(who, other), 'CO_OCCURS', ts, 0.85, 'co_accused', NULL, seq FROM o WHERE who <> other)"""
 
 
 def e_history(spark: SparkSession, d: str) -> DataFrame:
