@@ -178,8 +178,9 @@ def contents(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, hashes = [], []
-            for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                lines = main_lines(page)
+            # One page at a time as text, not a batch of them.
+            for host, page in zip(batch.column("host").to_pylist(), batch.column("html"), strict=True):
+                lines = main_lines(page.as_py())
                 keys.append(content_key(host, marked(lines)))
                 hashes.append([line_hash(t) for t, where in lines if where == PLAIN])
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column("host"), batch.column("path"), pa.array(hashes, pa.list_(pa.int64()))], ["key", "host", "path", "hashes"])
@@ -194,8 +195,8 @@ def candidates(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, lines = [], []
-            for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                content = marked(main_lines(page))
+            for host, page in zip(batch.column("host").to_pylist(), batch.column("html"), strict=True):
+                content = marked(main_lines(page.as_py()))
                 keys.append(content_key(host, content))
                 lines.append(zstandard.compress(content, 3))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column("page_id"), batch.column("url"), pa.array(lines, pa.binary())], ["key", "page_id", "url", "lines"])
@@ -258,9 +259,9 @@ def main_text(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for packed, shared in zip(batch.column("lines").to_pylist(), batch.column("shared").to_pylist(), strict=True):
-                lines = zstandard.decompress(packed).decode("utf-8", "surrogatepass").split("\n")
-                gone = set(shared or ())
+            for packed, shared in zip(batch.column("lines"), batch.column("shared"), strict=True):
+                lines = zstandard.decompress(packed.as_py()).decode("utf-8", "surrogatepass").split("\n")
+                gone = set(shared.as_py() or ())
                 texts.append("\n\n".join(x[1:] for x in lines if x and (x[0] == str(ARTICLE) or line_hash(x[1:]) not in gone)))
             n = pa.array([len(t) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), n], ["page_id", "url", "text", "n_chars"])
