@@ -8,8 +8,8 @@
    group its share as one packed block. A group sorts its suffixes, which puts the subtree in order, and reads the counts of pairs and triples from the totals of its leaves. No group needs another.
 4. Windows with a frequent word beyond the numbered ones, told by a Bloom filter of fixed size, are counted by their hashes in a plain aggregate. Where all frequent words have numbers there are none.
 
-What is left are candidates, a small table, joined with the counts of their parts. Words are told by 64-bit hashes of language and word; the word counts show whether two words share one, and then
-all is done again with another seed.
+What is left are candidates, a small table, joined with the counts of their parts. Words are told by 64-bit hashes of language and word. Where the word counts show two words that share one,
+all is done again with another seed (two that share one and stand in the same order in every block of text would not show).
 
 Defined results: null and empty texts have no words; a null lang is ``und``; repeated rows count each time; an empty table gives an empty result; other columns are ignored. Ties are settled by the phrase's bytes.
 """
