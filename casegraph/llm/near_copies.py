@@ -5,14 +5,19 @@ fingerprint has 256 bits, each set if it is set in over half of the hashes of it
 similarity of 0.8 differ in about 38 of them (15 %, give or take 5 bits), so fingerprints link at ``RADIUS`` = 42 bits or fewer: nearly all pairs of 0.8 or more and, as a fingerprint is an
 estimate, some just below.
 
-Candidates come from ``SEGMENTS`` pieces of ``WIDTH`` bits. Table and probes both enumerate the Hamming ball of radius 1 around each piece, so two texts meet in
-a bucket wherever a piece differs in 2 bits or fewer; complete distances are verified in the bucket. A bucket of chance holds (WIDTH + 1) / 2**WIDTH of the
-distinct texts: 1 of 10**7 with 28 bits; beyond some 10**10 distinct texts a larger width keeps buckets small.
+Links are found in two steps. The first is fast and joins most groups: candidates come from ``SEGMENTS`` pieces of ``WIDTH`` bits. Table and probes both enumerate
+the Hamming ball of radius 1 around each piece, so two texts meet in a bucket wherever a piece differs in 2 bits or fewer; complete distances are verified in the bucket.
+That is certain up to 23 bits only (at 42 bits about two pairs of three meet). A bucket of chance holds (WIDTH + 1) / 2**WIDTH of the distinct texts.
 
 A bucket is cut in parts of ``bucket_limit`` members at most. In a part all links are followed (a member compares with what is not reached yet, so a group
 of like texts costs one comparison each), and one member of each group found goes on to a next round in which the parts of a bucket meet, as long as groups merge. Pieces held by over
-1 / ``HOT_GROUPS`` of the texts, hence few, are broadcast and their buckets salted, so that no task reads such a bucket whole. At last, in every bucket of more than one
-part, all members outside its largest group meet all members, in blocks: what a bucket links is linked, however it was cut.
+1 / ``HOT_GROUPS`` of the texts, hence few, are broadcast and their buckets salted, so that no task reads such a bucket whole.
+
+The second step is exact and leaves out no link between different groups. A fingerprint is cut in RADIUS + 1 cells of 5 or 6 bits, in a ring. Of two fingerprints at RADIUS bits or fewer
+there is a cell in which they are equal and after which they differ in at most l bits in the next l cells, for every l (their differences are fewer than the cells, so going round the ring from
+behind the place where the sum of (differences - 1) was last at its highest, that sum stays below zero). So every fingerprint is filed under each of its cells; a task compares the rows of one
+cell value whose next one or two cells are near enough, first on the cells that follow within 64 bits, then whole. Values held by many more rows than others are cut in parts, and each two parts meet.
+Its work is a small share of all pairs (about 1 % with two cells) but grows with their number.
 
 Defined results: null or blank text has fingerprint zero; a text of fewer than five words is one shingle; rows equal in id and text are one document; an
 empty table gives an empty result; all columns are carried. Of a group the row with the smallest doc_id stays, rows without an id only where no row of the group has one.
@@ -33,6 +38,8 @@ from casegraph.llm.repeats import WordHashes, mixed
 
 SHINGLE, SEGMENTS, WIDTH, RADIUS = 5, 8, 28, 42
 BUCKET_LIMIT, HOT_GROUPS, HOT_ROWS = 4096, 256, 4096
+#: Rows of a cell value that one task compares with each other, at most.
+CELL_ROWS = 1 << 18
 SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -178,10 +185,6 @@ def _pieces(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", F.posexplode("pieces").alias("s", "v")).select("node", (F.shiftleft(F.col("s").cast("long"), WIDTH) + F.col("v")).alias("piece"))
 
 
-def _keys(nodes: DataFrame) -> DataFrame:
-    return _ball(_pieces(nodes)).select("key", "node")
-
-
 def _balls(nodes: DataFrame, total: int, bucket_limit: int) -> DataFrame:
     """(key, node): every piece and its neighbours at 1 bit, the keys of hot pieces salted above bit 32."""
     piece = _pieces(nodes)
@@ -197,51 +200,148 @@ def _balls(nodes: DataFrame, total: int, bucket_limit: int) -> DataFrame:
     return salted.select((F.col("key") + F.shiftleft(salt.cast("long"), 32)).alias("key"), "node")
 
 
-def _crossing(radius: int):
-    """A block's rows (node, fp, root, other) -> (a, b): a link for each two groups of which one has a member among the others that is near a member of the second."""
+def _window(prints: np.ndarray, at: int) -> np.ndarray:
+    """The 64 bits of each fingerprint from ``at`` on, round the ring."""
+    j, shift = divmod(at % 256, 64)
+    low = prints[:, j] >> np.uint64(shift)
+    return low | prints[:, (j + 1) % 4] << np.uint64(64 - shift) if shift else low
+
+
+def _low(bits: int) -> np.uint64:
+    return np.uint64((1 << bits) - 1)
+
+
+def _edges(radius: int) -> list[int]:
+    """Where the cells begin, and the end."""
+    return [i * 256 // (radius + 1) for i in range(radius + 2)]
+
+
+def _cells(radius: int):
+    """Rows (node, root, fp) -> and ``keys``: for each cell its number above bit 32, and its value (its first 32 bits, if longer)."""
+    edges = _edges(radius)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint64).reshape(-1, 4)
+            values = [_window(prints, lo) & _low(min(hi - lo, 32)) | np.uint64(i << 32) for i, (lo, hi) in enumerate(zip(edges, edges[1:]))]
+            keys = np.stack(values, axis=1).astype(np.int64)
+            offsets = np.arange(len(prints) + 1, dtype=np.int32) * keys.shape[1]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(offsets, keys.ravel())], ["node", "root", "fp", "keys"])
+
+    return run
+
+
+def _meeting(radius: int):
+    """A block's rows (node, root, fp, key, here, i, j) -> (a, b): links that join whatever groups (roots) have members near each other, one in part i and one in part j."""
+    edges = _edges(radius)
+
+    def ahead(cell: int) -> list[int]:
+        """Bits of the next 0, 1, 2, ... cells, as far as 64 bits hold them."""
+        widths = [edges[(cell + k) % (radius + 1) + 1] - edges[(cell + k) % (radius + 1)] for k in range(1, radius + 1)]
+        sums = np.cumsum([0, *widths])
+        return sums[sums <= 64].tolist()
 
     def run(block: pa.Table) -> pa.Table:
-        node, root, other = (block[c].to_numpy() for c in ("node", "root", "other"))
+        node, root, here = (block[c].to_numpy() for c in ("node", "root", "here"))
         prints = np.frombuffer(b"".join(block["fp"].to_pylist()), np.uint64).reshape(-1, 4)
-        table, probes, out = np.flatnonzero(other), np.flatnonzero(~other), {}
-        for at in range(0, len(probes) if len(table) else 0, step := max(1, (1 << 20) // max(1, len(table)))):
-            part = probes[at : at + step]
-            near = np.bitwise_count(prints[part][:, None] ^ prints[table][None, :]).sum(axis=2, dtype=np.int32) <= radius
-            near &= root[part][:, None] != root[table][None, :]
-            for x, y in zip(*np.nonzero(near), strict=True):
-                out.setdefault((root[part[x]], root[table[y]]), (int(node[part[x]]), int(node[table[y]])))
-        ends = np.array(list(out.values()), np.int64).reshape(-1, 2)
-        return pa.table({"a": ends.max(axis=1), "b": ends.min(axis=1)} if len(ends) else {"a": ends[:, 0], "b": ends[:, 1]})
+        cell, i, j = (block[c][0].as_py() for c in ("key", "i", "j"))
+        cell >>= 32
+        sums = ahead(cell)
+        word, bound, out = _window(prints, edges[cell + 1]) & _low(sums[-1]), len(sums) - 1, []
+        of_root, label = np.unique(root, return_inverse=True)
+        parent = np.arange(len(of_root))
+
+        def find(x: int) -> int:
+            while (up := int(parent[x])) != x:
+                parent[x] = x = int(parent[up])
+            return x
+
+        def compare(t: np.ndarray, q: np.ndarray) -> None:
+            nonlocal label
+            near = (np.bitwise_count(word[t, None] ^ word[q]) <= bound).ravel()
+            if not near.any():
+                return
+            hit = np.flatnonzero(near)
+            x, y = t[hit // len(q)], q[hit % len(q)]
+            other = label[x] != label[y]
+            x, y = x[other], y[other]
+            if not len(x):
+                return
+            near = np.bitwise_count(prints[x] ^ prints[y]).sum(axis=1, dtype=np.int32) <= radius
+            x, y = x[near], y[near]
+            _, first = np.unique(label[x] * len(parent) + label[y], return_index=True)
+            for a, b in zip(x[first].tolist(), y[first].tolist(), strict=True):
+                ra, rb = find(int(label[a])), find(int(label[b]))
+                if ra != rb:
+                    parent[max(ra, rb)] = min(ra, rb)
+                    out.append((int(max(node[a], node[b])), int(min(node[a], node[b]))))
+            # What is joined now needn't meet again; where there is little of it, telling that would cost more.
+            if len(x) > 1 << 10:
+                label = np.array([find(k) for k in range(len(parent))])[label]
+
+        def meet(t: np.ndarray, q: np.ndarray) -> None:
+            """``t`` against ``q`` by parts; the members of a large group don't meet each other."""
+            while len(t):
+                part, others = t, q
+                if len(t) * len(q) > 1 << 20:
+                    t = t[np.argsort(label[t], kind="stable")]
+                    n = int(np.searchsorted(label[t], label[t[0]], "right"))
+                    if n < 64:
+                        n = len(t)
+                    else:
+                        others = q[label[q] != label[t[0]]]
+                    part = t[: min(n, max(1, (1 << 20) // max(1, len(others))))]
+                compare(part, others)
+                t = t[len(part) :]
+
+        t, q = np.flatnonzero(here == i), np.flatnonzero(here == j)
+        if len(t) and len(q) and len(of_root) > 1:
+            # How many cells to sort by: a step for each value costs about as much as 20,000 comparisons.
+            balls = [np.flatnonzero(np.bitwise_count(np.arange(1 << b)) <= k) for k, b in enumerate(sums) if b <= 16]
+            of = dict(zip(sums, balls))
+            bits = min(of, key=lambda b: 20_000 * min(1 << b, len(t)) + len(t) * len(q) * len(of[b]) / (1 << b))
+            value = (word & _low(bits)).astype(np.int64)
+            t, q = t[np.argsort(value[t], kind="stable")], q[np.argsort(value[q], kind="stable")]
+            start = np.searchsorted(value[q], np.arange((1 << bits) + 1))
+            cuts = np.flatnonzero(np.r_[True, value[t[1:]] != value[t[:-1]], True])
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                near = value[t[lo]] ^ of[bits]
+                if i == j:
+                    meet(t[lo:hi], t[lo:hi])
+                    near = near[near > value[t[lo]]]
+                n = start[near + 1] - start[near]
+                meet(t[lo:hi], q[np.repeat(start[near] - np.cumsum(n) + n, n) + np.arange(n.sum())])
+        ends = np.array(out, np.int64).reshape(-1, 2)
+        return pa.table({"a": ends[:, 0], "b": ends[:, 1]})
 
     return run
 
 
-def _across(nodes: DataFrame, cut: DataFrame, found: DataFrame, radius: int, bucket_limit: int) -> DataFrame:
-    """Links between the groups of each bucket in ``cut`` (key), which had more than one part."""
-    members = _keys(nodes).join(cut, "key", "left_semi")
-    rooted = components(found)
-    members = stash(members.join(rooted, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "near-members")
-    groups = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-    sizes = groups.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.sum("n").alias("n"), F.max("n").alias("of_most")).filter("n > of_most")
-    parts = lambda n: F.greatest(F.lit(1), F.ceil(n / F.lit(bucket_limit))).cast("long")
-    placed = members.join(sizes, "key").select("key", "node", "root", (F.col("root") != F.col("most")).alias("other"), parts(F.col("n")).alias("p"), parts(F.col("n") - F.col("of_most")).alias("q"))
-    here = lambda n: F.pmod(F.xxhash64("node"), n)
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-    probes = placed.select("key", here(F.col("p")).alias("i"), every(F.col("q")).alias("j"), "node", "root", F.lit(False).alias("other"))
-    table_side = placed.filter("other").select("key", every(F.col("p")).alias("i"), here(F.col("q")).alias("j"), "node", "root", F.lit(True).alias("other"))
-    blocks = probes.union(table_side).join(nodes.select("node", "fp"), "node")
-    return blocks.groupBy("key", "i", "j").applyInArrow(lambda block: _crossing(radius)(block), "a long, b long")
+def _rest(nodes: DataFrame, found: DataFrame, total: int, radius: int, bucket_limit: int) -> DataFrame:
+    """Links between the groups that ``found`` joins, so that none is left out."""
+    rooted = nodes.select("node", "fp").join(components(found), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "fp")
+    cells = stash(rooted.mapInArrow(_cells(radius), "node long, root long, fp binary, keys array<long>"), "near-cells")
+    filed = cells.select("node", "root", "fp", F.explode("keys").alias("key"))
+    limit = min(CELL_ROWS, max(bucket_limit, int(4 * total / 2 ** (256 / (radius + 1)))))
+    hot = stash(filed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit).select("key", F.ceil(F.col("n") / F.lit(limit)).alias("p")), "near-hot-cells")
+    if hot.isEmpty():
+        blocks = filed.select("*", *(F.lit(0).cast("long").alias(c) for c in ("here", "i", "j")))
+    else:
+        parted = filed.join(hot, "key", "left").withColumn("p", F.coalesce("p", F.lit(1).cast("long"))).withColumn("here", F.pmod(F.xxhash64("node"), "p"))
+        met = parted.withColumn("there", F.explode(F.sequence(F.lit(0).cast("long"), F.col("p") - 1)))
+        blocks = met.select("node", "root", "fp", "key", "here", F.least("here", "there").alias("i"), F.greatest("here", "there").alias("j"))
+    out = stash(blocks.groupBy("key", "i", "j").applyInArrow(lambda block: _meeting(radius)(block), "a long, b long"), "near-rest")
+    drop_stash(cells)
+    return out
 
 
 def links(nodes: DataFrame, *, radius: int = RADIUS, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
-    """nodes (node, fp, pieces), written -> (a, b): links that join the groups."""
-    low = F.lit((1 << 32) - 1)
-    waiting, found, cut, last = _balls(nodes, nodes.count(), bucket_limit), None, None, None
+    """nodes (node, fp, pieces), written -> (a, b): links that join the groups of all pairs at ``radius`` bits or fewer."""
+    low, total = F.lit((1 << 32) - 1), nodes.count()
+    waiting, found, last = _balls(nodes, total, bucket_limit), None, None
     while True:
         parts = waiting.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_repeated(bucket_limit), "key long, part long, node long")
         told = stash(parts, "near-buckets")
-        if cut is None:
-            cut = stash(told.filter((F.col("part") > 0) | (F.col("key") > low)).select(F.col("key").bitwiseAND(low).alias("key")).distinct(), "near-cut")
         met = told.join(nodes.select("node", "fp"), "node").repartition("key", "part").sortWithinPartitions("key", "part", "node")
         out = stash(met.mapInArrow(_verify(bucket_limit, radius), "a long, b long, key long"), "near-links")
         drop_stash(told)
@@ -252,9 +352,8 @@ def links(nodes: DataFrame, *, radius: int = RADIUS, bucket_limit: int = BUCKET_
         if n == 0 or n == last:
             break
         waiting, last = heads, n
-    if not cut.isEmpty():
-        found = found.union(stash(_across(nodes, cut, found.distinct(), radius, bucket_limit), "near-across"))
-    return found.distinct()
+    found = found.distinct()
+    return found.union(_rest(nodes, found, total, radius, bucket_limit)).distinct()
 
 
 def keep_one(docs: DataFrame, *, radius: int = RADIUS, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:

@@ -190,3 +190,63 @@ def test_groups_of_several_parts_are_joined_by_members_that_are_not_heads(spark,
     prints = [prints[i] for i in order]
     got = reached([tuple(r) for r in near_copies.links(nodes_of(spark, prints), bucket_limit=limit).collect()], len(prints))
     assert got == brute_groups(prints, near_copies.RADIUS)
+
+
+def random_prints(rng, n):
+    return list(rng.integers(0, 1 << 64, (n, 4), np.uint64))
+
+
+@pytest.mark.parametrize("distance", [24, 36, 42, 43])
+def test_pairs_at_the_radius_are_linked_and_none_beyond(spark, distance):
+    """Pieces of 28 bits differ in 2 bits or fewer for sure up to 23 bits only."""
+    rng = np.random.default_rng(distance)
+    prints = random_prints(rng, 150)
+    prints += [flipped(p, rng.choice(256, distance, replace=False).tolist()) for p in prints]
+    got = {tuple(r) for r in near_copies.links(nodes_of(spark, prints)).collect()}
+    assert got == ({(150 + i, i) for i in range(150)} if distance <= near_copies.RADIUS else set())
+
+
+@pytest.mark.parametrize(("radius", "limit"), [(42, 4096), (42, 2), (5, 3), (0, 4), (3, 4096), (90, 5)])
+def test_links_are_exact_at_any_radius(spark, radius, limit):
+    """Chains of fingerprints of which neighbours are ``radius`` bits apart, evenly spread or not, with strangers around."""
+    rng = np.random.default_rng(radius)
+    prints = random_prints(rng, 10)
+    for _ in range(5):
+        prints += (chain := random_prints(rng, 1))
+        for step in range(6):
+            spread = [(k * 256) // max(1, radius) for k in range(radius)]
+            chain.append(flipped(chain[-1], spread if step == 2 else rng.choice(256, max(1, radius + step // 5), replace=False).tolist()))
+        prints += chain[1:]
+    prints = list({p.tobytes(): p for p in prints}.values())
+    order = rng.permutation(len(prints))
+    prints = [prints[i] for i in order]
+    got = reached([tuple(r) for r in near_copies.links(nodes_of(spark, prints), radius=radius, bucket_limit=limit).collect()], len(prints))
+    assert got == brute_groups(prints, radius)
+
+
+@pytest.mark.parametrize("n", [40, 3000])
+def test_a_block_joins_what_brute_force_joins(n):
+    """Equal in the first cell, 1 bit apart in the next, 40 beyond 64 bits. With 3,000 rows the block is sorted by the next cell; large groups known before don't meet their own."""
+    rng = np.random.default_rng(n)
+    prints = np.array(random_prints(rng, n // 4))
+    prints = np.concatenate([prints, *([flipped(p, [int(rng.integers(5, 11)), *(69 + rng.choice(187, 40, replace=False)).tolist()]) for p in prints] for _ in range(3))])
+    prints[:, 0] &= ~np.uint64((1 << 5) - 1)
+    root = np.arange(len(prints))
+    root[: n // 8] = 0
+    zeros = np.zeros(len(prints), np.int64)
+    cols = {"node": np.arange(len(prints)), "root": root, "fp": [p.tobytes() for p in prints], "key": zeros}
+
+    def groups(here, blocks):
+        links = [(i, 0) for i in range(n // 8)]
+        for i, j in blocks:
+            rows = np.flatnonzero((here == i) | (here == j))
+            block = {k: [v[r] for r in rows] for k, v in {**cols, "here": here, "i": zeros + i, "j": zeros + j}.items()}
+            out = near_copies._meeting(42)(near_copies.pa.table(block))
+            links += list(zip(out["a"].to_pylist(), out["b"].to_pylist()))
+        assert all(np.bitwise_count(prints[a] ^ prints[b]).sum() <= 42 for a, b in links[n // 8 :])
+        return reached(links, len(prints))
+
+    want = [i % (n // 4) for i in range(len(prints))]
+    want = [0 if w < n // 8 else w for w in want]
+    assert groups(zeros, [(0, 0)]) == want
+    assert groups(np.arange(len(prints)) % 2, [(0, 0), (0, 1), (1, 1)]) == want
