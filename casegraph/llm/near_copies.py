@@ -5,9 +5,10 @@ fingerprint has 256 bits, each set if it is set in over half of the hashes of it
 similarity of 0.8 differ in about 38 of them (15 %, give or take 5 bits), so fingerprints link at ``RADIUS`` = 42 bits or fewer: nearly all pairs of 0.8 or more and, as a fingerprint is an
 estimate, some just below.
 
-Links are found in two steps. The first is fast and joins most groups: candidates come from ``SEGMENTS`` pieces of ``WIDTH`` bits. Table and probes both enumerate
+Links are found in two steps. The first is fast and joins most groups: candidates come from ``SEGMENTS`` pieces of ``WIDTH`` bits. Texts with an equal piece meet first. Then table and probes both enumerate
 the Hamming ball of radius 1 around each piece, so two texts meet in a bucket wherever a piece differs in 2 bits or fewer; complete distances are verified in the bucket.
 That is certain up to 23 bits only (at 42 bits about two pairs of three meet). A bucket of chance holds (WIDTH + 1) / 2**WIDTH of the distinct texts.
+A text is in up to SEGMENTS * (WIDTH + 1) buckets, and those of one group have different heads. So balls tell links by the roots of what equal pieces have joined: a text next to a group gives it one link, in however many buckets they meet.
 
 A bucket is cut in parts of ``bucket_limit`` members at most. In a part all links are followed (a member compares with what is not reached yet, so a group
 of like texts costs one comparison each), and one member of each group found goes on to a next round in which the parts of a bucket meet, as long as groups merge. Pieces held by over
@@ -25,7 +26,7 @@ empty table gives an empty result; all columns are carried. Of a group the row w
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -130,17 +131,17 @@ def grow(prints: np.ndarray, radius: int) -> tuple[list[tuple[int, int]], list[i
 
 
 def _verify(limit: int, radius: int):
-    """Rows (key, part, node, fp) sorted by key and part -> (a, b, key): links, and with a null b a head of a bucket that has other parts."""
+    """Rows (key, part, node, root, fp) sorted by key and part -> (a, b, key): links of roots, and with a null b a head (a node) of a bucket that has other parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def settle(table: pa.Table) -> pa.RecordBatch:
-            key, part, node = (table.column(c).to_numpy() for c in ("key", "part", "node"))
+            key, part, node, root = (table.column(c).to_numpy() for c in ("key", "part", "node", "root"))
             prints = np.frombuffer(b"".join(table.column("fp").to_pylist()), np.uint64).reshape(-1, 4)
             start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
             size = np.diff(np.r_[start, len(key)])
             two = start[size == 2]
             two = two[np.bitwise_count(prints[two] ^ prints[two + 1]).sum(axis=1, dtype=np.int32) <= radius]
-            a, b, of = [node[two]], [node[two + 1]], []
+            a, b, of = [root[two]], [root[two + 1]], []
             for lo, n in zip(start.tolist(), size.tolist(), strict=True):
                 split = n == limit or part[lo] > 0 or key[lo] >= 1 << 32
                 if n == 2 and not split:
@@ -148,11 +149,12 @@ def _verify(limit: int, radius: int):
                 edges, heads = grow(prints[lo : lo + n], radius)
                 if edges:
                     x, y = np.array(edges).T + lo
-                    a.append(node[x])
-                    b.append(node[y])
+                    a.append(root[x])
+                    b.append(root[y])
                 if split:
                     of += [(int(node[lo + i]), int(key[lo])) for i in heads]
             a, b = np.concatenate(a), np.concatenate(b)
+            a, b = a[a != b], b[a != b]
             links = sorted(set(zip(np.maximum(a, b).tolist(), np.minimum(a, b).tolist(), strict=True)))
             rows = [(x, y, None) for x, y in links] + [(x, None, k) for x, k in of]
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], ["a", "b", "key"])
@@ -185,16 +187,23 @@ def _pieces(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", F.posexplode("pieces").alias("s", "v")).select("node", (F.shiftleft(F.col("s").cast("long"), WIDTH) + F.col("v")).alias("piece"))
 
 
-def _balls(nodes: DataFrame, total: int, bucket_limit: int) -> DataFrame:
-    """(key, node): every piece and its neighbours at 1 bit, the keys of hot pieces salted above bit 32."""
-    piece = _pieces(nodes)
-    hot = piece.groupBy("piece").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max(HOT_ROWS, total // HOT_GROUPS))
-    hot = stash(hot, "near-hot")
-    keys = _ball(piece)
+def _same(piece: DataFrame) -> DataFrame:
+    """Every piece alone, as ``key``."""
+    return piece.withColumnRenamed("piece", "key")
+
+
+def _hot(nodes: DataFrame, total: int) -> DataFrame:
+    """(piece, n): pieces of many nodes. At most HOT_GROUPS a segment, so this has a bound that doesn't grow."""
+    counted = _pieces(nodes).groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    return stash(counted.filter(F.col("n") > max(HOT_ROWS, total // HOT_GROUPS)), "near-hot")
+
+
+def _filed(nodes: DataFrame, hot: DataFrame, around: Callable[[DataFrame], DataFrame], bucket_limit: int) -> DataFrame:
+    """(key, node): every piece with what ``around`` adds, the keys of hot pieces salted above bit 32."""
+    keys = around(_pieces(nodes))
     if hot.isEmpty():
         return keys.select("key", "node")
-    # At most HOT_GROUPS pieces a segment, so this has a bound that doesn't grow.
-    salts = _ball(hot).groupBy("key").agg(F.ceil(F.sum("n") / F.lit(bucket_limit)).alias("salts"))
+    salts = around(hot).groupBy("key").agg(F.ceil(F.sum("n") / F.lit(bucket_limit)).alias("salts"))
     salted = keys.join(F.broadcast(salts), "key", "left")
     salt = F.pmod(F.xxhash64("node", "key"), F.coalesce("salts", F.lit(1))) + F.when(F.col("salts").isNotNull(), 1).otherwise(0)
     return salted.select((F.col("key") + F.shiftleft(salt.cast("long"), 32)).alias("key"), "node")
@@ -317,9 +326,8 @@ def _meeting(radius: int):
     return run
 
 
-def _rest(nodes: DataFrame, found: DataFrame, total: int, radius: int, bucket_limit: int) -> DataFrame:
-    """Links between the groups that ``found`` joins, so that none is left out."""
-    rooted = nodes.select("node", "fp").join(components(found), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "fp")
+def _rest(rooted: DataFrame, total: int, radius: int, bucket_limit: int) -> DataFrame:
+    """rooted (node, root, fp) -> (a, b): links between its groups, so that none is left out."""
     cells = stash(rooted.mapInArrow(_cells(radius), "node long, root long, fp binary, keys array<long>"), "near-cells")
     filed = cells.select("node", "root", "fp", F.explode("keys").alias("key"))
     limit = min(CELL_ROWS, max(bucket_limit, int(4 * total / 2 ** (256 / (radius + 1)))))
@@ -335,14 +343,18 @@ def _rest(nodes: DataFrame, found: DataFrame, total: int, radius: int, bucket_li
     return out
 
 
-def links(nodes: DataFrame, *, radius: int = RADIUS, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
-    """nodes (node, fp, pieces), written -> (a, b): links that join the groups of all pairs at ``radius`` bits or fewer."""
-    low, total = F.lit((1 << 32) - 1), nodes.count()
-    waiting, found, last = _balls(nodes, total, bucket_limit), None, None
+def _tree(rooted: DataFrame) -> DataFrame:
+    """(node, root) -> (a, b): one link for each node but the roots."""
+    return rooted.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+
+
+def _buckets(waiting: DataFrame, rooted: DataFrame, radius: int, bucket_limit: int) -> DataFrame:
+    """(key, node), rooted (node, root, fp) -> (a, b): links of roots that join what is linked in a bucket."""
+    low, found, last = F.lit((1 << 32) - 1), None, None
     while True:
         parts = waiting.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_repeated(bucket_limit), "key long, part long, node long")
         told = stash(parts, "near-buckets")
-        met = told.join(nodes.select("node", "fp"), "node").repartition("key", "part").sortWithinPartitions("key", "part", "node")
+        met = told.join(rooted, "node").repartition("key", "part").sortWithinPartitions("key", "part", "node")
         out = stash(met.mapInArrow(_verify(bucket_limit, radius), "a long, b long, key long"), "near-links")
         drop_stash(told)
         edges = out.filter("b is not null").select("a", "b")
@@ -350,10 +362,19 @@ def links(nodes: DataFrame, *, radius: int = RADIUS, bucket_limit: int = BUCKET_
         heads = out.filter("b is null").select(F.col("key").bitwiseAND(low).alias("key"), F.col("a").alias("node")).distinct()
         n = heads.count()
         if n == 0 or n == last:
-            break
+            return found.distinct()
         waiting, last = heads, n
-    found = found.distinct()
-    return found.union(_rest(nodes, found, total, radius, bucket_limit)).distinct()
+
+
+def links(nodes: DataFrame, *, radius: int = RADIUS, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
+    """nodes (node, fp, pieces), written -> (a, b): links that join the groups of all pairs at ``radius`` bits or fewer."""
+    total = nodes.count()
+    hot, rooted = _hot(nodes, total), nodes.select("node", F.col("node").alias("root"), "fp")
+    for around in (_same, _ball):
+        found = _buckets(_filed(nodes, hot, around, bucket_limit), rooted, radius, bucket_limit)
+        joined = nodes.select("node", "fp").join(components(_tree(rooted).union(found)), "node", "left")
+        rooted = stash(joined.select("node", F.coalesce("root", "node").alias("root"), "fp"), "near-rooted")
+    return _tree(rooted).union(_rest(rooted, total, radius, bucket_limit)).distinct()
 
 
 def keep_one(docs: DataFrame, *, radius: int = RADIUS, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:

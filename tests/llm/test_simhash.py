@@ -250,3 +250,17 @@ def test_a_block_joins_what_brute_force_joins(n):
     want = [0 if w < n // 8 else w for w in want]
     assert groups(zeros, [(0, 0)]) == want
     assert groups(np.arange(len(prints)) % 2, [(0, 0), (0, 1), (1, 1)]) == want
+
+
+def test_a_large_group_has_a_few_links_a_node(spark, monkeypatch):
+    """Near copies meet in many buckets, under different heads; components are fed few links of each text nevertheless, and the groups are those of brute force."""
+    rng = np.random.default_rng(6)
+    middle, rates = rng.integers(0, 2, 256).astype(bool), rng.uniform(0.01, 0.2, 600)
+    bits = middle ^ (rng.random((600, 256)) < rates[:, None])
+    prints = list(np.packbits(bits, axis=1, bitorder="little").view(np.uint64))
+    real, fed = near_copies.components, []
+    monkeypatch.setattr(near_copies, "components", lambda edges: fed.append(edges.count()) or real(edges))
+    out = near_copies.links(nodes_of(spark, prints)).collect()
+    want = brute_groups(prints, near_copies.RADIUS)
+    assert max(want.count(r) for r in set(want)) > 300 and reached([tuple(r) for r in out], 600) == want
+    assert max(*fed, len(out)) < 5 * 600
