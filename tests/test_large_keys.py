@@ -20,7 +20,7 @@ def wide(sf_dir, tmp_path_factory):
     return str(d)
 
 
-@pytest.mark.parametrize("name", ["e14_mentioned_in", "m4_m8_mentions", "m9_mention_counts", "e0_e18_ingest"])
+@pytest.mark.parametrize("name", ["e14_mentioned_in", "m4_m8_mentions", "m9_mention_counts", "e0_e18_ingest", "e18_u8_second_batch"])
 def test_query_equals_its_sql_where_keys_are_long(spark, wide, name):
     con = duckdb.connect()
     for file in os.listdir(wide):
