@@ -264,3 +264,19 @@ def test_overlaps_and_dates(spark):
     assert sorted((r.kind, r.value) for r in found.collect()) == [("account", "12345678901"), ("imei", "359881234567890"), ("upi", "ram@okaxis")]
     got = mentions.dates(prose(spark, "on 2024-03-05 at 10:30 pm, 13/25/2024, 02/13/24 and 5 March 2024"))
     assert sorted(str(r.ts) for r in got.collect()) == ["2024-02-13 00:00:00", "2024-03-05 00:00:00", "2024-03-05 22:30:00"]
+
+
+def test_cases_of_several_million_pairs_need_no_joined_rounds(spark, monkeypatch):
+    """Scaled down: cases over ``case_pairs``, up to five times as large, are settled in tasks by numbered nodes."""
+    for rounds in ("_relaxed", "_moved", "_joined_ranks"):
+        monkeypatch.setattr(iterative, rounds, lambda *a: pytest.fail("by joins"))
+    graphs = {"path": PATH, "star": STAR, "barbell": BARBELL, "triangle": TRIANGLE}
+    rows = reduce(DataFrame.union, [graph_of(spark, edges, case) for case, edges in graphs.items()])
+    told = lambda df: {(r.case_id, r.node): r[2] for r in df.collect()}
+    assert told(iterative.betweenness(rows, case_pairs=3)) == pytest.approx({(case, n): v for case, edges in graphs.items() for n, v in brute_betweenness(edges).items()})
+    assert told(iterative.pagerank(rows, case_pairs=3)) == pytest.approx(told(iterative.pagerank(rows)))
+    assert told(iterative.communities(rows, case_pairs=3)) == told(iterative.communities(rows))
+    random.seed(3)
+    edges = [(f"n{a}", f"n{b}", random.randint(1, 4)) for a, b in combinations(range(60), 2) if random.random() < 0.1]
+    sampled = lambda limit: told(iterative.betweenness(graph_of(spark, edges), exact_to=10, pivots=20, case_pairs=limit))
+    assert sampled(len(edges) - 1) == pytest.approx(sampled(10**6))
