@@ -305,7 +305,8 @@ SELECT b.key, count(*) AS kept, any_value(source_count) AS source_count, md5(str
 
 
 def u_rejects(spark: SparkSession, d: str) -> DataFrame:
-    e = transfer_edges(spark, d)
+    # Merged once, for all that is asked of them.
+    e = shared.kept(transfer_edges(spark, d).select("case_id", "id", "src", "dst", "type"), "edges")
     ends = e.select("case_id", F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("type", F.when(F.col("id").endswith("7"), "ship").otherwise(N.type_of("id"))).withColumn("source_count", F.lit(1))
     nodes = ends.filter(~F.col("id").like("account:s%3"))
     return merge.rejects(nodes, e.withColumn("source_count", F.lit(1))).groupBy("case_id", "reason").agg(F.count(F.lit(1)).alias("n"))
@@ -320,10 +321,11 @@ UNION ALL SELECT case_id, 'dangling end', count(*) FROM edges WHERE dst LIKE 'ac
 
 def u_summary(spark: SparkSession, d: str) -> DataFrame:
     """What the later half of the transfers adds to the earlier."""
-    facts = transfer_facts(spark, d)
-    old, new = facts.filter("ts < '1998-01-01' or ts is null"), facts.filter("ts >= '1998-01-01'")
+    # Facts of one edge have one time, so the halves can be cut after the merge, which then is made once.
+    edges = shared.kept(transfer_edges(spark, d).select("case_id", "nat_key", "src", "dst", "ts"), "edges")
+    old, new = edges.filter("ts < '1998-01-01' or ts is null"), edges.filter("ts >= '1998-01-01'")
     ids = lambda f: f.select("case_id", F.explode(F.array("src", "dst")).alias("id")).distinct()
-    return merge.ingest_summary(ids(new), ids(old), merge.merge_edges(new), merge.merge_edges(old))
+    return merge.ingest_summary(ids(new), ids(old), new, old)
 
 
 U_SUMMARY_SQL = f"""

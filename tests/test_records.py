@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from casegraph import plans
 from casegraph.functions import normalize as N
 from casegraph.operators import edges, merge
 from casegraph.sources import classify, tables
@@ -82,3 +83,16 @@ def test_document_ids(spark):
     rows = [("c", "FIR 1.txt", "a", 1), ("c", "other.txt", "a", 2), ("c", "fir-1.pdf", "b", 3), ("c", "fir 1", "d", 4)]
     out = tables.document_ids(spark.createDataFrame(rows, "case_id string, filename string, sha256 string, seq long"))
     assert {r.sha256: r.doc_id for r in out.collect()} == {"a": "doc:fir_1", "b": "doc:fir_1_002", "d": "doc:fir_1_003"}
+
+
+@pytest.mark.parametrize("name", ["u5_rejects", "u8_ingest_summary"])
+def test_what_is_asked_of_merged_edges_merges_them_once(spark, sf_dir, name):
+    assert not [f for f in plans.queries()[name](spark, sf_dir).inputFiles() if "lineitem" in f]
+
+
+def test_edges_are_told_apart_by_the_second(spark):
+    rows = [("c", "phone:1", "CALLED", "phone:2", f"2024-01-01 10:00:0{s}", s) for s in ("0", "0.5", "1")]
+    facts = spark.createDataFrame(rows, "case_id string, src string, type string, dst string, at string, seq string").selectExpr(
+        "case_id", "src", "type", "dst", "cast(at as timestamp) ts", "1D weight", "1D confidence", "cast(seq as double) amount", "1D duration_sec", "'b' basis", "'' offence", "'' disposition", "'d' doc_id", "1 seq"
+    )
+    assert sorted((r.nat_key[-8:], r.facts, r.amount) for r in merge.merge_edges(facts).collect()) == [("10:00:00", 2, 0.5), ("10:00:01", 1, 1.0)]
