@@ -98,10 +98,9 @@ def s_texts(spark: SparkSession, d: str) -> DataFrame:
     """One file for each supplier, read whole and by its bytes."""
     path = shared.fresh(spark, "texts")
     s = table(spark, d, "supplier").select("s_suppkey", F.concat("s_name", F.lit("\nnation "), "s_nationkey").alias("value"))
-    s.repartition(4).write.partitionBy("s_suppkey").text(path)
-    key = lambda c: F.regexp_extract(c, r"s_suppkey=(\d+)", 1).cast("long")
-    texts = tables.read_texts(spark, path).select(key("path").alias("s_suppkey"), "text")
-    return texts.join(tables.file_fingerprints(spark, path).select(key("path").alias("s_suppkey"), "sha256", "length"), "s_suppkey").select("s_suppkey", "text", "sha256", "length")
+    # Tasks put their files in place themselves: the driver would move one after another.
+    tables.spread(s).write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("s_suppkey").text(path)
+    return tables.read_whole(spark, path).select(F.regexp_extract("path", r"s_suppkey=(\d+)", 1).cast("long").alias("s_suppkey"), "text", "sha256", "length")
 
 
 S_TEXTS_SQL = "SELECT s_suppkey, t AS text, sha256(t) AS sha256, CAST(length(t) AS BIGINT) AS length FROM (SELECT s_suppkey, s_name || chr(10) || 'nation ' || s_nationkey || chr(10) AS t FROM supplier)"

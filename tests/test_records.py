@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,3 +98,12 @@ def test_edges_are_told_apart_by_the_second(spark):
         "case_id", "src", "type", "dst", "cast(at as timestamp) ts", "1D weight", "1D confidence", "cast(seq as double) amount", "1D duration_sec", "'b' basis", "'' offence", "'' disposition", "'d' doc_id", "1 seq"
     )
     assert sorted((r.nat_key[-8:], r.facts, r.amount) for r in merge.merge_edges(facts).collect()) == [("10:00:00", 2, 0.5), ("10:00:01", 1, 1.0)]
+
+
+def test_many_small_files_are_read_whole_by_few_tasks(spark, tmp_path):
+    for i in range(300):
+        (tmp_path / f"k={i}").mkdir()
+        (tmp_path / f"k={i}" / "a.txt").write_bytes(f"é{i}\n".encode())
+    found = tables.read_whole(spark, str(tmp_path), tasks_a_core=2)
+    assert found.rdd.getNumPartitions() <= 8
+    assert sorted(map(tuple, found.select("text", "sha256", "length").collect())) == sorted((t, hashlib.sha256(t.encode()).hexdigest(), len(t.encode())) for t in (f"é{i}\n" for i in range(300)))
