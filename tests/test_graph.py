@@ -280,3 +280,17 @@ def test_cases_of_several_million_pairs_need_no_joined_rounds(spark, monkeypatch
     edges = [(f"n{a}", f"n{b}", random.randint(1, 4)) for a, b in combinations(range(60), 2) if random.random() < 0.1]
     sampled = lambda limit: told(iterative.betweenness(graph_of(spark, edges), exact_to=10, pivots=20, case_pairs=limit))
     assert sampled(len(edges) - 1) == pytest.approx(sampled(10**6))
+
+
+@pytest.mark.parametrize("group", [4096, 7])
+def test_pairs_are_counted_without_being_shuffled(spark, group):
+    random.seed(5)
+    rows = [(random.choice("xyz"), random.choice([*range(60), None]), random.randint(0, 9000)) for _ in range(800)]
+    points = spark.createDataFrame(rows, "k string, who long, at long")
+    told = lambda df: sorted(map(tuple, df.collect()))
+    out = mentions.pair_counts_within(points, keys=["k"], at="at", id_="who", within=20, group=group)
+    want = mentions.pairs_within(points, keys=["k"], at="at", id_="who", within=20).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    assert told(out) == told(want) and want.count() > 100
+    # Neither joined nor summed up by pairs.
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
